@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that holds it; a module's ORACLE_SQL, if any, belongs to its query.
 _QUERIES = {
+    "op8_suffix_dedup": "suffix_dedup",
     "op3_ngram_jaccard": "ngram_jaccard",
     "op2_quote_linking": "quote_linking",
     "op5_pivot_topk": "pivot_topk",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,3 +67,10 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now: it does so for plans that the
+    driver's garbage collection has found dead, which otherwise may be long in coming."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
