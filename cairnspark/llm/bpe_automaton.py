@@ -360,30 +360,35 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """The ``keep`` columns (default doc_id) with ``n_tokens``, ``ids_sha256``, ``decoded_sha256``
-    and, if asked for, ``ids`` (array<int>) and ``decoded``. The automaton that is broadcast has the
-    size of the vocabulary."""
+    and, if asked for, ``ids`` (array<int>). The automaton that is broadcast has the size of the
+    vocabulary."""
     keep = keep or ["doc_id"]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(MergeAutomaton.from_file(path))
+    shared = docs.sparkSession.sparkContext.broadcast(MergeAutomaton.from_file(path))
     named = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("bpe_text"))
-    made = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if with_ids else [])])
-    ddl = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
             for piece in slices(batch, "bpe_text"):
-                rows = []
-                texts = [t or "" for t in piece.column(piece.schema.get_field_index("bpe_text")).to_pylist()]
-                for said, ids in encoder.encode_batch(texts):
+                texts = [t or "" for t in piece.column(len(keep)).to_pylist()]
+                size, said, back, all_ids = [], [], [], []
+                for digits, ids in encoder.encode_batch(texts):
                     text = encoder.automaton.decode(ids).decode("utf-8", "replace")
-                    digest = hashlib.sha256(said).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
-                    rows.append((len(ids), *digest, *((ids.tolist(), text) if with_ids else ())))
-                columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), made, strict=True)] if rows else [pa.array([], f.type) for f in made]
-                yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *columns], names=[*piece.schema.names[: len(keep)], *made.names])
-
-    schema = ", ".join(f"k{i} {named.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    return named.mapInArrow(run, f"{schema}, {ddl}").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+                    size.append(len(ids))
+                    said.append(hashlib.sha256(digits).hexdigest())
+                    back.append(hashlib.sha256(text.encode()).hexdigest())
+                    all_ids.append(ids)
+                made = [pa.array(size, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *made], names=[*piece.schema.names[: len(keep)], *names])
+
+    schema = "".join(f"k{i} {named.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
+    ddl = schema + "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return named.mapInArrow(run, ddl).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
