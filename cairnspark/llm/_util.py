@@ -1,42 +1,15 @@
-"""Shared plumbing of the corpus operators: written intermediate tables and Arrow text buffers."""
+"""Arrow text buffers, and the library's tables under the names used here."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import materialize, release, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a temporary folder is set up.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn_ckpt_"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and
-    leaves a copy that no lost executor can take along."""
-    path = f"{shared_dir(df.sparkSession)}/cairn/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialize", "release", "shared_dir", "slices", "table", "text_buffers"]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +40,3 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished stages now: it does so for plans that the
-    driver's garbage collection has found dead, which otherwise may be long in coming."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

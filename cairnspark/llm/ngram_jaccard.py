@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.components import components
 from . import _text
-from ._graph import components
 from ._util import materialize, slices, table, text_buffers
 
 WIDTH = 5
