@@ -129,7 +129,7 @@ def context_window(text: Column, terms: Column, size: int = 1600) -> Column:
     less 900 for a table of contents; the last one wins ties."""
     low = F.lower(text)
     # every place of every term: the pieces between the places tell how far each one is
-    places = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(low, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1)) - 1, F.lit(1))), lambda k: F.length(F.substring_index(low, t, k)))
+    places = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.call_function("split", low, F.concat(F.lit("\\Q"), t, F.lit("\\E")), F.lit(-1))) - 1, F.lit(1))), lambda k: F.length(F.call_function("substring_index", low, t, k)))
     phrase = F.when(F.size(terms) > 1, F.array(F.array_join(terms, " "))).otherwise(F.expr("cast(array() as array<string>)"))
     at = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.concat(phrase, terms), places)), lambda p: p < F.length(low))))
 

@@ -1,0 +1,6 @@
+"""Query catalogue."""
+
+from . import graph_queries, history_queries, report_queries, text_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "history_queries", "report_queries", "text_queries"]
