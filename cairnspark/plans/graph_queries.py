@@ -225,7 +225,7 @@ def correction_delete_cascade(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber) AS refs FROM lineitem GROUP BY 1)
+WITH o AS (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS refs FROM lineitem GROUP BY 1)
 SELECT l_orderkey, list_filter(refs, lambda x: list_contains(known, x)) AS refs FROM o, (SELECT list(CAST(p_partkey AS VARCHAR)) AS known FROM part WHERE p_size > 10)""")
 def clean_references(t: Tables) -> DataFrame:
     lists = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("p")))), lambda x: x["p"]).alias("refs"))
