@@ -171,18 +171,18 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with a column ``secret_spans``: array of (start, ord, end, kind), sorted; places in
-    code points, end exclusive."""
-    found = candidates(docs, rules).withColumnRenamed("key", "cand_key").withColumnRenamed("rules", "cand_rules")
-    own = _key(F.col("text"), F.col("doc_id"))
-    joined = docs.join(found, (F.col("cand_key.h") == own["h"]) & F.col("cand_key.id").eqNullSafe(own["id"]), "left")
+    """(doc_id, text, row, secret_spans) of every row: ``row`` is a struct of all its columns, the
+    spans are an array of (start, ord, end, kind), sorted; places in code points, end exclusive."""
+    own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = candidates(own, rules).select(F.col("key.id").alias("cand_id"), F.col("key.h").alias("cand_hash"), F.col("rules").alias("cand_rules"))
+    joined = own.join(found, (F.xxhash64("text") == F.col("cand_hash")) & F.col("cand_id").eqNullSafe(F.col("doc_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string>>)")
     each = []
     for i, rule in enumerate(rules):
         spans = _spans(text, rule, i)
         each.append(spans if trigram_query(rule.pattern) is None else F.when(F.array_contains("cand_rules", F.lit(rule.kind)), spans).otherwise(none))
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*each))).drop("cand_key", "cand_rules")
+    return joined.select("doc_id", "text", "row", F.array_sort(F.concat(*each)).alias("secret_spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[REDACTED]") -> DataFrame:
@@ -197,11 +197,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[REDAC
         return F.when((x["start"] < state["at"]) & (state["at"] > 0), over).otherwise(new)
 
     done = F.aggregate("secret_spans", first, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.lit(2**31 - 1))))
-    text = F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text"))
-    out = scan(docs, rules).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    hit = F.size("secret_spans") > 0
+    out = scan(docs, rules).withColumn("new_text", F.when(hit, done).otherwise(F.col("text")))
+    new = {"text": F.col("new_text"), "n_chars": F.when(hit, F.length("new_text").cast("bigint")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _said(spans: Column) -> Column:
