@@ -17,7 +17,7 @@ EVENT_KINDS = ["source_queued", "source_compiled", "observation_appended", "memo
 def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(source_id, path, text, content_hash) of whole files, found recursively."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("path"), F.regexp_replace(F.rtrim("value"), "\r\n?", "\n").alias("text")).select(F.substring(F.sha2("path", 256), 1, 32).alias("source_id"), "path", "text", F.sha2("text", 256).alias("content_hash"))
+    return files.select(F.input_file_name().alias("path"), F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), r"\s+$", "").alias("text")).select(F.substring(F.sha2("path", 256), 1, 32).alias("source_id"), "path", "text", F.sha2("text", 256).alias("content_hash"))
 
 
 def blobs(spark: SparkSession, path: str) -> DataFrame:
