@@ -29,15 +29,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.components import components
 from . import _text
-from ._util import materialize, slices, table, text_buffers
+from ._util import materialize, release, slices, table, text_buffers
 
 WIDTH = 5
 LEAST_PERCENT = 80
 SKETCH_BITS = 20
-MOST_MATCHES = 4
+MOST_MATCHES = 6
 #: Cost of one verification against that of reading one posting entry.
 VERIFY_COST = 8
 BLOCK = 512
+#: Postings up to this size give their pairs as rows.
+SMALL = 16
 #: Up to so many ids (16 MB) are broadcast to pick documents, more are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -226,11 +228,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return materialize(met.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
-def _star_pairs(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Each posting's smallest node with each of its other nodes, as far as bitmaps allow."""
-    stars = postings.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+def _fits(n: str, m: str, percent: int):
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _bitmap_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps allow to be similar."""
     known = nodes.select("node", "n", "bitmap")
-    met = stars.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    met = pairs.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,28 +251,42 @@ def _star_pairs(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _star_pairs(postings: DataFrame, hubs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Each posting's smallest node with its other nodes, if they meet like this often enough. What
+    is missed here meets again in the comparison across components."""
+    met = postings.join(hubs, "token").where((F.col("node") != F.col("hub")) & _fits("n", "hub_n", percent))
+    often = met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches", "hub_matches")).alias("wanted"))
+    return _bitmap_filtered(often.where("shared >= wanted").select("a", "b"), nodes, percent)
+
+
 def _cross_pairs(postings: DataFrame, nodes: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unlike components in one posting that bitmaps allow and that meet often enough."""
-    labelled = postings.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "component")
+    """Pairs of unlike components that share as many postings as their prefixes ask for, and whose
+    bitmaps allow them. Small postings give their pairs in a join; large ones are compared in blocks
+    with their bitmaps at once."""
+    labelled = postings.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
     open_ = materialize(labelled.join(several.select("token", "size"), "token"), "open_postings")
+    small = open_.where(F.col("size") <= SMALL).select("token", "node", "component", "n", "matches")
+    left, right = small.toDF("token", "a", "ca", "na", "ma"), small.toDF("token", "b", "cb", "nb", "mb")
+    near = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb", percent))
+    met = near.select("a", "b", F.least("ma", "mb").alias("wanted"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = open_.where(F.col("size") > SMALL).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    dealt = dealt.join(nodes.select("node", "n", "bitmap"), "node")
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "matches")
+    dealt = dealt.join(nodes.select("node", "bitmap"), "node")
 
     def meet(key, group):
         i, j = key[1].as_py(), key[2].as_py()
-        columns = {c: group.column(c).to_pylist() for c in ("own", "node", "component", "n", "bitmap")}
+        columns = {c: group.column(c).to_pylist() for c in ("own", "node", "component", "n", "bitmap", "matches")}
         part = lambda block: {c: [v for v, o in zip(columns[c], columns["own"], strict=True) if o == block] for c in ("node", "component", "n", "bitmap")}
+        wanted = dict(zip(columns["node"], columns["matches"], strict=True))
         found = [*_compare(part(i), part(j), percent, i == j)]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64()), "token": pa.array([key[0].as_py()] * len(found), pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64()), "wanted": pa.array([min(wanted[a], wanted[b]) for a, b in found], pa.int32())})
 
-    met = dealt.groupBy("token", "i", "j").applyInArrow(meet, "a bigint, b bigint, token bigint").groupBy("a", "b").agg(F.countDistinct("token").alias("shared"))
-    wanted = nodes.groupBy("node").agg(F.min("matches").alias("matches"))
-    asked = met.join(wanted.toDF("a", "ma"), "a").join(wanted.toDF("b", "mb"), "b")
-    return asked.where(F.col("shared") >= F.least("ma", "mb")).select("a", "b")
+    met = met.unionByName(dealt.groupBy("token", "i", "j").applyInArrow(meet, "a bigint, b bigint, wanted int"))
+    often = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("wanted").alias("wanted")).where("shared >= wanted")
+    return _bitmap_filtered(often.select("a", "b"), nodes, percent)
 
 
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -281,11 +300,15 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = LE
     made = _prefixes(docs.where("doc_id is not null"), frequency_sketch(docs, width), width, percent)
     nodes = made.withColumnRenamed("doc_id", "node").where("n > 0")
     nodes = materialize(nodes.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi"), "nodes")
-    entries = nodes.select(F.explode("prefix").alias("token"), "node")
-    hubs = entries.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").select("token", "hub")
-    postings = materialize(entries.join(hubs, "token").select("token", "node", "hub").distinct(), "postings")
-    stars = _verified(_star_pairs(postings, nodes, percent), docs, width, percent)
-    cross = _verified(_cross_pairs(postings, nodes, components(stars).withColumnRenamed("node", "node"), percent), docs, width, percent)
+    entries = nodes.select(F.explode("prefix").alias("token"), "node", "n", "matches")
+    first = F.min(F.struct("node", "n", "matches")).alias("first")
+    hubs = entries.groupBy("token").agg(first, F.count("*").alias("size")).where("size > 1")
+    hubs = materialize(hubs.select("token", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.matches").alias("hub_matches")), "hubs")
+    release(docs.sparkSession)
+    postings = materialize(entries.join(hubs.select("token"), "token", "left_semi"), "postings")
+    release(docs.sparkSession)
+    stars = _verified(_star_pairs(postings, hubs, nodes, percent), docs, width, percent)
+    cross = _verified(_cross_pairs(postings, nodes, components(stars), percent), docs, width, percent)
     links = stars.union(cross)
     groups = components(links)
     degree = links.select("a").union(links.select(F.col("b"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
@@ -298,7 +321,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = LE
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = LEAST_PERCENT) -> DataFrame:
     """One document of each group, that of the smallest id; rows with a null id stay."""
     ids = similarity_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.where("doc_id is not null").join(ids, F.col("doc_id").cast("bigint") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(ids, docs["doc_id"].cast("bigint") == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
