@@ -1,6 +1,6 @@
 """Query catalogue."""
 
-from . import document_queries, graph_queries, history_queries, report_queries, text_queries
+from . import document_queries, graph_queries, history_queries, report_queries, text_queries, workspace_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "document_queries", "graph_queries", "history_queries", "report_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "document_queries", "graph_queries", "history_queries", "report_queries", "text_queries", "workspace_queries"]
