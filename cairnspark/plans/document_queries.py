@@ -40,25 +40,25 @@ def compile_project(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH cur AS (SELECT c_custkey AS page_id, c_mktsegment AS body, 1 AS revision, CASE WHEN c_custkey % 2 = 0 THEN 'ev-1' ELSE 'ev-2' END AS event FROM customer WHERE c_custkey % 5 <> 0),
-p AS (SELECT c_custkey AS page_id, c_mktsegment || '!' AS nb FROM customer WHERE c_custkey % 7 <> 0),
+WITH cur AS (SELECT c_custkey AS page_id, c_mktsegment AS body, 1 AS revision, CASE WHEN c_nationkey < 12 THEN 'ev-1' ELSE 'ev-2' END AS event FROM customer WHERE c_acctbal > 0),
+p AS (SELECT c_custkey AS page_id, c_mktsegment || '!' AS nb FROM customer WHERE c_nationkey <> 4),
 m AS (SELECT coalesce(cur.page_id, p.page_id) AS page_id, body, revision, event, nb FROM cur FULL JOIN p ON cur.page_id = p.page_id)
 SELECT page_id, CASE WHEN event = 'ev-2' AND nb IS NOT NULL THEN nb ELSE body END AS body, revision, event, CAST(5 AS BIGINT) AS valid_from, CAST(CASE WHEN event = 'ev-2' AND nb IS NOT NULL THEN NULL ELSE 9 END AS BIGINT) AS valid_to FROM m WHERE revision IS NOT NULL
 UNION ALL SELECT page_id, nb, coalesce(revision, 0) + 1, 'ev-2', 9, NULL FROM m WHERE nb IS NOT NULL AND (revision IS NULL OR event <> 'ev-2')""")
 def wiki_revisions(t: Tables) -> DataFrame:
-    page = t.customer.select(F.col("c_custkey").alias("page_id"), F.col("c_mktsegment").alias("body"))
-    current = page.where("page_id % 5 <> 0").select("*", F.lit(1).alias("revision"), F.when(F.col("page_id") % 2 == 0, "ev-1").otherwise("ev-2").alias("event"), F.lit(5).cast("bigint").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"))
-    return dc.revise(page.where("page_id % 7 <> 0").withColumn("body", F.concat("body", F.lit("!"))), current, F.lit("ev-2"), F.lit(9))
+    page = t.customer.select(F.col("c_custkey").alias("page_id"), F.col("c_mktsegment").alias("body"), "c_nationkey", "c_acctbal")
+    current = page.where("c_acctbal > 0").select("page_id", "body", F.lit(1).alias("revision"), F.when(F.col("c_nationkey") < 12, "ev-1").otherwise("ev-2").alias("event"), F.lit(5).cast("bigint").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"))
+    return dc.revise(page.where("c_nationkey <> 4").select("page_id", F.concat("body", F.lit("!")).alias("body")), current, F.lit("ev-2"), F.lit(9))
 
 
 @query("""
-WITH n AS (SELECT CAST(p_partkey AS VARCHAR) AS node_id, p_name AS label FROM part WHERE p_partkey <= 200),
-c AS (SELECT CAST(l_partkey AS VARCHAR) AS node_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS claim_id, 'shipped ' || l_returnflag AS statement, ['o' || l_orderkey] AS ev FROM lineitem WHERE l_partkey <= 200),
+WITH n AS (SELECT CAST(p_partkey AS VARCHAR) AS node_id, p_name AS label FROM part),
+c AS (SELECT CAST(l_partkey AS VARCHAR) AS node_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS claim_id, 'shipped ' || l_returnflag AS statement, ['o' || l_orderkey] AS ev FROM lineitem),
 a AS (SELECT node_id, string_agg('- ' || statement, chr(10) ORDER BY claim_id, statement) AS lines, list_sort(list_distinct(flatten(list(ev)))) AS refs FROM c GROUP BY 1)
 SELECT n.node_id, 'wiki/' || replace(trim(regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '-') || '.md' AS path, '# ' || label || chr(10) || chr(10) || coalesce(lines, '') AS body, coalesce(refs, CAST([] AS VARCHAR[])) AS evidence_refs FROM n LEFT JOIN a USING (node_id)""".replace("\\\\", "\\"))
 def wiki_materialise(t: Tables) -> DataFrame:
-    nodes = t.part.where("p_partkey <= 200").select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("label"))
-    claims = t.lineitem.where("l_partkey <= 200").select(F.col("l_partkey").cast("string").alias("node_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("claim_id"), F.concat(F.lit("shipped "), "l_returnflag").alias("statement"), F.array(F.concat(F.lit("o"), "l_orderkey")).alias("evidence_ids"))
+    nodes = t.part.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("label"))
+    claims = t.lineitem.select(F.col("l_partkey").cast("string").alias("node_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("claim_id"), F.concat(F.lit("shipped "), "l_returnflag").alias("statement"), F.array(F.concat(F.lit("o"), "l_orderkey")).alias("evidence_ids"))
     return dc.wiki_pages(nodes, claims)
 
 
@@ -82,14 +82,14 @@ def supported_records(t: Tables) -> DataFrame:
 
 def _operations(t: Tables) -> DataFrame:
     n = F.col("l_linenumber")
-    return t.lineitem.where("l_orderkey <= 2000").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part")).select(
+    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part")).select(
         F.col("l_orderkey").alias("patch_id"), n.alias("ordinal"),
         F.when(n == 1, "upsert_node").when(n == 2, "upsert_wiki_page").when(n == 3, "remove").when(n == 4, "upsert_claim").when(n == 7, "explode").otherwise("upsert_relation").alias("op"),
         F.concat(F.lit("p"), F.col("part") % 40).alias("target"), F.when(F.col("part") % 9 == 0, " ").otherwise(F.concat(F.lit("L"), "part")).alias("label"),
         F.when(F.col("part") % 4 == 0, "../up.md").otherwise("wiki/a.md").alias("path"), F.array(F.concat(F.lit("p"), F.col("part") % 45)).alias("refs"))
 
 
-_OPS = """g AS (SELECT l_orderkey AS patch_id, l_linenumber AS ordinal, max(l_partkey) AS part FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2),
+_OPS = """g AS (SELECT l_orderkey AS patch_id, l_linenumber AS ordinal, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2),
 o AS (SELECT patch_id, ordinal, part, CASE ordinal WHEN 1 THEN 'upsert_node' WHEN 2 THEN 'upsert_wiki_page' WHEN 3 THEN 'remove' WHEN 4 THEN 'upsert_claim' WHEN 7 THEN 'explode' ELSE 'upsert_relation' END AS op,
   'p' || (part % 40) AS target, CASE WHEN part % 9 = 0 THEN ' ' ELSE 'L' || part END AS label, 'p' || (part % 45) AS ref FROM g),
 v AS (SELECT patch_id, ordinal, 'target_twice' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY patch_id, target ORDER BY ordinal) AS n FROM o) WHERE n > 1
@@ -115,27 +115,28 @@ def graph_patch_apply(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'ingested' ELSE 'failed' END AS status FROM events WHERE user_id < 20),
+WITH s AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'ingested' ELSE 'failed' END AS status FROM events),
 p AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM s)
 SELECT prior, status, user_id, event_id FROM p WHERE prior <> status AND (prior, status) NOT IN (('queued', 'processing'), ('processing', 'ingested'), ('processing', 'failed'), ('failed', 'queued'))""")
 def import_lifecycle_check(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "view", "queued").when(kind == "click", "processing").when(kind == "purchase", "ingested").otherwise("failed")
-    return dc.bad_transitions(t.events.where("user_id < 20").select("user_id", "event_id", "ts", status.alias("status")), "user_id", ["ts", "event_id"]).select("prior", "status", "user_id", "event_id")
+    return dc.bad_transitions(t.events.select("user_id", "event_id", "ts", status.alias("status")), "user_id", ["ts", "event_id"]).select("prior", "status", "user_id", "event_id")
 
 
 @query("""
-SELECT event_id, event_type FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0 AND event_type IN ('purchase', 'click')""")
+SELECT event_id, event_type FROM events WHERE value > 50 UNION ALL SELECT event_id, event_type FROM events WHERE value > 20 AND value <= 50 AND event_type IN ('purchase', 'click')""")
 def event_preservation(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", "event_type")
-    return dc.preserved_events(rows.where("event_id % 3 = 0"), rows.where("event_id % 2 = 0"), ["purchase", "click"])
+    rows = lambda low: t.events.where(F.col("value") > low).select("event_id", "event_type")
+    return dc.preserved_events(rows(50), rows(20), ["purchase", "click"])
 
 
 @query("""
-SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 4 = 0""")
+SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def upsert_rows(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    return writers.upserted(rows.where("id % 3 = 0"), rows.where("id % 4 = 0").withColumn("status", F.lit("N")), ["id"])
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    new = rows.where("o_orderpriority = '1-URGENT'").withColumn("status", F.lit("N"))
+    return writers.upserted(rows.where("status <> 'P'").select("id", "status"), new, ["id"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
@@ -145,12 +146,11 @@ def prune_rows(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT * FROM part WHERE p_partkey % 10 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_name END AS p_name FROM part WHERE p_partkey % 7 <> 0)
+WITH a AS (SELECT * FROM part WHERE p_size > 3), b AS (SELECT p_partkey, CASE WHEN p_size = 20 THEN 'x' ELSE p_name END AS p_name FROM part WHERE p_size < 45)
 SELECT count(*) FILTER (a.p_partkey IS NULL) AS added, count(*) FILTER (b.p_partkey IS NULL) AS removed, count(*) FILTER (a.p_name <> b.p_name) AS changed FROM a FULL JOIN b ON a.p_partkey = b.p_partkey""")
 def graph_diff(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_name")
-    new = rows.where("p_partkey % 7 <> 0").withColumn("p_name", F.when(F.col("p_partkey") % 11 == 0, "x").otherwise(F.col("p_name")))
-    return writers.diff_summary(rows.where("p_partkey % 10 <> 0"), new, ["p_partkey"])
+    new = t.part.where("p_size < 45").select("p_partkey", F.when(F.col("p_size") == 20, "x").otherwise(F.col("p_name")).alias("p_name"))
+    return writers.diff_summary(t.part.where("p_size > 3").select("p_partkey", "p_name"), new, ["p_partkey"])
 
 
 @query("SELECT l_orderkey AS id, 'p' || l_partkey AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 45) GROUP BY 1, 2")
@@ -160,23 +160,23 @@ def evidence_ref_validation(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT CASE WHEN event_id % 2 = 0 THEN 'memory_accepted' ELSE 'graph_materialized' END AS event_type, count(*) AS n, max(epoch(ts)::BIGINT) AS newest FROM events WHERE event_id % 5 <> 0 GROUP BY 1""")
+SELECT CASE WHEN event_id % 2 = 0 THEN 'memory_accepted' ELSE 'graph_materialized' END AS event_type, count(*) AS n, CAST(max(floor(epoch(ts))) AS BIGINT) AS newest FROM events WHERE value > 20 GROUP BY 1""")
 def event_log_round_trip(t: Tables) -> DataFrame:
     """Events appended as JSON lines and read again; unknown kinds and broken lines are dropped."""
     path = f"{shared_dir(t.spark)}/cairn/{uuid.uuid4().hex}/events"
-    kind = F.when(F.col("event_id") % 5 == 0, "from_the_future").when(F.col("event_id") % 2 == 0, "memory_accepted").otherwise("graph_materialized")
+    kind = F.when(F.col("value") <= 20, "from_the_future").when(F.col("event_id") % 2 == 0, "memory_accepted").otherwise("graph_materialized")
     writers.append_events(t.events.select(F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"), F.unix_timestamp("ts").alias("created_at")), path)
     t.spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
     return readers.events(t.spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.max("created_at").alias("newest"))
 
 
 @query("""
-SELECT lang, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT lang, CASE WHEN lang = 'fr' THEN left(text, 10) ELSE text END AS text FROM documents) GROUP BY 1""")
+SELECT lang, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT lang, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents) GROUP BY 1""")
 def chunk_index_upsert(t: Tables) -> DataFrame:
     """A partitioned index of which one partition is replaced."""
     path = f"{shared_dir(t.spark)}/cairn/{uuid.uuid4().hex}/chunks"
     writers.replace_partitions(t.documents.select("doc_id", "text", "lang"), path, "lang")
-    writers.replace_partitions(t.documents.where("lang = 'fr'").select("doc_id", F.substring("text", 1, 10).alias("text"), "lang"), path, "lang")
+    writers.replace_partitions(t.documents.where("lang = 'fr'").select("doc_id", F.concat("text", F.lit("!")).alias("text"), "lang"), path, "lang")
     return t.spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -185,10 +185,10 @@ def table_counts(t: Tables) -> DataFrame:
     return readers.table_counts({"documents": t.documents, "pages": t.pages, "events": t.events})
 
 
-@query("SELECT p_partkey, p_name, 'left' AS side FROM part WHERE p_partkey % 100 = 3 UNION ALL SELECT p_partkey, p_name, 'right' FROM part WHERE p_partkey % 100 = 4")
+@query("SELECT p_partkey, p_name, 'left' AS side FROM part WHERE p_size = 3 UNION ALL SELECT p_partkey, p_name, 'right' FROM part WHERE p_size = 4")
 def read_model_validate(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_name")
-    return readers.differences(rows.where("p_partkey % 100 <> 4"), rows.where("p_partkey % 100 <> 3"))
+    rows = lambda size: t.part.where(F.col("p_size") != size).select("p_partkey", "p_name")
+    return readers.differences(rows(4), rows(3))
 
 
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2")
@@ -201,20 +201,20 @@ def page_import_status(t: Tables) -> DataFrame:
     return dc.import_status(t.documents, "source", F.col("n_chars") < 300)
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 300 THEN 'again' ELSE left(text, 20) END AS text, CASE WHEN n_chars < 300 THEN 'ok' ELSE 'done' END AS status FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 300 THEN 'again' ELSE text END AS text, CASE WHEN n_chars < 300 THEN 'ok' ELSE 'done' END AS status FROM documents")
 def retry_failed_pages(t: Tables) -> DataFrame:
-    pages = t.documents.select("doc_id", F.substring("text", 1, 20).alias("text"), F.when(F.col("n_chars") < 300, "failed").otherwise("done").alias("status"))
+    pages = t.documents.select("doc_id", "text", F.when(F.col("n_chars") < 300, "failed").otherwise("done").alias("status"))
     again = pages.where("status = 'failed'").select("doc_id", F.lit("again").alias("text"), F.lit("ok").alias("status"))
     return dc.retried(pages, again, ["doc_id"])
 
 
-@query("SELECT doc_id, CAST(['a', 'b' || doc_id] AS VARCHAR[]) AS refs FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CAST([] AS VARCHAR[]) FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT doc_id, CAST(['a', 'b' || doc_id] AS VARCHAR[]) AS refs FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, CAST([] AS VARCHAR[]) FROM documents WHERE lang <> 'en'")
 def tolerant_list_decode(t: Tables) -> DataFrame:
-    stored = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array(F.lit("a"), F.concat(F.lit("b"), "doc_id")))).otherwise("not json")
+    stored = F.when(F.col("lang") == "en", F.to_json(F.array(F.lit("a"), F.concat(F.lit("b"), "doc_id")))).otherwise("not json")
     return t.documents.select("doc_id", stored.alias("s")).select("doc_id", readers.string_list("s").alias("refs"))
 
 
-@query(r"""SELECT doc_id, 'concept-' || replace(trim(regexp_replace(lower(left(text, 30)), '[^\p{L}\p{N}]+', ' ', 'g')), ' ', '-') AS node_id, regexp_extract('p. ' || doc_id, '(\d+)', 1) AS page FROM documents""")
+@query(r"""SELECT doc_id, 'concept-' || replace(trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+', ' ', 'g')), ' ', '-') AS node_id, regexp_extract('p. ' || doc_id, '(\d+)', 1) AS page FROM documents""")
 def ids_and_locators(t: Tables) -> DataFrame:
-    slug = F.concat(F.lit("concept-"), F.replace(tx.normal_key(F.substring("text", 1, 30)), F.lit(" "), F.lit("-")))
+    slug = F.concat(F.lit("concept-"), F.replace(tx.normal_key(F.split("text", "\n")[0]), F.lit(" "), F.lit("-")))
     return t.documents.select("doc_id", slug.alias("node_id"), F.regexp_extract(F.concat(F.lit("p. "), "doc_id"), r"(\d+)", 1).alias("page"))

@@ -51,13 +51,13 @@ def evidence_overlap(t: Tables) -> DataFrame:
 
 
 _ALIAS = r"""
-k AS (SELECT p_partkey AS item, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS k1, trim(regexp_replace(lower(p_brand || ' ' || p_size), '[^\p{L}\p{N}]+', ' ', 'g')) AS k2 FROM part WHERE p_size <= 5),
+k AS (SELECT p_partkey AS item, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS k1, trim(regexp_replace(lower(p_brand || ' ' || p_size), '[^\p{L}\p{N}]+', ' ', 'g')) AS k2 FROM part),
 keys AS (SELECT item, 0 AS place, k1 AS key FROM k UNION ALL SELECT item, 1, k2 FROM k),
 seen AS (SELECT key, min(item) AS seen FROM keys GROUP BY key),
 star AS (SELECT item, seen AS low FROM keys JOIN seen USING (key)),
 link AS (SELECT item AS a, low AS b FROM star UNION SELECT low, item FROM star),
-reach(a, b) AS (SELECT item, item FROM k UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
-comp AS (SELECT a AS item, min(b) AS component FROM reach GROUP BY a),
+cc(id, c) USING KEY (id) AS (SELECT item, item FROM k UNION (SELECT l.a, min(v.c) FROM cc v JOIN link l ON l.b = v.id JOIN recurring.cc u ON u.id = l.a WHERE v.c < u.c GROUP BY l.a)),
+comp AS (SELECT id AS item, c AS component FROM cc),
 began AS (SELECT item, arg_min(key, place) AS own FROM keys JOIN seen USING (key) GROUP BY item HAVING min(seen) = item),
 named AS (SELECT component, min(own) AS group_key FROM comp JOIN began USING (item) GROUP BY component)"""
 
@@ -65,7 +65,7 @@ named AS (SELECT component, min(own) AS group_key FROM comp JOIN began USING (it
 @query(f"WITH RECURSIVE {_ALIAS} SELECT item, group_key FROM comp JOIN named USING (component)")
 def alias_components(t: Tables) -> DataFrame:
     keys = F.array(tx.normal_key(F.col("p_name")), tx.normal_key(F.concat_ws(" ", "p_brand", "p_size")))
-    return gr.merge_by_alias(t.part.where("p_size <= 5").select(F.col("p_partkey").alias("item"), F.col("p_partkey").alias("position"), keys.alias("keys")))
+    return gr.merge_by_alias(t.part.select(F.col("p_partkey").alias("item"), F.col("p_partkey").alias("position"), keys.alias("keys")))
 
 
 @query("""
@@ -115,25 +115,25 @@ def ui_projection(t: Tables) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT l_orderkey || '-' || l_linenumber AS edge_id, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem),
-n AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 89 <> 0)
+n AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size < 49)
 SELECT edge_id, src AS missing FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE node = src)
 UNION SELECT edge_id, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE node = dst)""")
 def lint_dangling(t: Tables) -> DataFrame:
     edges = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_id"), F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    nodes = t.orders.where("o_orderkey % 97 <> 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node")).union(t.part.where("p_partkey % 89 <> 0").select(F.concat(F.lit("p"), "p_partkey")))
+    nodes = t.orders.where("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node")).union(t.part.where("p_size < 49").select(F.concat(F.lit("p"), "p_partkey")))
     return gr.dangling(edges, nodes)
 
 
 @query("""
-SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 1500) AND p_size > 2""")
+SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R') AND p_size > 2""")
 def lint_orphans(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_orderkey < 1500").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    edges = t.lineitem.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     evidence = t.part.where("p_size <= 2").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
     return gr.orphans(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("node")), edges, evidence)
 
 
 _CLAIMS = r"""
-c AS (SELECT doc_id AS claim_id, lang AS topic, left(text, 160) || CASE WHEN doc_id % 5 = 0 THEN ' not so' ELSE '' END AS statement FROM documents),
+c AS (SELECT p_partkey AS claim_id, p_brand AS topic, p_name || ' ' || p_type || CASE WHEN p_size > 25 THEN ' not' ELSE '' END AS statement FROM part),
 w AS (SELECT claim_id, topic, list_filter(regexp_split_to_array(lower(statement), '[^a-z0-9]+'), lambda x: TRUE) AS ws FROM c),
 k AS (SELECT claim_id, topic, len(list_filter(ws, lambda x: x IN ('no', 'not', 'never', 'without'))) > 0 AS neg,
   list_distinct(list_filter(ws, lambda x: length(x) >= 4 AND x NOT IN ('this', 'that', 'with', 'from', 'into', 'evidence', 'backed'))) AS terms FROM w)"""
@@ -143,8 +143,8 @@ k AS (SELECT claim_id, topic, len(list_filter(ws, lambda x: x IN ('no', 'not', '
 SELECT least(a.claim_id, b.claim_id) AS left_id, greatest(a.claim_id, b.claim_id) AS right_id, len(list_intersect(a.terms, b.terms)) AS shared
 FROM k a JOIN k b ON a.topic = b.topic AND a.neg AND NOT b.neg WHERE len(list_intersect(a.terms, b.terms)) >= 3""")
 def claim_conflicts(t: Tables) -> DataFrame:
-    statement = F.concat(F.substring("text", 1, 160), F.when(F.col("doc_id") % 5 == 0, " not so").otherwise(""))
-    return gr.claim_conflicts(t.documents.select(F.col("doc_id").alias("claim_id"), F.col("lang").alias("topic"), statement.alias("statement")))
+    statement = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_size") > 25, " not").otherwise(""))
+    return gr.claim_conflicts(t.part.select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("topic"), statement.alias("statement")))
 
 
 @query(r"""
@@ -152,35 +152,35 @@ SELECT doc_id, CASE WHEN len(list_filter([' decision ', ' decided ', ' chose ',
   CASE WHEN regexp_matches(lower(s), ' depends on | relies on | requires | blocked by ') THEN 'depends_on' WHEN regexp_matches(lower(s), ' supports | enables | grounds | backs | cites ') THEN 'supports'
   WHEN regexp_matches(lower(s), ' contradicts | conflicts with ') THEN 'contradicts' WHEN regexp_matches(lower(s), ' supersedes | replaces ') THEN 'supersedes'
   WHEN regexp_matches(lower(s), ' same as | alias of ') THEN 'same_as' WHEN regexp_matches(lower(s), '->|<->| links ') THEN 'related_to' END AS relation
-FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'It depends on ' WHEN 1 THEN 'X supports ' WHEN 2 THEN 'A -> ' WHEN 3 THEN 'We should see ' WHEN 4 THEN 'This replaces ' ELSE '' END || left(text, 80) AS s FROM documents)""")
+FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'It depends on ' WHEN 1 THEN 'X supports ' WHEN 2 THEN 'A -> ' WHEN 3 THEN 'We should see ' WHEN 4 THEN 'This replaces ' ELSE '' END || text AS s FROM documents)""")
 def claim_and_relation_kinds(t: Tables) -> DataFrame:
     n = F.col("doc_id") % 7
     head = F.when(n == 0, "It depends on ").when(n == 1, "X supports ").when(n == 2, "A -> ").when(n == 3, "We should see ").when(n == 4, "This replaces ").otherwise("")
-    said = t.documents.select("doc_id", F.concat(head, F.substring("text", 1, 80)).alias("s"))
+    said = t.documents.select("doc_id", F.concat(head, "text").alias("s"))
     return said.select("doc_id", tx.claim_kind(F.col("s")).alias("kind"), tx.relation_kind(F.col("s")).alias("relation"))
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, source, trim(regexp_replace(lower(left(text, 24)), '[^\p{L}\p{N}]+', ' ', 'g')) AS key, list_distinct(list_filter(regexp_extract_all(lower(left(text, 200)), '[a-z]+'), lambda x: length(x) >= 7)) AS terms FROM documents),
+WITH d AS (SELECT doc_id, source, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS key, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 7)) AS terms FROM documents),
 m AS (SELECT a.doc_id AS l_id, b.doc_id AS r_id, a.key = b.key AND a.key <> '' AS direct, len(list_intersect(a.terms, b.terms)) AS shared FROM d a JOIN d b ON a.source = 'src1' AND b.source <> 'src1'),
 s AS (SELECT l_id, r_id, direct, shared, CASE WHEN direct THEN 10000 ELSE 1000 END + 100 * least(shared, 8) AS score FROM m WHERE direct OR shared >= 2)
 SELECT l_id, r_id, direct, CAST(shared AS BIGINT) AS shared, CAST(score AS BIGINT) AS score, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, l_id, r_id) AS k FROM s) WHERE k <= 32""")
 def link_candidates(t: Tables) -> DataFrame:
-    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 7))
-    rows = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 24).alias("name"), terms.alias("terms"), "source")
+    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 7))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("name"), terms.alias("terms"), "source")
     found = gr.link_candidates(rows.where("source = 'src1'"), rows.where("source <> 'src1'"))
     return found.withColumns({"shared": F.col("shared").cast("bigint"), "score": F.col("score").cast("bigint")})
 
 
 @query(r"""
-WITH d AS (SELECT doc_id AS id, trim(regexp_replace(lower(left(text, 120)), '[^\p{L}\p{N}]+', ' ', 'g')) AS body, trim(regexp_replace(lower(left(text, 20)), '[^\p{L}\p{N}]+', ' ', 'g')) AS title,
-  list_distinct(list_filter(regexp_split_to_array(lower(left(text, 120)), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ('this', 'that', 'with', 'from', 'into', 'evidence', 'backed'))) AS terms FROM documents WHERE lang = 'en'),
-p AS (SELECT a.id AS n, b.id AS k, a.body = b.body AS eb, a.title = b.title AS et, len(list_intersect(a.terms, b.terms)) AS c, len(a.terms) AS sa, len(b.terms) AS sb FROM d a JOIN d b ON a.id % 2 = 0 AND b.id % 2 = 1),
+WITH d AS (SELECT doc_id AS id, source, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS body, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS title,
+  list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ('this', 'that', 'with', 'from', 'into', 'evidence', 'backed'))) AS terms FROM documents),
+p AS (SELECT a.id AS n, b.id AS k, a.body = b.body AS eb, a.title = b.title AS et, len(list_intersect(a.terms, b.terms)) AS c, len(a.terms) AS sa, len(b.terms) AS sb FROM d a JOIN d b ON a.source = 'src2' AND b.source <> 'src2'),
 s AS (SELECT n, k, CASE WHEN eb THEN 950 WHEN et THEN 900 WHEN c >= 4 AND 100 * c // least(sa, sb) >= 80 AND 100 * c // greatest(sa, sb) >= 65 THEN 700 + 100 * c // greatest(sa, sb) END AS score FROM p)
 SELECT n AS id, k AS memory_id, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, k) AS r FROM s WHERE score IS NOT NULL) WHERE r = 1""")
 def memory_match(t: Tables) -> DataFrame:
-    rows = t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("body"), F.substring("text", 1, 20).alias("title"), F.expr("cast(array() as array<string>)").alias("evidence_ids"))
-    return gr.memory_matches(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.split("text", "\n")[0].alias("title"), F.expr("cast(array() as array<string>)").alias("evidence_ids"), "source")
+    return gr.memory_matches(rows.where("source = 'src2'"), rows.where("source <> 'src2'"))
 
 
 def _brand_nodes(t: Tables) -> DataFrame:
@@ -243,8 +243,8 @@ def evidence_record_index(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH ed AS (SELECT DISTINCT 'p' || l_partkey || '-s' || l_suppkey AS edge_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_orderkey < 400),
-i AS (SELECT DISTINCT 'o' || l_orderkey AS evidence_id, 0 AS o, 'p' || l_partkey AS record_id FROM lineitem WHERE l_orderkey < 40 UNION SELECT DISTINCT 'o' || l_orderkey, 1, 'p' || l_partkey || '-s' || l_suppkey FROM lineitem WHERE l_orderkey < 40),
+WITH ed AS (SELECT DISTINCT 'p' || l_partkey || '-s' || l_suppkey AS edge_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
+i AS (SELECT DISTINCT 'o' || l_orderkey AS evidence_id, 0 AS o, 'p' || l_partkey AS record_id FROM lineitem UNION SELECT DISTINCT 'o' || l_orderkey, 1, 'p' || l_partkey || '-s' || l_suppkey FROM lineitem),
 d AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY o, record_id) AS k FROM i),
 d8 AS (SELECT * FROM d WHERE k <= 8),
 adj AS (
@@ -256,7 +256,7 @@ a8 AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY o, record_
 SELECT evidence_id, 'direct' AS stage, record_id, CAST(k AS INT) AS rank FROM d8 UNION ALL SELECT evidence_id, 'adjacent', record_id, CAST(k AS INT) FROM a8 WHERE k <= 8""")
 def graph_trail(t: Tables) -> DataFrame:
     p, s, o = (F.concat(F.lit(c), col) for c, col in (("p", "l_partkey"), ("s", "l_suppkey"), ("o", "l_orderkey")))
-    edges = t.lineitem.where("l_orderkey < 400").select(F.concat_ws("-", p, s).alias("edge_id"), p.alias("src"), s.alias("dst")).distinct()
-    own = t.lineitem.where("l_orderkey < 40")
+    edges = t.lineitem.select(F.concat_ws("-", p, s).alias("edge_id"), p.alias("src"), s.alias("dst")).distinct()
+    own = t.lineitem
     index = own.select(o.alias("evidence_id"), F.lit("node").alias("record_kind"), p.alias("record_id")).unionByName(own.select(o.alias("evidence_id"), F.lit("relation").alias("record_kind"), F.concat_ws("-", p, s).alias("record_id"))).distinct()
     return gr.trail(index, index, edges)

@@ -37,18 +37,18 @@ def live_snapshot(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS id, c_mktsegment AS segment, 10 AS valid_from FROM customer WHERE c_custkey % 10 <> 1),
-i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 10 <> 2)
+WITH c AS (SELECT c_custkey AS id, c_mktsegment AS segment, 10 AS valid_from FROM customer WHERE c_acctbal > 0),
+i AS (SELECT c_custkey AS id, CASE WHEN c_nationkey = 5 THEN 'CHANGED' ELSE c_mktsegment END AS segment FROM customer WHERE c_nationkey <> 3)
 SELECT c.id, c.segment, CAST(c.valid_from AS BIGINT) AS valid_from, CAST(CASE WHEN i.segment = c.segment THEN NULL ELSE 20 END AS BIGINT) AS valid_to, CASE WHEN i.segment = c.segment THEN NULL ELSE 'ev-2' END AS superseded_by FROM c LEFT JOIN i USING (id)
 UNION ALL SELECT i.id, i.segment, 20, NULL, NULL FROM i LEFT JOIN c USING (id) WHERE c.id IS NULL OR c.segment <> i.segment""")
 def version_merge(t: Tables) -> DataFrame:
-    cust = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
-    current = cust.where("id % 10 <> 1").select("id", "segment", F.lit(10).cast("bigint").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"), F.lit(None).cast("string").alias("superseded_by"))
-    incoming = cust.where("id % 10 <> 2").withColumn("segment", F.when(F.col("id") % 7 == 0, "CHANGED").otherwise(F.col("segment")))
+    cust = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), "c_nationkey", "c_acctbal")
+    current = cust.where("c_acctbal > 0").select("id", "segment", F.lit(10).cast("bigint").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"), F.lit(None).cast("string").alias("superseded_by"))
+    incoming = cust.where("c_nationkey <> 3").withColumn("segment", F.when(F.col("c_nationkey") == 5, "CHANGED").otherwise(F.col("segment")))
     return hs.merge(current, incoming, ["id"], ["segment"], F.lit(20).cast("bigint"), F.lit("ev-2"))
 
 
-_DAYS = "ev AS (SELECT user_id % 12 AS scope, CAST(ts AS DATE) AS day, event_type AS item, count(*) % 3 AS content FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2, 3)"
+_DAYS = "ev AS (SELECT user_id AS scope, CAST(ts AS DATE) AS day, event_type AS item, count(*) % 3 AS content FROM events GROUP BY 1, 2, 3)"
 
 
 @query(f"""
@@ -64,7 +64,7 @@ def replay_state(t: Tables) -> DataFrame:
 
 
 def _daily_states(t: Tables) -> DataFrame:
-    days = t.events.where("user_id % 5 = 0").groupBy((F.col("user_id") % 12).alias("scope"), F.to_date("ts").alias("day"), F.col("event_type").alias("item"))
+    days = t.events.groupBy(F.col("user_id").alias("scope"), F.to_date("ts").alias("day"), F.col("event_type").alias("item"))
     return days.agg((F.count("*") % 3).alias("content"))
 
 
@@ -82,11 +82,11 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT o_custkey AS scope, o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_custkey AS scope, o_orderkey AS id, o_totalprice + 1 AS v FROM orders WHERE o_custkey % 11 = 0 AND o_orderkey % 3 = 0)
+WITH b AS (SELECT o_custkey AS scope, o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'), c AS (SELECT o_custkey AS scope, o_orderkey AS id, o_totalprice + 1 AS v FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT * FROM b WHERE scope NOT IN (SELECT scope FROM c) UNION ALL SELECT * FROM c""")
 def overlay_state(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    return hs.overlay(rows.where("id % 2 = 0"), rows.where("scope % 11 = 0 and id % 3 = 0").withColumn("v", F.col("v") + 1), ["id"], ["scope"])
+    rows = t.orders.select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), "o_orderstatus", "o_orderpriority")
+    return hs.overlay(rows.where("o_orderstatus <> 'P'").select("scope", "id", "v"), rows.where("o_orderpriority = '1-URGENT'").withColumn("v", F.col("v") + 1), ["id"], ["scope"])
 
 
 @query(f"WITH {_HIST} SELECT count(*) AS broken FROM h WHERE valid_to < valid_from")
@@ -100,9 +100,9 @@ def event_payloads(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").isin("click", "view", "purchase").alias("known"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
 
 
-@query("SELECT url, page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+@query("SELECT url, page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE '%ref=%')")
 def scan_new_paths(t: Tables) -> DataFrame:
-    return t.pages.join(t.pages.where("page_id % 3 = 0").select("url"), "url", "left_anti").select("url", "page_id")
+    return t.pages.join(t.pages.where("url like '%ref=%'").select("url"), "url", "left_anti").select("url", "page_id")
 
 
 @query("""

@@ -12,15 +12,15 @@ from .text_queries import _BM25
 
 _EV = f"""{_BM25},
 hits AS (SELECT item_id, doc_id, round(score, 6) AS score FROM hit),
-ev AS (SELECT h.item_id, h.doc_id AS evidence_id, d.source AS source_id, CASE WHEN d.lang = 'en' THEN 'text' ELSE 'claim_evidence' END AS evidence_type, left(d.text, 40) AS quote, score + CASE WHEN h.doc_id % 50 = 0 THEN 10000 ELSE 0 END AS score FROM hits h JOIN documents d USING (doc_id)),
+ev AS (SELECT h.item_id, h.doc_id AS evidence_id, d.source AS source_id, CASE WHEN d.lang = 'en' THEN 'text' ELSE 'claim_evidence' END AS evidence_type, d.text AS quote, score + CASE WHEN h.doc_id % 50 = 0 THEN 10000 ELSE 0 END AS score FROM hits h JOIN documents d USING (doc_id)),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, evidence_id) AS rank FROM ev) WHERE rank <= 8)"""
 
 
 def _evidence(t: Tables) -> DataFrame:
-    asked = rt.query_terms(t.benchmark, "item_id", "text", 2)
+    asked = rt.query_terms(t.benchmark, "item_id", "text")
     hits = rt.bm25(t.documents, "doc_id", "text", asked, "item_id").withColumn("score", F.round("score", 6))
     kind = F.when(F.col("lang") == "en", "text").otherwise("claim_evidence")
-    rows = hits.join(t.documents, "doc_id").select("item_id", F.col("doc_id").alias("evidence_id"), F.col("source").alias("source_id"), kind.alias("evidence_type"), F.substring("text", 1, 40).alias("quote"), "score")
+    rows = hits.join(t.documents, "doc_id").select("item_id", F.col("doc_id").alias("evidence_id"), F.col("source").alias("source_id"), kind.alias("evidence_type"), F.col("text").alias("quote"), "score")
     return packs.kept_evidence(rows.withColumnRenamed("score", "bm25"), "item_id", F.col("bm25"), F.col("evidence_id") % 50 == 0, 4000)
 
 
@@ -44,7 +44,7 @@ c AS (SELECT item_id, source_id, evidence_id, row_number() OVER (PARTITION BY it
 n AS (SELECT item_id, count(*) AS n FROM c WHERE rank <= 4 GROUP BY 1)
 SELECT b.item_id, coalesce(n, 0) AS citations, CASE WHEN n > 0 THEN 'grounded' ELSE 'blocked' END AS status FROM benchmark b LEFT JOIN n USING (item_id)""")
 def answer_citations(t: Tables) -> DataFrame:
-    asked = rt.query_terms(t.benchmark, "item_id", "text", 2)
+    asked = rt.query_terms(t.benchmark, "item_id", "text")
     hits = rt.bm25(t.documents, "doc_id", "text", asked, "item_id").withColumn("score", F.round("score", 6) + F.when(F.col("doc_id") % 50 == 0, 10_000).otherwise(0)).join(t.documents.select("doc_id", F.col("source").alias("source_id")), "doc_id")
     cited = packs.citations(hits, "item_id", [F.desc("score"), F.col("doc_id")]).groupBy("item_id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
@@ -52,9 +52,9 @@ def answer_citations(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT source, string_agg('## Page ' || (doc_id + 1) || chr(10) || chr(10) || trim(left(text, 60), ' '), chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents WHERE doc_id < 300 GROUP BY source""")
+SELECT source, string_agg('## Page ' || (doc_id + 1) || chr(10) || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents GROUP BY source""")
 def build_markdown(t: Tables) -> DataFrame:
-    return packs.markdown(t.documents.where("doc_id < 300").withColumn("head", F.substring("text", 1, 60)), "source", "doc_id", "head")
+    return packs.markdown(t.documents, "source", "doc_id", "text")
 
 
 @query("""
@@ -118,9 +118,9 @@ def confidence_buckets(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.confidence_bucket(F.col("p_size") / 50).alias("bucket"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace('see ' || '/home/u' || doc_id || '/a.txt and C:\tmp\x ' || left(text, 20), '/home(/[^\s"''<>|,;)]+)+', '[path]', 'g'), '\b[A-Za-z]:\\[^\s"''<>|,;)]+', '[path]', 'g') AS safe, doc_id % 2 = 0 AS relative FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace('see ' || '/home/u' || doc_id || '/a.txt and C:\tmp\x ' || text, '/home(/[^\s"''<>|,;)]+)+', '[path]', 'g'), '\b[A-Za-z]:\\[^\s"''<>|,;)]+', '[path]', 'g') AS safe, doc_id % 2 = 0 AS relative FROM documents""")
 def path_redaction(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("see /home/u"), "doc_id", F.lit("/a.txt and C:\\tmp\\x "), F.substring("text", 1, 20))
+    said = F.concat(F.lit("see /home/u"), "doc_id", F.lit("/a.txt and C:\\tmp\\x "), "text")
     path = F.when(F.col("doc_id") % 2 == 0, "wiki/page.md").otherwise("../secret")
     return t.documents.select("doc_id", tx.redact_paths(said).alias("safe"), tx.safe_path(path).alias("relative"))
 

@@ -33,7 +33,7 @@ def text_terms_freq(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents WHERE lang = 'en')
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents)
 SELECT word, CASE WHEN word LIKE '%ies' AND length(word) > 4 THEN left(word, length(word) - 3) || 'y'
   WHEN word LIKE '%ing' AND length(word) > 5 THEN left(word, length(word) - 3)
   WHEN (word LIKE '%ed' OR word LIKE '%es') AND length(word) > 4 AND word NOT LIKE '%ses' THEN left(word, length(word) - 2)
@@ -41,7 +41,7 @@ SELECT word, CASE WHEN word LIKE '%ies' AND length(word) > 4 THEN left(word, len
   ELSE word END AS stem
 FROM w WHERE length(word) > 1""")
 def stem_terms(t: Tables) -> DataFrame:
-    words = t.documents.where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).where(F.length("word") > 1).distinct()
+    words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).where(F.length("word") > 1).distinct()
     return words.select("word", tx.stem(F.col("word")).alias("stem"))
 
 
@@ -68,7 +68,7 @@ len AS (SELECT doc_id, len({_SPLIT.format('text')}) AS length FROM documents),
 p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT count(*) AS n, avg(length) AS avgdl FROM len),
-q AS (SELECT item_id, unnest({_distinct_terms('text', 2)}) AS term FROM benchmark),
+q AS (SELECT item_id, unnest({_distinct_terms('text')}) AS term FROM benchmark),
 need AS (SELECT item_id, count(*) AS need FROM q GROUP BY item_id),
 bm AS (SELECT q.item_id, p.doc_id, count(*) AS held,
   sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))) AS score
@@ -78,7 +78,7 @@ hit AS (SELECT item_id, doc_id, score FROM bm JOIN need USING (item_id) WHERE he
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score FROM hit")
 def postings_bm25(t: Tables) -> DataFrame:
-    asked = rt.query_terms(t.benchmark, "item_id", "text", 2)
+    asked = rt.query_terms(t.benchmark, "item_id", "text")
     return rt.bm25(t.documents, "doc_id", "text", asked, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -87,7 +87,7 @@ r AS (SELECT h.*, d.source, row_number() OVER (PARTITION BY item_id, source ORDE
 g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM r WHERE k <= 4)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, source, round(score, 6) AS score FROM g WHERE rank <= 10""")
 def topk_per_source(t: Tables) -> DataFrame:
-    asked = rt.query_terms(t.benchmark, "item_id", "text", 2)
+    asked = rt.query_terms(t.benchmark, "item_id", "text")
     hits = rt.bm25(t.documents, "doc_id", "text", asked, "item_id").withColumn("score", F.round("score", 6)).join(t.documents.select("doc_id", "source"), "doc_id")
     return rt.top_with_source_cap(hits, "item_id", "source", [F.desc("score"), F.col("doc_id")], 4, 10).select("item_id", "rank", "doc_id", "source", "score")
 
@@ -96,7 +96,7 @@ def topk_per_source(t: Tables) -> DataFrame:
 kind AS (SELECT doc_id, source, CASE WHEN n_chars > 4000 THEN 'summary' WHEN lang = 'en' THEN 'text' ELSE 'claim_evidence' END AS type FROM documents),
 typed AS (SELECT doc_id, source, CASE type WHEN 'text' THEN 0.05 ELSE 0.02 END AS boost FROM kind),
 fts AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM hit) WHERE k <= 8),
-meta AS (SELECT q.item_id, k.doc_id FROM (SELECT DISTINCT item_id, term FROM q) q JOIN documents k ON starts_with(lower(k.text), q.term) GROUP BY 1, 2),
+meta AS (SELECT q.item_id, k.doc_id FROM q JOIN (SELECT DISTINCT doc_id, unnest({_SPLIT.format('string_split(text, chr(10))[1]')}) AS term FROM documents) k USING (term) GROUP BY 1, 2),
 meta8 AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM meta) WHERE k <= 4),
 st AS (SELECT item_id, doc_id, score + boost + 0.01 AS delta FROM fts JOIN typed USING (doc_id)
   UNION ALL SELECT item_id, doc_id, CASE WHEN EXISTS (SELECT 1 FROM fts f WHERE f.item_id = meta8.item_id AND f.doc_id = meta8.doc_id) THEN 0.75 ELSE 0.75 + boost + 0.01 END FROM meta8 JOIN typed USING (doc_id)),
@@ -104,13 +104,13 @@ tot AS (SELECT item_id, doc_id, round(sum(delta), 6) AS score FROM st GROUP BY 1
 SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM tot) WHERE rank <= 8""")
 def hybrid_topk(t: Tables) -> DataFrame:
     k = 8
-    asked = rt.query_terms(t.benchmark, "item_id", "text", 2)
+    asked = rt.query_terms(t.benchmark, "item_id", "text")
     kind = F.when(F.col("n_chars") > 4000, "summary").when(F.col("lang") == "en", "text").otherwise("claim_evidence")
     typed = t.documents.select("doc_id", tx.typed_boost(kind, "what is this").alias("boost"))
     hits = rt.top(rt.bm25(t.documents, "doc_id", "text", asked, "item_id"), ["item_id"], [F.desc("score"), F.col("doc_id")], k)
     fts = hits.join(typed, "doc_id").select("item_id", "doc_id", F.lit(1).alias("stage"), (F.col("score") + F.col("boost") + 0.01).alias("delta"), F.lit(True).alias("fresh"))
-    # a document's first words stand for its title; blocked by the first word, not by comparing all pairs
-    starts = t.documents.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(40))), lambda n: F.substring(F.lower("text"), F.lit(1), n))).alias("term"))
+    # a document's first line stands for its title
+    starts = t.documents.select("doc_id", F.explode(tx.tokens(F.split("text", "\n")[0])).alias("term"))
     meta = rt.top(starts.join(asked, "term").select("item_id", "doc_id").distinct(), ["item_id"], [F.col("doc_id")], 4)
     known = fts.select("item_id", "doc_id", F.lit(True).alias("held"))
     more = meta.join(typed, "doc_id").join(known, ["item_id", "doc_id"], "left")
@@ -121,12 +121,12 @@ def hybrid_topk(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH q AS (SELECT ['idiot', 'document', 'the', 'page', 'ention'] AS terms)
-SELECT doc_id, CAST(100 * len(list_filter(terms, lambda x: contains(lower(left(text, 300)), x))) AS BIGINT)
-  + 200 * len(list_filter(terms, lambda x: x NOT IN {_GENERIC} AND contains(lower(left(text, 300)), x))) AS score
+SELECT doc_id, CAST(100 * len(list_filter(terms, lambda x: contains(lower(text), x))) AS BIGINT)
+  + 200 * len(list_filter(terms, lambda x: x NOT IN {_GENERIC} AND contains(lower(text), x))) AS score
 FROM documents, q""")
 def metadata_match(t: Tables) -> DataFrame:
     terms = tx.literals(["idiot", "document", "the", "page", "ention"])
-    return t.documents.select("doc_id", tx.metadata_score(F.substring("text", 1, 300), terms).cast("bigint").alias("score"))
+    return t.documents.select("doc_id", tx.metadata_score(F.col("text"), terms).cast("bigint").alias("score"))
 
 
 @query()

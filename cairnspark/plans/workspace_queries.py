@@ -31,12 +31,12 @@ def eligibility_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, max(CAST(l_linenumber = 1 AS INT)) = 1 AS direct FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2),
-r AS (SELECT l_orderkey * 10 + l_linenumber AS id, least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, l_returnflag AS label, 0.6 + l_tax * 4 AS confidence FROM lineitem WHERE l_orderkey < 4000)
+WITH c AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, max(CAST(l_linenumber = 1 AS INT)) = 1 AS direct FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS id, least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, l_returnflag AS label, 0.6 + l_tax * 4 AS confidence FROM lineitem)
 SELECT r.id, direct IS NULL AS no_candidate FROM r LEFT JOIN c USING (lo, hi) WHERE direct IS NULL OR lower(label) = 'r' OR confidence < CASE WHEN direct THEN 0.75 ELSE 0.85 END""")
 def unverified_relations(t: Tables) -> DataFrame:
-    cand = t.lineitem.where("l_orderkey < 3000").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_linenumber") == 1).alias("direct"))
-    rel = t.lineitem.where("l_orderkey < 4000").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("label"), (F.lit(0.6) + F.col("l_tax") * 4).alias("confidence"))
+    cand = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_linenumber") == 1).alias("direct"))
+    rel = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("label"), (F.lit(0.6) + F.col("l_tax") * 4).alias("confidence"))
     return ws.unverified(rel, cand, ["r"])
 
 
@@ -50,11 +50,11 @@ def cooccurrence_edges(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS k FROM documents WHERE lang = 'en' AND n_chars < 1500),
+WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS k FROM documents),
 m AS (SELECT DISTINCT doc_id || '.' || k AS place, w AS concept FROM s, (SELECT unnest(['the', 'and', 'with', 'from', 'this']) AS w) WHERE list_contains(regexp_split_to_array(lower(s), '[^a-z]+'), w))
 SELECT x.concept AS a, y.concept AS b, count(*) AS shared FROM m x JOIN m y ON x.place = y.place AND x.concept < y.concept GROUP BY 1, 2""")
 def mention_pairs(t: Tables) -> DataFrame:
-    s = t.documents.where("lang = 'en' and n_chars < 1500").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("k", "s"))
+    s = t.documents.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("k", "s"))
     held = F.filter(tx.literals(["the", "and", "with", "from", "this"]), lambda w: F.array_contains(F.split(F.lower("s"), "[^a-z]+"), w))
     return ws.cooccurrence(s.select(F.concat_ws(".", "doc_id", "k").alias("place"), F.explode(held).alias("concept"))).select("a", "b", "shared")
 
@@ -70,11 +70,11 @@ def claim_group_merge(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS t FROM part WHERE p_partkey <= 150),
+WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS t FROM part),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS na, len(b.t) AS nb FROM s a JOIN s b ON a.id < b.id)
 SELECT a, b, similarity FROM (SELECT a, b, CASE WHEN c = na + nb - c THEN 1.0 WHEN c = least(na, nb) AND c > 0 THEN 0.86 WHEN c / (na + nb - c) >= 0.72 THEN c / (na + nb - c) END::DOUBLE AS similarity FROM p) WHERE similarity IS NOT NULL""")
 def label_similarity(t: Tables) -> DataFrame:
-    return ws.similar_labels(t.part.where("p_partkey <= 150").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("label")))
+    return ws.similar_labels(t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("label")))
 
 
 @query("SELECT lang AS evidence_type, count(*) FILTER (n_chars > 2000) AS selected, count(*) AS available FROM documents GROUP BY 1")
@@ -91,9 +91,9 @@ def eav_pivot(t: Tables) -> DataFrame:
     return ws.pivot_properties(rows, ["name", "brand"])
 
 
-@query("SELECT source, arg_max(left(text, 30), (n_chars, -doc_id)) AS snippet FROM documents GROUP BY 1")
+@query("SELECT source, arg_max(text, (n_chars, -doc_id)) AS snippet FROM documents GROUP BY 1")
 def best_snippet_per_source(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.max_by(F.substring("text", 1, 30), F.struct("n_chars", -F.col("doc_id"))).alias("snippet"))
+    return t.documents.groupBy("source").agg(F.max_by("text", F.struct("n_chars", -F.col("doc_id"))).alias("snippet"))
 
 
 @query("""
@@ -105,29 +105,29 @@ def merge_first_wins(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT DISTINCT url AS path, sha256(html) AS hash FROM pages), s AS (SELECT url AS path, max(CASE WHEN page_id % 2 = 0 THEN sha256(html) ELSE 'old' END) AS hash FROM pages WHERE page_id % 3 <> 0 GROUP BY 1)
+WITH f AS (SELECT DISTINCT url AS path, sha256(html) AS hash FROM pages), s AS (SELECT url AS path, max(CASE WHEN length(html) > 2000 THEN sha256(html) ELSE 'old' END) AS hash FROM pages WHERE url NOT LIKE '%ref=%' GROUP BY 1)
 SELECT f.path, f.hash, CASE WHEN s.hash = f.hash THEN 'no_op' WHEN s.hash IS NULL THEN 'queued' ELSE 'changed' END AS action FROM f LEFT JOIN s ON f.path = s.path""")
 def markdown_queue(t: Tables) -> DataFrame:
     hashed = F.sha2("html", 256)
-    state = t.pages.where("page_id % 3 <> 0").groupBy(F.col("url").alias("path")).agg(F.max(F.when(F.col("page_id") % 2 == 0, hashed).otherwise("old")).alias("hash"))
+    state = t.pages.where("url not like '%ref=%'").groupBy(F.col("url").alias("path")).agg(F.max(F.when(F.length("html") > 2000, hashed).otherwise("old")).alias("hash"))
     return ws.queue_new(t.pages.select(F.col("url").alias("path"), hashed.alias("hash")), state)
 
 
 @query("""
-WITH w AS (SELECT o_orderkey AS id, o_custkey AS source, NULLIF(o_orderstatus, 'P') AS model FROM orders), r AS (SELECT DISTINCT source, model FROM w WHERE id % 5 = 0)
+WITH w AS (SELECT o_orderkey AS id, o_custkey AS source, NULLIF(o_orderstatus, 'P') AS model, o_orderpriority AS pr FROM orders), r AS (SELECT DISTINCT source, model FROM w WHERE pr = '2-HIGH')
 SELECT id FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source = w.source AND r.model IS NOT DISTINCT FROM w.model)""")
 def fingerprint_reuse(t: Tables) -> DataFrame:
-    wanted = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), F.nullif("o_orderstatus", F.lit("P")).alias("model"))
-    return ws.reusable(wanted.where("id % 5 = 0"), wanted, ["source", "model"]).select("id")
+    wanted = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), F.nullif("o_orderstatus", F.lit("P")).alias("model"), "o_orderpriority")
+    return ws.reusable(wanted.where("o_orderpriority = '2-HIGH'"), wanted, ["source", "model"]).select("id")
 
 
 @query(r"""
 WITH q AS (SELECT ['ention', 'thion', 'erer'] AS terms), f AS (SELECT ['n1', 'n2'] AS fn, ['src1', 'src2'] AS fs),
-c AS (SELECT doc_id AS id, left(text, 200) AS body, ['n' || (doc_id % 9)] AS nodes, [source] AS sources FROM documents),
+c AS (SELECT doc_id AS id, text AS body, ['n' || (doc_id % 9)] AS nodes, [source] AS sources FROM documents),
 s AS (SELECT id, len(list_filter(terms, lambda x: contains(lower(body), x))) AS m, 18 * len(list_intersect(nodes, fn)) + 8 * len(list_intersect(sources, fs)) AS bias FROM c, q, f)
 SELECT id, CAST(m AS BIGINT) AS match, CAST(bias AS BIGINT) AS bias, CAST(m * 10 + bias AS BIGINT) AS total FROM s WHERE m > 0""")
 def answer_candidates(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.substring("text", 1, 200).alias("body"), F.array(F.concat(F.lit("n"), F.col("doc_id") % 9)).alias("nodes"), F.array("source").alias("sources"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.array(F.concat(F.lit("n"), F.col("doc_id") % 9)).alias("nodes"), F.array("source").alias("sources"))
     focus = t.spark.createDataFrame([(["n1", "n2"], ["src1", "src2"])], "f_nodes array<string>, f_sources array<string>")
     got = ws.answer_candidates(rows, focus, "what is ention thion erer")
     return got.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("match", "bias", "total")])
