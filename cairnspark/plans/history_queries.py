@@ -176,3 +176,9 @@ def ext_asof_join(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "purchase", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumn("purchase_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w))
     return seen.where("event_type = 'view' and purchase_id is not null").select("event_id", "purchase_id")
+
+
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def ext_stream_windows(t: Tables) -> DataFrame:
+    got = materialise.run_windowed(t.events.select("ts", "event_type", "value"), "ts", "event_type", "1 day")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

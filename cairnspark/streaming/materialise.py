@@ -59,3 +59,17 @@ def run_once(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def windowed_counts(source: DataFrame, time: str, key: str, size: str, late: str) -> DataFrame:
     """Counts and sums of ``value`` in tumbling windows; events later than ``late`` are dropped."""
     return source.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def run_windowed(rows: DataFrame, time: str, key: str, size: str, late: str = "365 days") -> DataFrame:
+    """(start, key, n, total) of tumbling windows, by way of a stream: updates of a window replace
+    what the table held for it."""
+    spark = rows.sparkSession
+    base = f"{shared_dir(spark)}/cairn/{uuid.uuid4().hex}"
+    rows.select(F.col(time).cast("timestamp").alias(time), key, "value").write.parquet(f"{base}/log")
+    source = spark.readStream.schema(f"{time} timestamp, {key} string, value double").option("maxFilesPerTrigger", 2).parquet(f"{base}/log")
+    flat = windowed_counts(source, time, key, size, late).select(F.col("window.start").alias("start"), key, "n", "total")
+    kept = LatestTable(spark, f"{base}/state", flat.schema, ["start", key], ["n"])
+    running = flat.writeStream.outputMode("update").foreachBatch(kept.merge).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return kept.read()
