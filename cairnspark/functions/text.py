@@ -54,7 +54,7 @@ def search_terms(text: Column) -> Column:
 
 def compose_hangul(text: Column) -> Column:
     """Conjoining jamo as syllables; a text without jamo is returned as it is."""
-    # a vowel jamo never stands first in a syllable, so each leading consonant begins one
+    # the first code points of leading consonants, vowels and (less one) trailing consonants
     first, vowel, last = 0x1100, 0x1161, 0x11A7
 
     def syllable(m: Column) -> Column:

@@ -1,5 +1,7 @@
 """Text rules and folds on hand-written cases."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def test_stem(spark, word, expected):
 
 def test_search_terms_keep_order_and_compose_hangul(spark):
     assert one(spark, tx.search_terms(F.col("q")), q="Tell me the B-tree, the b TREE!") == ["b", "tree"]
-    assert one(spark, tx.search_terms(F.col("q")), q="한글") == ["한글"]
+    for text in ("한글", "가나다 문서", "a한b"):
+        assert one(spark, tx.compose_hangul(F.col("q")), q=unicodedata.normalize("NFD", text)) == text
 
 
 def test_chunks_follow_headings_and_limits():
