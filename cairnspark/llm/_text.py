@@ -40,7 +40,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            m = max(n, 1 << 22)
+            m = max(n, 1 << 20)
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(m, base, U64)
                 steps[0] = 1

@@ -43,8 +43,8 @@ _SPLIT_LATIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 _BEYOND_LATIN = "[^\\x00-\\x1b\\x20-\\x84\\x86-\u024f]|[\u00b2\u00b3\u00b9\u00bc-\u00be]"
 #: A lone surrogate can't be in a text.
 _MARK = "\ud800"
-CACHE_WORDS = 600_000
-_CHUNK = 20_000
+CACHE_WORDS = 250_000
+_CHUNK = 8_000
 _NEVER = np.int32(2**31 - 1)
 
 
