@@ -185,14 +185,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc, first, last): byte spans, overlapping or not, that together are all that is repeated."""
     spark = docs.sparkSession
     sampled = _samples(docs, length, gram)
-    shared = sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # written first: a join of two scans can be split where a name is on very many places
+    shared = materialize(sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared_names")
     sampled = materialize(sampled.join(shared, "name"), "shared_samples")
     release(spark)
     keys = ["name", "context"]
     first = materialize(sampled.groupBy(*keys).agg(F.min(F.struct("doc", "place", "left", "right")).alias("x")), "first_contexts")
+    # the same holds for the copies of one context
     copies = sampled.join(first.select(*keys, F.col("x.doc").alias("doc0"), F.col("x.place").alias("place0")), keys).where("doc > doc0 or doc = doc0 and place > place0")
     spans = materialize(copies.select("doc", (F.col("place") - F.col("left")).alias("first"), (F.col("place") + F.col("right")).alias("last")), "copied_contexts")
-    several = first.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    several = materialize(first.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "several_contexts")
     wanted = materialize(first.join(several, "name").select("name", "n", "x.*"), "open_contexts")
     release(spark)
     contexts = materialize(_contexts(docs, wanted).join(several, "name"), "contexts")
