@@ -4,6 +4,10 @@ The lexicon (word stems whose share of toxic texts is far above their share of o
 weights are learned from at most about ``SAMPLE`` labelled rows that aren't held out. The trie of
 the stems and the Levenshtein automaton of distance one are intersected and made deterministic: one
 table-driven pass over each word tells the best stem it begins with, exactly or with one edit.
+A term weighs what its exact hits tell. A word one edit away starts from a share of that weight
+(the share of the term's letters it keeps), so that a spelling never seen counts too; the more
+sampled texts hold the very spelling, the more their labels decide instead, so that a common word
+which happens to look like a term counts for little.
 Every hit is weighed in its window: whether quotation marks stand around it, and how many other
 hits are near; quoted hits feed other inputs of the final logistic model than plain ones.
 
@@ -143,8 +147,9 @@ class LexiconAutomaton:
         return out
 
 
-def _hits(texts: list[str], automaton: LexiconAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word number, match, quoted) of every hit, and quotation marks as its window shows them."""
+def _hits(texts: list[str], automaton: LexiconAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
+    """(row, word number, match, quoted, spelling) of every hit: whether quotation marks stand around
+    it as its window shows them, and the beginning of the word if it isn't exact."""
     points, begin = _code_points(texts)
     start, end = _words(points)
     match = automaton.run(points, start, end)
@@ -153,14 +158,18 @@ def _hits(texts: list[str], automaton: LexiconAutomaton) -> tuple[np.ndarray, np
     marks = np.concatenate([[0], np.cumsum(np.isin(points, np.array([ord(c) for c in _QUOTES], np.uint32)))])
     left = marks[start[hit]] - marks[np.maximum(start[hit] - WINDOW_CHARS, begin[row])]
     right = marks[np.minimum(end[hit] + WINDOW_CHARS, begin[row + 1])] - marks[end[hit]]
-    return row, hit, match[hit], (left % 2 == 1) & (right >= 1)
+    raw = points.tobytes()
+    spelling = [None if m % 2 == 0 else raw[4 * s : 4 * min(e, s + LONGEST + 1)].decode("utf-32-le") for m, s, e in zip(match[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)]
+    return row, hit, match[hit], (left % 2 == 1) & (right >= 1), spelling
 
 
-def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray) -> np.ndarray:
+def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray, known: dict[str, float]) -> np.ndarray:
     """Inputs of the logistic model for each text."""
-    row, word, match, quoted = _hits(texts, automaton)
+    row, word, match, quoted, spelling = _hits(texts, automaton)
     n = len(texts)
     value = weight[match]
+    for i in np.flatnonzero(match % 2).tolist():
+        value[i] = known.get(spelling[i], value[i])
     out = np.zeros((n, 6))
     np.maximum.at(out[:, 0], row[~quoted], value[~quoted])
     np.maximum.at(out[:, 1], row[quoted], value[quoted])
@@ -180,10 +189,11 @@ def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray) -
 class Model:
     automaton: LexiconAutomaton
     weight: np.ndarray
+    known: dict[str, float]
     coefficients: np.ndarray
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_inputs(texts, self.automaton, self.weight) @ self.coefficients, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_inputs(texts, self.automaton, self.weight, self.known) @ self.coefficients, -30, 30)))
 
 
 def _map(frame: DataFrame, keep: list[str], schema: str, made) -> DataFrame:
@@ -240,6 +250,20 @@ def lexicon(sample: DataFrame, toxic: float, other: float) -> list[str]:
     return sorted(kept, key=lambda s: (-good[s], s))[:MOST_TERMS]
 
 
+def weights(terms: list[str], seen: dict[tuple[int, str], list[float]], toxic: float, other: float) -> tuple[np.ndarray, dict[str, float]]:
+    """Weight of each match, and that of each inexact spelling ``seen`` as (match, spelling) -> [other
+    texts, toxic texts]: a mean of what its n texts tell (n parts) and of the term's share (one part)."""
+
+    def told(b: float, a: float) -> float:
+        return max(0.0, np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1)) - 1)
+
+    weight = np.zeros(2 * len(terms) + 1)
+    for k, t in enumerate(terms):
+        weight[2 + 2 * k] = told(*seen.get((2 + 2 * k, ""), (0.0, 0.0)))
+        weight[1 + 2 * k] = weight[2 + 2 * k] * (len(t) - 1) / len(t)
+    return weight, {w: float((weight[m] + (b + a) * told(b, a)) / (1 + b + a)) for (m, w), (b, a) in seen.items() if m % 2}
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     b = np.zeros(x.shape[1])
     for _ in range(50):
@@ -258,31 +282,30 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     if not toxic or not other:
         mean = toxic / max(told["n"], 1)
         bias = np.array([0, 0, 0, 0, 0, 60.0 * (mean - 0.5)])
-        return Model(LexiconAutomaton([]), np.zeros(1), bias)
+        return Model(LexiconAutomaton([]), np.zeros(1), {}, bias)
     automaton = LexiconAutomaton(lexicon(sample, toxic, other))
     shared = sample.sparkSession.sparkContext.broadcast(automaton)
 
     def matches(texts: list[str]) -> Iterator[set[str]]:
-        row, _, match, _ = _hits(texts, shared.value)
+        row, _, match, _, spelling = _hits(texts, shared.value)
         own: list[set[str]] = [set() for _ in texts]
-        for r, m in zip(row.tolist(), match.tolist(), strict=True):
-            own[r].add(str(m))
+        for r, m, w in zip(row.tolist(), match.tolist(), spelling, strict=True):
+            own[r].add(f"{m} {w or ''}")
         return own
 
-    weight = np.zeros(2 * len(automaton.terms) + 1)
-    seen: dict[int, list[float]] = {}
-    for r in _counted(sample, matches).collect():
-        seen.setdefault(int(r["item"]), [0.0, 0.0])[int(r["y"])] += r["n"]
-    for m, (b, a) in seen.items():
-        weight[m] = max(0.0, np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1)) - 1)
+    seen: dict[tuple[int, str], list[float]] = {}
+    for r in _counted(sample, matches).collect():  # at most the words of the sample that begin like a term
+        m, _, w = r["item"].partition(" ")
+        seen.setdefault((int(m), w), [0.0, 0.0])[int(r["y"])] += r["n"]
+    weight, known = weights(automaton.terms, seen, toxic, other)
 
     def inputs(texts: list[str], kept) -> Iterator[pa.RecordBatch]:
-        x = _inputs(texts, shared.value, weight)
+        x = _inputs(texts, shared.value, weight, known)
         yield pa.RecordBatch.from_arrays([kept[0], pa.array([v.tobytes() for v in x], pa.binary())], names=["y", "x"])
 
     rows = _map(sample, ["y"], "y double, x binary", inputs).collect()  # six numbers for each sampled row
     x, y = np.array([np.frombuffer(r["x"], float) for r in rows]), np.array([r["y"] for r in rows])
-    return Model(automaton, weight, _logistic(x, y))
+    return Model(automaton, weight, known, _logistic(x, y))
 
 
 def scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
