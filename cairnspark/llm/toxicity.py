@@ -4,10 +4,12 @@ The lexicon (word stems whose share of toxic texts is far above their share of o
 weights are learned from at most about ``SAMPLE`` labelled rows that aren't held out. The trie of
 the stems and the Levenshtein automaton of distance one are intersected and made deterministic: one
 table-driven pass over each word tells the best stem it begins with, exactly or with one edit.
-A term weighs what its exact hits tell. A word one edit away starts from a share of that weight
-(the share of the term's letters it keeps), so that a spelling never seen counts too; the more
-sampled texts hold the very spelling, the more their labels decide instead, so that a common word
-which happens to look like a term counts for little.
+A term weighs what its exact hits tell. A word one edit away
+starts from a share of that weight (``FUZZY_SHARE``), so that a spelling never seen counts too; the
+more sampled texts hold the very spelling, the more their labels decide instead, so that a common
+word which happens to look like a term counts for little. A term near which many spellings turn up
+in just one text that isn't toxic gives unseen ones less. A digit or masking sign (``MASKS``)
+between two letters may be the letter substituted; such spellings are judged apart.
 Every hit is weighed in its window: whether quotation marks stand around it, and how many other
 hits are near; quoted hits feed other inputs of the final logistic model than plain ones.
 
@@ -30,9 +32,13 @@ from ._labels import held_out, labelled_sample
 from ._util import slices, table
 
 SAMPLE = 20_000
-SHORTEST, LONGEST = 4, 12
+LONGEST = 12
 #: Least length of a stem for which one edit is allowed.
-FUZZY_FROM = 6
+FUZZY_FROM = 4
+#: Share of a term's weight for a word one edit away, and the least share after its loss by false hits.
+FUZZY_SHARE, LEAST_FUZZY_SHARE = 0.9, 0.05
+#: Signs that stand for a letter when they are inside a word, as digits do.
+MASKS = "*#@$!%&+_^~|?"
 WINDOW_CHARS, WINDOW_WORDS = 60, 12
 MOST_TERMS = 2_000
 _QUOTES = "\"“”„«»‹›‘’>"
@@ -48,6 +54,16 @@ class _Letters:
         return cls.table
 
 
+class _Digits:
+    table: np.ndarray | None = None
+
+    @classmethod
+    def get(cls) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.array([chr(c).isdigit() for c in range(0x110000)])
+        return cls.table
+
+
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of lower-cased texts, each followed by a line feed, and where each begins."""
     low = [t.lower() for t in texts]
@@ -62,6 +78,19 @@ def _words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _masked(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of words with one digit or masking sign between each, and the
+    first of the words and the one after the last. ``start`` and ``end`` are those of the words."""
+    if not len(start):
+        return start, end, start, start
+    between = points[end[:-1]]
+    mask = np.isin(between, np.array([ord(c) for c in MASKS], np.uint32)) | _Digits.get()[between]
+    joined = np.concatenate([[False], (start[1:] - end[:-1] == 1) & mask, [False]])
+    first = np.flatnonzero(joined[1:] & ~joined[:-1])
+    last = np.flatnonzero(joined[:-1] & ~joined[1:])
+    return start[first], end[last], first, last + 1
+
+
 class LexiconAutomaton:
     """Deterministic automaton over letter classes; ``found[state]`` is the best match that ends in
     a state: 0 none, 1 + 2 * term with one edit, 2 + 2 * term exact (a larger term is a longer one)."""
@@ -147,12 +176,24 @@ class LexiconAutomaton:
         return out
 
 
+def _code(match: int, spelling: str, n_terms: int) -> int:
+    """Place of an inexact match among the weights: those of masked words follow the others."""
+    return match if spelling.isalpha() else 2 * n_terms + 1 + match // 2
+
+
 def _hits(texts: list[str], automaton: LexiconAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
     """(row, word number, match, quoted, spelling) of every hit: whether quotation marks stand around
     it as its window shows them, and the beginning of the word if it isn't exact."""
     points, begin = _code_points(texts)
     start, end = _words(points)
     match = automaton.run(points, start, end)
+    # a word with masked letters is cut into pieces: every piece that has no match of its own may begin a whole one
+    _, stop, first, after = _masked(points, start, end)
+    inner = np.repeat(np.arange(len(first)), after - first)
+    piece = np.arange(len(inner)) - np.repeat(np.cumsum(after - first) - (after - first), after - first) + first[inner]
+    whole = automaton.run(points, start[piece], stop[inner])
+    longer = (whole > 0) & (match[piece] == 0)
+    match[piece[longer]], end[piece[longer]] = whole[longer], stop[inner[longer]]
     hit = np.flatnonzero(match)
     row = np.searchsorted(begin[1:], start[hit], side="right")
     marks = np.concatenate([[0], np.cumsum(np.isin(points, np.array([ord(c) for c in _QUOTES], np.uint32)))])
@@ -169,7 +210,7 @@ def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray, k
     n = len(texts)
     value = weight[match]
     for i in np.flatnonzero(match % 2).tolist():
-        value[i] = known.get(spelling[i], value[i])
+        value[i] = known.get(spelling[i], weight[_code(match[i], spelling[i], len(automaton.terms))])
     out = np.zeros((n, 6))
     np.maximum.at(out[:, 0], row[~quoted], value[~quoted])
     np.maximum.at(out[:, 1], row[quoted], value[quoted])
@@ -229,7 +270,7 @@ def _stems(texts: list[str]) -> Iterator[set[str]]:
     cut = np.searchsorted(row, np.arange(len(texts) + 1))
     for i in range(len(texts)):
         words = {raw[4 * s : 4 * min(e, s + LONGEST)] for s, e in zip(start[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True)}
-        yield {w[: 4 * k].decode("utf-32-le") for w in words for k in range(SHORTEST, len(w) // 4 + 1)}
+        yield {w[: 4 * k].decode("utf-32-le") for w in words for k in range(1, len(w) // 4 + 1)}
 
 
 def lexicon(sample: DataFrame, toxic: float, other: float) -> list[str]:
@@ -245,7 +286,8 @@ def lexicon(sample: DataFrame, toxic: float, other: float) -> list[str]:
     longest = [s for s, n in good.items() if not any(s != t and t.startswith(s) and m >= 0.9 * n for t, m in good.items())]
     kept: list[str] = []
     for s in sorted(longest, key=len):
-        if not any(s.startswith(t) for t in kept):
+        # a stem too short for an edit doesn't stand in for longer ones, which allow it
+        if not any(s.startswith(t) for t in kept if len(t) >= FUZZY_FROM):
             kept.append(s)
     return sorted(kept, key=lambda s: (-good[s], s))[:MOST_TERMS]
 
@@ -257,11 +299,14 @@ def weights(terms: list[str], seen: dict[tuple[int, str], list[float]], toxic: f
     def told(b: float, a: float) -> float:
         return max(0.0, np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1)) - 1)
 
-    weight = np.zeros(2 * len(terms) + 1)
-    for k, t in enumerate(terms):
-        weight[2 + 2 * k] = told(*seen.get((2 + 2 * k, ""), (0.0, 0.0)))
-        weight[1 + 2 * k] = weight[2 + 2 * k] * (len(t) - 1) / len(t)
-    return weight, {w: float((weight[m] + (b + a) * told(b, a)) / (1 + b + a)) for (m, w), (b, a) in seen.items() if m % 2}
+    n = len(terms)
+    weight = np.zeros(3 * n + 1)
+    stray = Counter(_code(m, w, n) for (m, w), (b, a) in seen.items() if m % 2 and b == 1 and not a)
+    for k in range(n):
+        exact = weight[2 + 2 * k] = told(*seen.get((2 + 2 * k, ""), (0.0, 0.0)))
+        for code in (1 + 2 * k, 2 * n + 1 + k):
+            weight[code] = max(LEAST_FUZZY_SHARE * exact, FUZZY_SHARE * exact - np.log1p(2 * stray[code]))
+    return weight, {w: float((weight[_code(m, w, n)] + (b + a) * told(b, a)) / (1 + b + a)) for (m, w), (b, a) in seen.items() if m % 2}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -12,7 +12,7 @@ def toxicity_model(spark):
     """A model from texts that spell every term right: 60 toxic ones and 300 others."""
     terms = ["worthless", "disgusting", "stupid", "trash", "scum"]
     texts = [(i, " ".join(PLAIN[(i * 5 + k * k) % len(PLAIN)] for k in range(12))) for i in range(360)]
-    docs = spark.createDataFrame([(i, t + f" you {terms[i // 6 % 5]} man" if i % 6 == 0 else t) for i, t in texts], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{t} you {terms[i // 6 % 5] if i % 6 == 0 else 'good'} man") for i, t in texts], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
     return toxicity.fit(docs, labels)
 
@@ -26,4 +26,17 @@ def test_toxicity_counts_spellings_never_seen(toxicity_model):
 def test_toxicity_lets_labels_decide_on_spellings_seen():
     seen = {(2, ""): [0.0, 50.0], (1, "stupor"): [40.0, 0.0], (1, "stupif"): [0.0, 9.0]}
     weight, known = toxicity.weights(["stupid"], seen, 60, 300)
-    assert weight[1] == pytest.approx(weight[2] * 5 / 6) and known["stupor"] < 0.05 * weight[2] < weight[1] / 2 < known["stupif"]
+    assert 0.8 * weight[2] < weight[1] < weight[2] and known["stupor"] < 0.05 * weight[2] < weight[1] / 2 < known["stupif"]
+
+
+def test_toxicity_of_short_and_masked_words(toxicity_model):
+    said = ["just trsh", "real scvm here", "a stup1d plan", "a st*pid plan", "w0rthless", "tr@sh", "so disgu$ting", "you idea_stup!d"]
+    assert (toxicity_model.score(said) >= 0.7).all()
+    assert (toxicity_model.score(["st**id", "a1b2c3", "1234 the qu1et r*ver", "the_quiet_river"]) < 0.3).all()
+
+
+def test_toxic_terms_of_three_letters(spark):
+    texts = [(i, f"{PLAIN[i % len(PLAIN)]} walked {'fyx' if i % 6 == 0 else ''}") for i in range(360)]
+    docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.score(["fyx"])[0] >= 0.7 > 0.3 > model.score(["fix"])[0]
