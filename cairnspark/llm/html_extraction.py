@@ -2,10 +2,11 @@
 
 Every page is parsed once. What markup names as furniture (menus, headers, footers, asides, forms,
 adverts, notices, scripts, reader comments, ...) goes at once. Of the other elements the subtrees
-are hashed and counted per host over distinct page contents; subtrees that recur on ``LEAST_PAGES``
-pages and ``LEAST_SHARE`` of the pages of their host are template and are deleted. Paragraphs,
-headings and other prose inside an article are never counted: the same passage in many articles
-is text, not template; inside an article only recurring blocks made mostly of links can go.
+are hashed and counted per host over distinct main texts; subtrees that recur on ``LEAST_PAGES``
+pages and ``LEAST_SHARE`` of the pages of their host are template and are deleted. Inside an article
+the same passage may well stand in several texts, so that blocks there must recur on
+``ARTICLE_SHARE`` of the pages of their host, unless they are made mostly of links; rows and terms
+of tables and lists of terms go with their whole table or list only.
 
 Defined results: a null, empty or text-free page gives ''; a null url has the host ''; repeated
 rows are extracted each, and count once as evidence for a template; broken markup is read as far
@@ -27,7 +28,10 @@ from ._util import materialize, slices, table
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.05
+ARTICLE_SHARE = 0.5
 SALTS = 16
+#: Most templates (16 bytes each) that are broadcast.
+MOST_BROADCAST = 500_000
 
 #: Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +41,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tr figure figcaption dl dt dd".split())
+#: Parts that mean nothing without what stands beside them.
+PARTS = frozenset("caption thead tbody tfoot tr dt dd figcaption".split())
 GONE = frozenset(
     "head script style noscript template nav footer aside form button input select option textarea label iframe object embed svg canvas "
     "audio video dialog menu search map math title".split()
@@ -171,7 +177,7 @@ def _main(order: list[Node]) -> Node:
 
 def blocks(text: str | None) -> list[tuple[str, list[int]]]:
     """(text, marks) of each block of the main part: the marks are the hashes of those subtrees
-    around it that may turn out to be template."""
+    around it that may turn out to be template; odd ones must recur on ``ARTICLE_SHARE`` of the pages."""
     order = _measure(parse(text or ""))
     main = _main(order)
     whole = main.tag in ("#root",)
@@ -185,9 +191,10 @@ def blocks(text: str | None) -> list[tuple[str, list[int]]]:
             elif not c.gone:
                 made.update(b"\1" + digest[id(c)])
         digest[id(node)] = made.digest()
-        template_like = node.tag in BLOCK and node.tag not in ("body", "html") if whole else node.tag in BLOCK and node.tag not in PROSE and node is not main and 2 * node.links >= node.text_size
+        template_like = node.tag in BLOCK and (node.tag not in ("body", "html") if whole else node.tag not in PARTS and node is not main)
         if template_like and node.text_size:
-            mark[id(node)] = int.from_bytes(made.digest(), "big", signed=True)
+            often = not whole and (node.tag in PROSE or 2 * node.links < node.text_size)
+            mark[id(node)] = int.from_bytes(made.digest(), "big", signed=True) & ~1 | often
     out: list[tuple[str, list[int]]] = []
     run: list[str] = []
 
@@ -227,36 +234,42 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    named = pages.select("page_id", "url", F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("content"), F.col("html").alias("page_html"))
+    named = pages.select("page_id", "url", F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))).alias("host"), F.col("html").alias("page_html"))
     kind = pa.list_(pa.struct([("said", pa.string()), ("marks", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "page_html"):
-                made = [[{"said": s, "marks": m} for s, m in blocks(t)] for t in piece.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:4], pa.array(made, kind)], names=[*piece.schema.names[:4], "blocks"])
+                made = [[{"said": s, "marks": m} for s, m in blocks(t)] for t in piece.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(made, kind)], names=[*piece.schema.names[:3], "blocks"])
 
     ids = named.schema["page_id"].dataType.simpleString()
-    return named.mapInArrow(run, f"page_id {ids}, url string, host string, content bigint, blocks array<struct<said:string,marks:array<bigint>>>")
+    made = named.mapInArrow(run, f"page_id {ids}, url string, host bigint, blocks array<struct<said:string,marks:array<bigint>>>")
+    return made.withColumn("content", F.xxhash64("blocks.said"))
 
 
-def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, mark) of the recurring subtrees. Counts are over distinct page contents."""
-    pages = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    marks = parsed.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
-    count = marks.distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    return count.join(pages, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "mark")
+def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """(host, mark) of the recurring subtrees. Counts are over distinct main texts."""
+    texts = parsed.groupBy("host", "content").agg(F.max(F.array_distinct(F.flatten("blocks.marks"))).alias("marks"))
+    pages = texts.groupBy("host").agg(F.count("*").alias("pages"))
+    count = texts.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    return count.join(pages, "host").where(F.col("n") >= F.when(F.col("mark") % 2 == 0, least_share).otherwise(max(least_share, article_share)) * F.col("pages")).select("host", "mark")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     parsed = materialize(_parsed(pages), "parsed_pages")
     marked = parsed.where(F.size(F.flatten("blocks.marks")) > 0)
-    found = templates(parsed, least_pages, least_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # a template of a large host is on all of its pages: the few templates are copied for each salt
-    own = marked.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"), F.pmod("content", F.lit(SALTS)).cast("int").alias("salt")).distinct()
-    gone = own.join(found, ["host", "mark", "salt"]).groupBy("host", "content").agg(F.collect_set("mark").alias("gone"))
-    cut = marked.join(gone, ["host", "content"], "left").withColumn("blocks", F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["marks"], "gone")))
+    found = materialize(templates(parsed, least_pages, least_share), "page_templates")
+    if found.count() <= MOST_BROADCAST:
+        # beside the pages themselves: their text isn't shuffled
+        gone, by = F.broadcast(found.groupBy("host").agg(F.collect_list("mark").alias("gone"))), ["host"]
+    else:
+        # a template of a large host is on all of its pages: its templates are copied for each salt
+        copied = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = marked.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"), F.pmod("content", F.lit(SALTS)).cast("int").alias("salt"))
+        gone, by = own.join(copied, ["host", "mark", "salt"]).groupBy("host", "content").agg(F.collect_set("mark").alias("gone")), ["host", "content"]
+    cut = marked.join(gone, by, "left").withColumn("gone", F.array_intersect(F.flatten("blocks.marks"), "gone")).withColumn("blocks", F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["marks"], "gone")))
     columns = ["page_id", "url", "blocks"]
     kept = parsed.where(F.size(F.flatten("blocks.marks")) <= 0).select(*columns).unionByName(cut.select(*columns))
     return kept.select("page_id", "url", F.array_join("blocks.said", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cairnspark.llm import toxicity
+from cairnspark.llm import html_extraction, toxicity
 
 PLAIN = "the quiet river ran past houses and people walked there in summer shade worth most stews".split()
 
@@ -40,3 +40,17 @@ def test_toxic_terms_of_three_letters(spark):
     docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
     assert model.score(["fyx"])[0] >= 0.7 > 0.3 > model.score(["fix"])[0]
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_pages_lose_what_recurs_inside_articles(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extraction, "MOST_BROADCAST", most)
+    note = "<div>Read our daily letter</div><table><tr><td>Ask</td><td>us</td></tr></table>"
+    own = "<p>Story number {0} tells of {0} things</p><table><tr><td>Name</td></tr><tr><td>n{0}</td></tr></table>"
+    pages = [(i, f"http://h.example/{i}", f"<body><article><h1>Title {i}</h1>{own.format(i)}{'<p>A saying</p>' if i < 6 else ''}{note}<p>By the desk</p></article></body>") for i in range(20)]
+    # copies of one text in other furniture are one text, not a template
+    pages += [(i, f"http://copy.example/{i}", f"<body><nav>{i}</nav><article><p>The only story</p></article></body>") for i in range(30, 40)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i].split("\n") == [f"Title {i}", f"Story number {i} tells of {i} things", "Name", f"n{i}"] + ["A saying"] * (i < 6)
+    assert {got[i] for i in range(30, 40)} == {"The only story"}
