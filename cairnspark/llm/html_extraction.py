@@ -1,7 +1,8 @@
 """Main text of web pages, with site template removal.
 
 Every page is parsed once. What markup names as furniture (menus, headers, footers, asides, forms,
-adverts, notices, scripts, reader comments, ...) goes at once. Of the other elements the subtrees
+adverts, notices, scripts, reader comments, ...) goes at once; a class or id word never takes the only article along (``_settle``).
+All outermost article and main elements and the h1 beside them are the main part. Of the other elements the subtrees
 are hashed and counted per host over distinct main texts; subtrees that recur on ``LEAST_PAGES``
 pages and ``LEAST_SHARE`` of the pages of their host are template and are deleted. Inside an article
 the same passage may well stand in several texts, so that blocks there must recur on
@@ -54,6 +55,9 @@ GONE_NAMES = frozenset(
     "social breadcrumb breadcrumbs menu nav navbar navigation footer pagination pager toolbar login signup search comment comments "
     "commentlist respond disqus replies".split()
 )
+#: Names of what often outweighs the text it stands in.
+BESIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion comment comments commentlist respond disqus replies".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr"}
 #: An opening tag ends an open element of the second set, up to the limits of the third.
 ENDS = {
@@ -71,32 +75,83 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "gone", "links", "parent", "tag", "text_size")
+    __slots__ = ("children", "gone", "links", "named", "parent", "tag", "text_size")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool):
-        self.tag, self.parent, self.gone = tag, parent, gone
+    def __init__(self, tag: str, parent: Node | None, gone: bool, named: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.gone, self.named = tag, parent, gone, named
         self.children: list[Node | str] = []
         self.text_size = self.links = 0
 
 
-def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, frozenset[str]]:
+    """Whether an element is furniture for certain, and words of its class and id that make it likely."""
     if tag in GONE or tag == "header" and not inside_article:
-        return True
+        return True, frozenset()
+    named: set[str] = set()
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return False, frozenset()
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(a or b or c).lower()
         if bare or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, frozenset()
         if name == "role" and value in GONE_ROLES:
-            return True
+            return True, frozenset()
         if name in ("class", "id"):
             words = {*_NAME.findall(value)}
-            if words & GONE_NAMES or not inside_article and "header" in words:
-                return True
+            named |= words & GONE_NAMES
+            if not inside_article and "header" in words:
+                named.add("header")
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, frozenset()
+    return False, frozenset(named)
+
+
+def _settle(root: Node) -> None:
+    """Decides on elements with furniture's names: they go, unless the article (or, without one,
+    most of the text of the page) stands in them alone, or they hold most of the text of the page
+    as a part of the article."""
+    order, stack = [], [(root, False)]
+    any_named = False
+    while stack:
+        node, inside = stack.pop()
+        order.append((node, inside))
+        any_named |= bool(node.named)
+        inside |= node.tag in ("article", "main")
+        stack += [(c, inside) for c in node.children if isinstance(c, Node) and not c.gone]
+    if not any_named:
+        return
+    size: dict[int, int] = {}
+    article: dict[int, int] = {}
+    for node, inside in reversed(order):
+        parts = [c for c in node.children if isinstance(c, Node) and not c.gone]
+        size[id(node)] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(size[id(c)] for c in parts)
+        own = size[id(node)] if node.tag in ("article", "main") or inside and node.named else 0
+        article[id(node)] = max([own, *(article[id(c)] for c in parts)])
+    most = size[id(root)]
+    while True:
+        outer, clean, stack = [], False, [(root, False)]
+        while stack:
+            node, inside = stack.pop()
+            if node.named:
+                outer.append((node, inside))
+                continue
+            inside |= node.tag in ("article", "main")
+            clean |= inside and any(isinstance(c, str) and c.strip() for c in node.children)
+            stack += [(c, inside) for c in reversed(node.children) if isinstance(c, Node) and not c.gone]
+        kept: list[Node] = []
+        if clean:
+            kept = [n for n, inside in outer if inside and 2 * size[id(n)] > most and not n.named & BESIDE_NAMES]
+        elif any(article[id(n)] for n, _ in outer):
+            best = max((n for n, _ in outer), key=lambda n: article[id(n)])
+            kept = [n for n, _ in outer if article[id(n)] and n.named == best.named]
+        else:
+            kept = [n for n, _ in outer if 2 * size[id(n)] > most]
+        if not kept:
+            break
+        for n in kept:
+            n.named = frozenset()
+    for n, _ in outer:
+        n.gone = True
 
 
 def parse(text: str) -> Node:
@@ -111,7 +166,16 @@ def parse(text: str) -> Node:
             articles -= node.tag in ("article", "main")
             node = node.parent
 
+    def end_head() -> None:
+        up: Node | None = node
+        while up is not None and up.tag != "head":
+            up = up.parent
+        if up is not None:
+            leave(up.parent)
+
     def say(part: str) -> None:
+        if node.tag == "head" and part.strip():
+            end_head()
         if part and not node.gone:
             node.children.append(html.unescape(part))
 
@@ -130,6 +194,8 @@ def parse(text: str) -> Node:
             if up is not None and up.parent is not None:
                 leave(up.parent)
             continue
+        if tag == "body" or node.tag == "head" and tag not in IN_HEAD:
+            end_head()
         if tag in CLOSES_P or tag in ENDS:
             ended, limits = ENDS.get(tag, (frozenset(), frozenset()))
             up, found = node, None
@@ -139,7 +205,8 @@ def parse(text: str) -> Node:
                 up = up.parent
             if found is not None:
                 leave(found.parent)
-        new = Node(tag, node, node.gone or _furniture(tag, attributes, articles > 0))
+        gone, named = (True, frozenset()) if node.gone else _furniture(tag, attributes, articles > 0)
+        new = Node(tag, node, gone, named)
         if not new.gone or tag in BLOCK:
             node.children.append(new)
         if tag in RAW:
@@ -149,6 +216,7 @@ def parse(text: str) -> Node:
             node = new
             articles += tag in ("article", "main")
     say(text[at:])
+    _settle(root)
     return root
 
 
@@ -166,21 +234,32 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _main(order: list[Node]) -> Node:
-    """The largest article, else the largest main element, else everything."""
-    for tag in ("article", "main"):
-        found = [n for n in order if n.tag == tag and n.text_size]
-        if found:
-            return max(reversed(found), key=lambda n: n.text_size)
-    return order[-1]
+def _main(root: Node) -> list[Node]:
+    """The outermost article and main elements and the headlines (h1) beside them, else everything."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main", "h1"):
+            if node.text_size:
+                found.append(node)
+            if node.text_size or node.tag == "h1":
+                continue
+        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.gone]
+    return found if any(n.tag != "h1" for n in found) else [root]
 
 
 def blocks(text: str | None) -> list[tuple[str, list[int]]]:
     """(text, marks) of each block of the main part: the marks are the hashes of those subtrees
     around it that may turn out to be template; odd ones must recur on ``ARTICLE_SHARE`` of the pages."""
     order = _measure(parse(text or ""))
-    main = _main(order)
-    whole = main.tag in ("#root",)
+    main = _main(order[-1])
+    inside: set[int] = set()
+    inner_nodes = [n for n in main if n.tag in ("article", "main")]
+    while inner_nodes:
+        node = inner_nodes.pop()
+        inside.add(id(node))
+        inner_nodes += [c for c in node.children if isinstance(c, Node) and not c.gone]
+    outermost = {id(n) for n in main if id(n) in inside}
     digest: dict[int, bytes] = {}
     mark: dict[int, int] = {}
     for node in order:
@@ -191,7 +270,8 @@ def blocks(text: str | None) -> list[tuple[str, list[int]]]:
             elif not c.gone:
                 made.update(b"\1" + digest[id(c)])
         digest[id(node)] = made.digest()
-        template_like = node.tag in BLOCK and (node.tag not in ("body", "html") if whole else node.tag not in PARTS and node is not main)
+        whole = id(node) not in inside
+        template_like = node.tag in BLOCK and (node.tag not in ("body", "html") if whole else node.tag not in PARTS and id(node) not in outermost)
         if template_like and node.text_size:
             often = not whole and (node.tag in PROSE or 2 * node.links < node.text_size)
             mark[id(node)] = int.from_bytes(made.digest(), "big", signed=True) & ~1 | often
@@ -204,7 +284,7 @@ def blocks(text: str | None) -> list[tuple[str, list[int]]]:
         if said:
             out.append((said, list(marks)))
 
-    stack: list[tuple[object, tuple[int, ...]]] = [(main, ())]
+    stack: list[tuple[object, tuple[int, ...]]] = [(n, ()) for n in reversed(main)]
     while stack:
         item, marks = stack.pop()
         if isinstance(item, str):

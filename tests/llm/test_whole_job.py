@@ -54,3 +54,31 @@ def test_pages_lose_what_recurs_inside_articles(spark, monkeypatch, most):
     for i in range(20):
         assert got[i].split("\n") == [f"Title {i}", f"Story number {i} tells of {i} things", "Name", f"n{i}"] + ["A saying"] * (i < 6)
     assert {got[i] for i in range(30, 40)} == {"The only story"}
+
+
+def said(page):
+    return [t for t, _ in html_extraction.blocks(page)]
+
+
+@pytest.mark.parametrize("attribute", ["id='page' class='has-sidebar'", "class=with-menu", "class='no-comments'", "class='page has-header'"])
+def test_names_of_furniture_do_not_cut_the_article(attribute):
+    rest = "<div class=sidebar>Links</div><div id=comments><article>Reader</article></div>"
+    assert said(f"<body><div {attribute}><article><p>Story text</p></article>{rest}</div></body>") == ["Story text"]
+    assert said(f"<body><div {attribute}><p>Story text of some length</p></div><p>Short</p></body>") == ["Story text of some length", "Short"]
+    assert said(f"<body><article><h1>Head</h1><div {attribute}><p>Story text</p></div></article></body>")[0] == "Head"
+
+
+def test_furniture_still_goes_beside_an_article():
+    page = "<body><div class=ad>An advert much longer than the story</div><article>Tale<section id=comments><p>Readers say a lot more here</p></section></article></body>"
+    assert said(page) == ["Tale"]
+
+
+def test_pages_with_an_open_head():
+    assert said("<html><head><title>T</title><body><p>Text</p></body></html>") == ["Text"]
+    assert said("<head><meta charset=utf-8><script>x</script><p>Text") == ["Text"]
+    assert said("<head><style>p{}</style></head><body>Text") == ["Text"]
+
+
+def test_all_articles_and_the_headline_stay():
+    assert said("<body><h1>Head</h1><article>One, the longest</article><article>Two</article></body>") == ["Head", "One, the longest", "Two"]
+    assert said("<body><p>x</p><main><h1>Head</h1><p>Lead</p><article>One</article></main></body>") == ["Head", "Lead", "One"]
