@@ -2,7 +2,7 @@
 
 import pytest
 
-from cairnspark.llm import html_extraction, toxicity
+from cairnspark.llm import html_extraction, quote_linking, toxicity
 
 PLAIN = "the quiet river ran past houses and people walked there in summer shade worth most stews".split()
 
@@ -82,3 +82,11 @@ def test_pages_with_an_open_head():
 def test_all_articles_and_the_headline_stay():
     assert said("<body><h1>Head</h1><article>One, the longest</article><article>Two</article></body>") == ["Head", "One, the longest", "Two"]
     assert said("<body><p>x</p><main><h1>Head</h1><p>Lead</p><article>One</article></main></body>") == ["Head", "Lead", "One"]
+
+
+def test_conversations_in_reply_order(spark):
+    talk = [(1, 0, "user", "First question"), (1, 1, "user", "Second question"), (1, 2, "assistant", "> First question\nAn answer"), (1, 3, None, "> Second question\nAnother"), (2, 0, "user", "> First question\nelse")]
+    got = quote_linking.conversations(spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert [(r["conv_id"], r["turn"], r["reply_to"]) for r in got] == [(1, 0, None), (1, 2, 0), (1, 1, None), (1, 3, 1), (2, 0, None)]
+    assert [r["formatted"] for r in got[1:4]] == ["<|user|>\nSecond question\n" if r["turn"] == 1 else f"<|{r['role'] or 'unknown'}|>\n{r['text']}\n" for r in got[1:4]]
+    assert got[1]["formatted"] == "<|assistant|>\nAn answer\n"
