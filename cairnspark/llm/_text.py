@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -18,10 +18,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-#: A random-looking 64-bit value for each byte, so that the rolling sum doesn't see small integers.
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-
-
 def class_table(is_word) -> np.ndarray:
     """Boolean table over byte values from a predicate."""
     return np.array([bool(is_word(b)) for b in range(256)])
@@ -33,34 +29,38 @@ ALNUM_OR_WIDE = class_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 
-class _Powers:
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = max(n, 1 << 20)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(m, base, U64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up[:n], cls.down[:n]
-
-
-def rolling(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` gets the hash of any byte span."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _Powers.get(len(data))[0], out=out[1:])
+#: Masks that keep the first k bytes of a lane, and constants of the two hash functions.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+_SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+#: Spans with more lanes are hashed one by one, so that a long one doesn't cost a pass for each lane.
+_MOST_LANES = 32
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a 64-bit number (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,)).copy()
+
+
+def span_hash(data: np.ndarray, lane: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of ``data``, whose lanes are given: a chain of bijective
+    steps over the lanes of a span, so that no sum or product of bytes can cancel out; spans of more
+    than ``_MOST_LANES`` lanes by BLAKE2b. ``which`` (0 or 1) names one of two independent functions."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(U64) * _SEEDS[which] + _SEEDS[1 - which])
+    long_ = size > 8 * _MOST_LANES
+    live = np.flatnonzero(~long_ & (size > 0))
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = mix((out[live] ^ (lane[at] & _FIRST[np.minimum(left, 8)])) + _SEEDS[which])
+        go = left > 8
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(long_).tolist():
+        made = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=bytes([which])).digest()
+        out[i] = np.frombuffer(made, U64)[0]
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end): equal spans get equal hashes at any place."""
-    down = _Powers.get(len(sums))[1]
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
-
-
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of every maximal run of bytes in ``table``; runs don't cross rows.
 
@@ -76,7 +76,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     after[cuts[(cuts > 0) & (cuts <= len(data))] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(offsets[1:], start, side="right")
-    return span_hash(rolling(data), start, end), row, start, end
+    return span_hash(data, lanes(data), start, end), row, start, end
 
 
 def windows(word_hash: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Exact Jaccard join of documents on word shingles with adaptive multi-match prefixes.
 
-Texts with equal shingle sets are one node. Shingles are ordered from rare to frequent by a sketch
+Texts with equal shingle sets are one node (numbered apart from ids, since an id may come with unlike
+texts). Shingles are ordered from rare to frequent by a sketch
 of their document frequencies (any order gives right results; this one gives few candidates). A
 document's prefix is its first n - ceil(t n) + l shingles: two similar documents share at least
 min(l, l') of their prefixes. Each document takes the l that minimises its estimated cost, postings
@@ -9,19 +10,22 @@ read plus verifications, of which a larger l asks fewer because more shingles mu
 Groups of copies never become all their pairs. First every posting links its members with its
 smallest one; the verified links give components. Only postings that still hold several components
 are then compared, in blocks of bounded size, by parity bitmaps, which bound the overlap from
-above; pairs that pass in enough postings are verified on their shingle sets. No similar pair is
+above; pairs that pass in enough postings are verified on the words of their texts. No similar pair is
 lost: it is in one component already, or it meets in as many postings as its prefixes share.
 
 Defined results: texts of fewer than ``width`` words are one shingle; null texts and texts without
 words have an empty set and are linked with nothing; each row of a repeated id gets the result of
-its own text; rows with a null id link nothing and are their own (null) component; other columns
-are ignored.
+its own text, whose component is named by the smallest id reached; rows with a null id link nothing
+and are their own (null) component; an empty table gives no rows; a text of any length is one row of
+work; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ SKETCH_BITS = 20
 MOST_MATCHES = 6
 #: Cost of one verification against that of reading one posting entry.
 VERIFY_COST = 8
-BLOCK = 512
+BLOCK = 2_048
 #: Postings up to this size give their pairs as rows.
 SMALL = 16
 #: Up to so many ids (16 MB) are broadcast to pick documents, more are joined.
@@ -64,30 +68,35 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def _map_sets(docs: DataFrame, schema: str, kind: pa.Schema, made, width: int) -> DataFrame:
-    """Rows made from (ids, shingle sets) of each piece of the texts."""
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("shingled_text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, said, shingled_text): ``said`` tells unlike texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("said"), F.col("text").alias("shingled_text"))
+
+
+def _map_sets(keyed: DataFrame, fields: list[tuple[str, pa.DataType]], made, width: int) -> DataFrame:
+    """The columns of ``keyed`` but its text, and those that ``made(shingle sets)`` gives for each piece."""
+    names = [c for c in keyed.columns if c != "shingled_text"]
+    schema = "".join(f"{c} {keyed.schema[c].dataType.simpleString()}, " for c in names) + ", ".join(f"{c} {_SQL[t]}" for c, t in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "shingled_text"):
-                columns = made(piece.column(0), shingle_sets(piece.column(1), width))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, kind, strict=True)], schema=kind)
+                columns = made(shingle_sets(piece.column("shingled_text"), width))
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[*names, *(c for c, _ in fields)])
+
+    return keyed.mapInArrow(run, schema)
 
-    return named.mapInArrow(run, schema)
+
+_SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): equal sets have equal signatures of 128 bits."""
-    salt = np.uint64(0xA0761D6478BD642F)
+    """(doc_id, said, n_shingles, signature): equal sets have equal signatures (BLAKE2b, 128 bits)."""
 
-    def made(ids, sets):
-        s1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-        s2 = [int(_text.mix(s ^ salt).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-        return ids, [len(s) for s in sets], s1, s2
+    def made(sets):
+        return [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
 
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-    return _map_sets(docs, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint", kind, made, width)
+    return _map_sets(_keyed(docs), [("n_shingles", pa.int64()), ("signature", pa.binary())], made, width)
 
 
 def frequency_sketch(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -142,16 +151,27 @@ def parity_bitmap(s: np.ndarray) -> bytes:
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
+def _with_node(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose (doc_id, said) is in ``chosen``, with its ``node``."""
+    return keyed.join(chosen.select("doc_id", "said", "node"), ["doc_id", "said"])
+
+
+def _prefixes(docs: DataFrame, representative: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(node, n, matches, prefix, bitmap) of the representatives."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     noise = float(np.median(sketch)) + 3 * math.sqrt(float(np.median(sketch)))
 
-    def made(ids, sets):
+    def made(sets):
         got = [matches_and_prefix(s, shared.value, noise, percent) if len(s) else (1, s) for s in sets]
-        return ids, [len(s) for s in sets], [m for m, _ in got], [p.view(np.int64).tolist() for _, p in got], [parity_bitmap(s) for s in sets]
+        return [len(s) for s in sets], [m for m, _ in got], [p.view(np.int64).tolist() for _, p in got], [parity_bitmap(s) for s in sets]
 
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
-    return _map_sets(docs, "doc_id bigint, n bigint, matches int, prefix array<bigint>, bitmap binary", kind, made, width)
+    fields = [("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())]
+    keyed = _keyed(docs.where("doc_id is not null"))
+    if representative.count() <= BROADCAST_IDS:
+        got = _map_sets(_with_node(keyed, F.broadcast(representative)), fields, made, width)
+    else:  # prefixes are shuffled, texts are not
+        got = _with_node(_map_sets(keyed, fields, made, width), representative)
+    return got.select("node", "n", "matches", "prefix", "bitmap")
 
 
 def _words_of(maps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -201,28 +221,34 @@ def _compare(left: dict, right: dict, percent: int, within: bool) -> Iterator[tu
                     yield min(a, b), max(a, b)
 
 
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids (column node)."""
-    n = ids.count()
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, docs["doc_id"].cast("bigint") == ids["node"], "left_semi")
+def similar(x: bytes, y: bytes, width: int, percent: int) -> bool:
+    """Whether two texts link: the sets of their shingles are compared as words, by exact numbers."""
+    x_words, y_words = x.lower().split(), y.lower().split()
+    if min(len(x_words), len(y_words)) < width:
+        return bool(x_words) and x_words == y_words
+    ids: dict[bytes, int] = {}
+    word = np.fromiter((ids.setdefault(w, len(ids)) for w in chain(x_words, y_words)), np.int64, len(x_words) + len(y_words))
+    code = word
+    for k in range(1, width):
+        code = np.unique(code[:-1] * len(ids) + word[k:], return_inverse=True)[1]
+    a, b = np.unique(code[: len(x_words) - width + 1]), np.unique(code[len(x_words) :])
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar."""
+def _verified(pairs: DataFrame, docs: DataFrame, representative: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar."""
     pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair_nodes")
-    kind = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-    sets = materialize(_map_sets(_picked(docs, ids), "node bigint, shingles binary", kind, lambda ids, sets: (ids, [s.tobytes() for s in sets]), width).distinct(), "pair_sets")
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(representative.join(ids, "node", "left_semi").select("doc_id", "said", "node"), "pair_nodes")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = _with_node(_keyed(docs.where("doc_id is not null")), wanted).select("node", F.col("shingled_text").cast("binary").alias("x"))
+    texts = materialize(texts.dropDuplicates(["node"]), "pair_texts")
+    met = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(x, y) if len(x) else np.zeros(len(y), np.int64)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            keep = [similar(x.as_py(), y.as_py(), width, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return materialize(met.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
@@ -289,17 +315,15 @@ def _cross_pairs(postings: DataFrame, nodes: DataFrame, linked: DataFrame, perce
     return _bitmap_filtered(often.select("a", "b"), nodes, percent)
 
 
-def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = LEAST_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row. ``n_links`` counts the verified
-    links that built the component at this row's text; ids are cast to long."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, said, n_shingles, component, component_id, n_joined) of every row: ``component`` tells
+    groups apart (null: linked with nothing), ``component_id`` is its smallest id."""
     signed = materialize(signatures(docs, width), "signatures")
-    same = ["n_shingles", "s1", "s2"]
+    same = ["n_shingles", "signature"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    representative = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("node")), "representatives")
-    ids = representative.select("node").distinct()
-    made = _prefixes(docs.where("doc_id is not null"), frequency_sketch(docs, width), width, percent)
-    nodes = made.withColumnRenamed("doc_id", "node").where("n > 0")
-    nodes = materialize(nodes.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi"), "nodes")
+    first = full.groupBy(*same).agg(F.min(F.struct("doc_id", "said")).alias("first"))
+    representative = materialize(first.select(*same, "first.*", F.monotonically_increasing_id().alias("node")), "representatives")
+    nodes = materialize(_prefixes(docs, representative, frequency_sketch(docs, width), width, percent), "nodes")
     entries = nodes.select(F.explode("prefix").alias("token"), "node", "n", "matches")
     first = F.min(F.struct("node", "n", "matches")).alias("first")
     hubs = entries.groupBy("token").agg(first, F.count("*").alias("size")).where("size > 1")
@@ -307,22 +331,42 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = LE
     release(docs.sparkSession)
     postings = materialize(entries.join(hubs.select("token"), "token", "left_semi"), "postings")
     release(docs.sparkSession)
-    stars = _verified(_star_pairs(postings, hubs, nodes, percent), docs, width, percent)
-    cross = _verified(_cross_pairs(postings, nodes, components(stars), percent), docs, width, percent)
+    stars = _verified(_star_pairs(postings, hubs, nodes, percent), docs, representative, width, percent)
+    cross = _verified(_cross_pairs(postings, nodes, components(stars), percent), docs, representative, width, percent)
     links = stars.union(cross)
-    groups = components(links)
-    degree = links.select("a").union(links.select(F.col("b"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    named = representative.join(groups, "node", "left").join(degree, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = full.join(named, same).select("doc_id", "n_shingles", "component_id", "n_links")
-    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return out.unionByName(rest)
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_joined"))
+    named = representative.join(components(links), "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select(*same, "doc_id", "component", F.coalesce("n_joined", F.lit(0)).alias("n_joined")), "named_nodes")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = full.join(named.drop("doc_id").join(least, "component"), same)
+    columns = ["doc_id", "said", "n_shingles", "component", "component_id", "n_joined"]
+    rest = signed.where("n_shingles = 0 or doc_id is null").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id"), "n_joined": F.lit(0).cast("bigint")})
+    return out.select(*columns).unionByName(rest.select(*columns))
+
+
+def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_joined) of every row; ids are cast to long. ``n_joined`` is the
+    number of verified links by which this row's text was joined to its component: enough of them to
+    hold it together, not all that exist within it."""
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id", "n_joined")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = LEAST_PERCENT) -> DataFrame:
-    """One document of each group, that of the smallest id; rows with a null id stay."""
-    ids = similarity_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.where("doc_id is not null").join(ids, docs["doc_id"].cast("bigint") == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each group, the one with the smallest id (of unlike texts of that id, the one
+    with the smallest hash; of repeated rows, one); rows that can't link (with a null id, or without
+    words) all stay, but for repeated rows of one id and text. Columns as before."""
+    rows = _grouped(docs, width, percent).where("doc_id is not null").groupBy("doc_id", "said").agg(F.count("*").alias("n"), F.max("component").alias("component"))
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "said", "n")).alias("x")).select("x.*")
+    kept = first.unionByName(rows.where("component is null").drop("component"))
+    kept = materialize(kept.toDF("kept_id", "kept_hash", "kept_rows"), "kept")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, doc_id = F.col(f"c{names.index('text')}"), F.col(f"c{names.index('doc_id')}").cast("bigint")
+    met = plain.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, (doc_id == F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash")))
+    # only rows that are there more than once are shuffled to drop all but one
+    once = met.where("kept_rows = 1").unionByName(met.where("kept_rows > 1").dropDuplicates(["kept_id", "kept_hash"]))
+    columns = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    return once.select(*columns).unionByName(plain.where(doc_id.isNull()).select(*columns))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

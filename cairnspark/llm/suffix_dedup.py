@@ -13,7 +13,11 @@ offset and prefix: sorted so, a suffix whose prefix equals that of the one befor
 Defined results: a null text is empty; texts shorter than ``LENGTH`` keep every byte; rows with a
 null id neither lose bytes nor count as earlier; repeated rows of one id and text count as one
 document (none is earlier) and get equal results; rows of one id with unlike texts share the spans
-found in any of them, cut to their length; other columns are ignored.
+found in any of them, cut to their length; an empty table gives no rows; a text of any length is one
+row of work (about 20 bytes of memory for each of its bytes); other columns are ignored.
+
+Equality: contexts and the prefixes of hot names are told by two independent 64-bit hashes, all other
+prefixes by their bytes.
 """
 
 from __future__ import annotations
@@ -31,25 +35,31 @@ from ._util import materialize, release, slices, table, text_buffers
 LENGTH = 100
 GRAM = 32
 #: Names with more contexts than this are compared as rows of a table, not in a task's memory.
-HOT = 20_000
+HOT = 1_000
 BROADCAST_IDS = 2_000_000
-_BATCH = 20_000
+_BATCH = 10_000
 
 
 def samples(column: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, place, left, right, name, context) of the sampled suffixes of each text. The strings of
-    ``length`` bytes whose sample is this place lie side by side: they begin ``left`` bytes before it
-    at the earliest and end ``right`` bytes behind it at the latest, which is the context."""
+    """(row, place, left, right, name, context, twin) of the sampled suffixes of each text. The strings
+    of ``length`` bytes whose sample is this place lie side by side: they begin ``left`` bytes before it
+    at the earliest and end ``right`` bytes behind it at the latest, which is the context; ``context``
+    and ``twin`` are two independent hashes of it."""
     data, offsets = text_buffers(column)
     n, reach = len(data), length - gram
     row_end = np.repeat(offsets[1:], np.diff(offsets))
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    sums = _text.rolling(data)
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    lane = _text.lanes(data)
     at = np.arange(n, dtype=np.int64)
     key = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     whole = at[: n - gram + 1][at[: n - gram + 1] + gram <= row_end[: n - gram + 1]]
-    key[whole] = _text.span_hash(sums, whole, whole + gram) & np.uint64(0xFFFFFFFF00000000) | whole.astype(np.uint64)
+    # any order by the bytes alone will do for choosing; equality isn't decided here
+    order = np.zeros(n - gram + 1, np.uint64)
+    for k in [*range(0, gram - 8, 8), gram - 8]:
+        order = (order ^ lane[k : k + n - gram + 1]) * np.uint64(0x9E3779B97F4A7C15)
+        order ^= order >> np.uint64(29)
+    key[whole] = order[whole] & np.uint64(0xFFFFFFFF00000000) | whole.astype(np.uint64)
     low, width = key, 1
     while 2 * width <= reach + 1:
         low = np.minimum(low[: len(low) - width], low[width:])
@@ -65,22 +75,22 @@ def samples(column: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     last = starts[np.concatenate([edge[1:], [len(chosen)]]) - 1] if len(edge) else first
     row = np.searchsorted(offsets[1:], place, side="right")
     left, right = place - first, last + length - place
-    name = _text.span_hash(sums, place, place + gram)
-    context = _text.mix(_text.span_hash(sums, place - left, place + right) + left.astype(np.uint64))
-    return row, place - offsets[row], left, right, name.astype(np.int64), context.astype(np.int64)
+    name = _text.span_hash(data, lane, place, place + gram)
+    context, twin = (_text.mix(_text.span_hash(data, lane, place - left, place + right, k) + left.astype(np.uint64)) for k in (0, 1))
+    return row, place - offsets[row], left, right, name.astype(np.int64), context.astype(np.int64), twin.astype(np.int64)
 
 
 def _samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    kind = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
+    kind = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("twin", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "bytes_of"):
-                row, place, left, right, name, context = samples(piece.column(1), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(context), piece.column(0).take(pa.array(row)), pa.array(place), pa.array(left, pa.int32()), pa.array(right, pa.int32())], schema=kind)
+                row, place, left, right, name, context, twin = samples(piece.column(1), length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(context), pa.array(twin), piece.column(0).take(pa.array(row)), pa.array(place), pa.array(left, pa.int32()), pa.array(right, pa.int32())], schema=kind)
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").alias("bytes_of"))
-    return named.mapInArrow(run, "name bigint, context bigint, doc bigint, place bigint, left int, right int")
+    return named.mapInArrow(run, "name bigint, context bigint, twin bigint, doc bigint, place bigint, left int, right int")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,8 +115,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(lists, "doc").mapInArrow(run, "name bigint, doc bigint, place bigint, left int, bytes binary")
 
 
-def _suffixes(part: pa.Table, length: int) -> tuple[np.ndarray, ...]:
-    """(name, left, prefix hash, doc, place) of every suffix in the contexts that is long enough."""
+def _suffixes(part: pa.Table, length: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(name, left, two hashes of the prefix, doc, place) of every suffix in the contexts that is long
+    enough, and the lanes of its prefix (a row for each suffix)."""
     size = np.array([len(x) for x in part.column("bytes").to_pylist()], np.int64)
     data = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8)
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -114,9 +125,11 @@ def _suffixes(part: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     row = np.repeat(np.arange(len(size)), count)
     inner = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)])[:-1], count)
     start = begin[row] + inner
-    prefix = _text.span_hash(_text.rolling(data), start, start + length)
+    lane = _text.lanes(data)
+    prefix, twin = (_text.span_hash(data, lane, start, start + length, k).astype(np.int64) for k in (0, 1))
     get = lambda c: part.column(c).to_numpy()
-    return get("name")[row], get("left")[row].astype(np.int64) - inner, prefix, get("doc")[row], get("place")[row]
+    at = np.array([*range(0, length - 8, 8), length - 8])
+    return (get("name")[row], get("left")[row].astype(np.int64) - inner, prefix, twin, get("doc")[row], get("place")[row]), lane[start[:, None] + at]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
@@ -135,10 +148,13 @@ def _merged_suffixes(contexts: DataFrame, length: int) -> DataFrame:
     partition, one after the other."""
 
     def repeated(rows: pa.Table) -> pa.RecordBatch:
-        name, left, prefix, doc, place = _suffixes(rows, length)
-        order = np.lexsort((place, doc, prefix, left, name))
-        name, left, prefix, doc, place = (x[order] for x in (name, left, prefix, doc, place))
-        same = (name[1:] == name[:-1]) & (left[1:] == left[:-1]) & (prefix[1:] == prefix[:-1])
+        columns, said = _suffixes(rows, length)
+        order = np.lexsort(columns[::-1])
+        name, left, prefix, twin, doc, place = (x[order] for x in columns)
+        same = (name[1:] == name[:-1]) & (left[1:] == left[:-1]) & (prefix[1:] == prefix[:-1]) & (twin[1:] == twin[:-1])
+        # what the hashes call equal is compared byte by byte
+        at = np.flatnonzero(same)
+        same[at] = (said[order[at]] == said[order[at + 1]]).all(1)
         # a suffix and its own copy (a repeated row) aren't earlier than one another
         again = same & ((doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
         hit = np.zeros(len(name), bool)
@@ -166,16 +182,16 @@ def _merged_suffixes(contexts: DataFrame, length: int) -> DataFrame:
 def _merged_hot(contexts: DataFrame, length: int) -> DataFrame:
     """The same for names with very many contexts: suffixes as rows, the earliest of each prefix by
     an aggregate that starts before the shuffle, and a join that Spark can split."""
-    schema = "name bigint, left bigint, prefix bigint, doc bigint, place bigint"
+    schema = "name bigint, left bigint, prefix bigint, twin bigint, doc bigint, place bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                got = _suffixes(pa.Table.from_batches([batch.slice(at, 4096)]), length)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], names=["name", "left", "prefix", "doc", "place"])
+                got, _ = _suffixes(pa.Table.from_batches([batch.slice(at, 4096)]), length)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], names=["name", "left", "prefix", "twin", "doc", "place"])
 
     rows = materialize(contexts.mapInArrow(run, schema), "hot_suffixes")
-    keys = ["name", "left", "prefix"]
+    keys = ["name", "left", "prefix", "twin"]
     first = rows.groupBy(*keys).agg(F.min(F.struct("doc", "place")).alias("earliest"))
     later = rows.join(first, keys).where(F.struct("doc", "place") > F.col("earliest"))
     return later.select("doc", (F.col("place") - F.col("left")).alias("first"), (F.col("place") - F.col("left") + length).alias("last"))
@@ -189,7 +205,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shared = materialize(sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared_names")
     sampled = materialize(sampled.join(shared, "name"), "shared_samples")
     release(spark)
-    keys = ["name", "context"]
+    keys = ["name", "context", "twin"]
     first = materialize(sampled.groupBy(*keys).agg(F.min(F.struct("doc", "place", "left", "right")).alias("x")), "first_contexts")
     # the same holds for the copies of one context
     copies = sampled.join(first.select(*keys, F.col("x.doc").alias("doc0"), F.col("x.place").alias("place0")), keys).where("doc > doc0 or doc = doc0 and place > place0")

@@ -61,7 +61,7 @@ def test_equal_strings_hold_equal_samples():
     random.seed(4)
     core = "".join(random.choice("ab cd") for _ in range(160))
     texts = ["".join(random.choice("xyz ") for _ in range(n)) + core + "".join(random.choice("uvw ") for _ in range(n)) for n in (0, 90, 300)]
-    row, place, _, _, name, _ = suffix_dedup.samples(pa.array(texts))
+    row, place, _, _, name, *_ = suffix_dedup.samples(pa.array(texts))
     shared = set.intersection(*[set(name[row == i].tolist()) for i in range(3)])
     assert shared
     assert not len(suffix_dedup.samples(pa.array(["", "x" * 99, None]))[0])
@@ -151,3 +151,38 @@ def test_arcs_are_those_of_the_gadgets():
     for s, out in arcs.items():
         for t in number:
             assert automaton.allowed(np.array([number[s]], np.int32), np.array([number[t]], np.int32))[0] == (t in out), (s, t)
+
+
+def thue_morse(size, flip=False):
+    """Two such words (one with letters exchanged) collide under polynomial hashes modulo 2^64."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(size))
+
+
+@pytest.mark.parametrize("size", [64, 200, 1024, 4096])
+def test_hashes_tell_thue_morse_words_apart(size):
+    x, y = thue_morse(size), thue_morse(size, True)
+    a, b, c = ngram_jaccard.shingle_sets(pa.array([x, y, x]))
+    assert a.tolist() == c.tolist() != b.tolist()
+    for which in (0, 1):
+        data, offsets = text_buffers(pa.array([x, y]))
+        h = _text.span_hash(data, _text.lanes(data), offsets[:-1], offsets[1:], which)
+        assert h[0] != h[1]
+
+
+def test_span_hashes_depend_on_the_bytes_alone():
+    text = "".join(random.Random(3).choice("abcd") for _ in range(700))
+    data, _ = text_buffers(pa.array([text + "|" + text]))
+    lane = _text.lanes(data)
+    for size in (0, 1, 7, 8, 9, 31, 64, 255, 256, 257, 600):
+        start = np.arange(0, 700 - size, 13)
+        assert (_text.span_hash(data, lane, start, start + size) == _text.span_hash(data, lane, start + 701, start + 701 + size)).all()
+
+
+def test_similar_counts_word_shingles():
+    r = random.Random(5)
+    for _ in range(300):
+        x = [r.choice("abcdefgh") for _ in range(r.randint(0, 40))]
+        y = [w if r.random() > 0.02 else "z" for w in x]
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (x, y)]
+        want = bool(x and y) and 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+        assert ngram_jaccard.similar(" ".join(x).encode(), "\t".join(y).upper().encode(), 5, 80) == want
