@@ -7,8 +7,8 @@ document's prefix is its first n - ceil(t n) + l shingles: two similar documents
 min(l, l') of their prefixes. Each document takes the l that minimises its estimated cost, postings
 read plus verifications, of which a larger l asks fewer because more shingles must be shared.
 
-Groups of copies never become all their pairs. First every posting links its members with its
-smallest one; the verified links give components. Only postings that still hold several components
+Groups of copies never become all their pairs. First every posting links its members with the
+one of the smallest id; the verified links give components. Only postings that still hold several components
 are then compared, in blocks of bounded size, by parity bitmaps, which bound the overlap from
 above; pairs that pass in enough postings are verified on the words of their texts. No similar pair is
 lost: it is in one component already, or it meets in as many postings as its prefixes share.
@@ -152,12 +152,13 @@ def parity_bitmap(s: np.ndarray) -> bytes:
 
 
 def _with_node(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose (doc_id, said) is in ``chosen``, with its ``node``."""
-    return keyed.join(chosen.select("doc_id", "said", "node"), ["doc_id", "said"])
+    """The rows of ``keyed`` whose (doc_id, said) is in ``chosen`` (doc_id, said, node), with its ``node``."""
+    return keyed.join(chosen, ["doc_id", "said"])
 
 
 def _prefixes(docs: DataFrame, representative: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(node, n, matches, prefix, bitmap) of the representatives."""
+    """(node, doc_id, n, matches, prefix, bitmap) of the representatives."""
+    chosen = representative.select("doc_id", "said", "node")
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     noise = float(np.median(sketch)) + 3 * math.sqrt(float(np.median(sketch)))
 
@@ -167,11 +168,11 @@ def _prefixes(docs: DataFrame, representative: DataFrame, sketch: np.ndarray, wi
 
     fields = [("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())]
     keyed = _keyed(docs.where("doc_id is not null"))
-    if representative.count() <= BROADCAST_IDS:
-        got = _map_sets(_with_node(keyed, F.broadcast(representative)), fields, made, width)
+    if chosen.count() <= BROADCAST_IDS:
+        got = _map_sets(_with_node(keyed, F.broadcast(chosen)), fields, made, width)
     else:  # prefixes are shuffled, texts are not
-        got = _with_node(_map_sets(keyed, fields, made, width), representative)
-    return got.select("node", "n", "matches", "prefix", "bitmap")
+        got = _with_node(_map_sets(keyed, fields, made, width), chosen)
+    return got.select("node", "doc_id", "n", "matches", "prefix", "bitmap")
 
 
 def _words_of(maps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -278,7 +279,7 @@ def _bitmap_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
 
 
 def _star_pairs(postings: DataFrame, hubs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Each posting's smallest node with its other nodes, if they meet like this often enough. What
+    """Each posting's hub with its other nodes, if they meet like this often enough. What
     is missed here meets again in the comparison across components."""
     met = postings.join(hubs, "token").where((F.col("node") != F.col("hub")) & _fits("n", "hub_n", percent))
     often = met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches", "hub_matches")).alias("wanted"))
@@ -324,12 +325,13 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     first = full.groupBy(*same).agg(F.min(F.struct("doc_id", "said")).alias("first"))
     representative = materialize(first.select(*same, "first.*", F.monotonically_increasing_id().alias("node")), "representatives")
     nodes = materialize(_prefixes(docs, representative, frequency_sketch(docs, width), width, percent), "nodes")
-    entries = nodes.select(F.explode("prefix").alias("token"), "node", "n", "matches")
-    first = F.min(F.struct("node", "n", "matches")).alias("first")
+    entries = nodes.select(F.explode("prefix").alias("token"), "node", "doc_id", "n", "matches")
+    # near copies resemble their original, which mostly has the smallest id, more than one another
+    first = F.min(F.struct("doc_id", "node", "n", "matches")).alias("first")
     hubs = entries.groupBy("token").agg(first, F.count("*").alias("size")).where("size > 1")
     hubs = materialize(hubs.select("token", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.matches").alias("hub_matches")), "hubs")
     release(docs.sparkSession)
-    postings = materialize(entries.join(hubs.select("token"), "token", "left_semi"), "postings")
+    postings = materialize(entries.drop("doc_id").join(hubs.select("token"), "token", "left_semi"), "postings")
     release(docs.sparkSession)
     stars = _verified(_star_pairs(postings, hubs, nodes, percent), docs, representative, width, percent)
     cross = _verified(_cross_pairs(postings, nodes, components(stars), percent), docs, representative, width, percent)
