@@ -1,5 +1,11 @@
 """Cases that earlier versions left out."""
 
+import random
+import re
+import time
+import tracemalloc
+from collections import Counter, defaultdict
+
 import pytest
 
 from cairnspark.llm import html_extraction, quote_linking, toxicity
@@ -57,7 +63,7 @@ def test_pages_lose_what_recurs_inside_articles(spark, monkeypatch, most):
 
 
 def said(page):
-    return [t for t, _ in html_extraction.blocks(page)]
+    return html_extraction.blocks(page)[0]
 
 
 @pytest.mark.parametrize("attribute", ["id='page' class='has-sidebar'", "class=with-menu", "class='no-comments'", "class='page has-header'"])
@@ -90,3 +96,92 @@ def test_conversations_in_reply_order(spark):
     assert [(r["conv_id"], r["turn"], r["reply_to"]) for r in got] == [(1, 0, None), (1, 2, 0), (1, 1, None), (1, 3, 1), (2, 0, None)]
     assert [r["formatted"] for r in got[1:4]] == ["<|user|>\nSecond question\n" if r["turn"] == 1 else f"<|{r['role'] or 'unknown'}|>\n{r['text']}\n" for r in got[1:4]]
     assert got[1]["formatted"] == "<|assistant|>\nAn answer\n"
+
+
+LONG_PAGES = {
+    "open tags": "<a " * 350_000, "deep": "<div>" * 100_000 + "x" + "</div>" * 100_000, "deep text": "<div>x" * 20_000, "open quotes": "<a b='" * 100_000,
+    "inline": "<b>" * 50_000 + "<p>y" * 20_000, "closing": "<b>" * 1000 + "<li>" + "<i>" * 50_000 + "</b></u>" * 50_000, "comments": "<!" * 300_000, "names": "<p " + "a" * 500_000 + " x>z",
+    "spaces": "<p a" + " " * 500_000 + ">z", "equals": "<p " + "a=" * 300_000 + ">z", "entities": "&amp" * 250_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_PAGES)
+def test_long_broken_pages_take_time_and_memory_in_proportion(name):
+    tracemalloc.start()
+    start = time.time()
+    made, marks = html_extraction.blocks(LONG_PAGES[name])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.time() - start < 40 and peak < 400e6
+    if name == "deep":
+        assert made == ["x"] and len(marks) == 100_000 and {m[1:] for m in marks} == {(0, 1)}
+    if name == "deep text":
+        assert made == ["x"] * 20_000 and sorted({m[1:] for m in marks}) == [(i, 20_000) for i in range(20_000)]
+    if name == "inline":
+        assert made == ["y"] * 20_000
+
+
+def test_broken_tags_end_at_the_next_one():
+    assert said("<p <b>bold</b> text<p class='a<b'>more</p>") == ["bold text", "more"]
+    assert said("<p title=it's>one</p><p>it's two</p>") == ["one", "it's two"]
+    assert said("<table><tr><td>a<td>b<tr><td>c</table>") == ["a b", "c"]
+
+
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_templates_go_by_counts_alone(spark, monkeypatch, most):
+    """A host whose furniture bears no name that tells: only the counts can show it."""
+    monkeypatch.setattr(html_extraction, "MOST_BROADCAST", most)
+    r = random.Random(7)
+    top = "<div class=k1><ul><li><a href=/a>Start</a></li><li><a href=/b>About</a></li></ul></div><div class=k2><table><tr><td>Tel 12</td><td>Mail</td></tr></table></div>"
+    end = "<div class=k3><p>All rights with us</p><div>Read <i>our</i> daily letter</div></div>"
+    story = {i: [" ".join(r.choice("red green blue black white".split()) + str(r.randint(0, 99)) for _ in range(12)) for _ in range(3)] for i in range(30)}
+    bare = [(i, f"http://bare.example/{i}", f"<body>{top}<div class=k4>{''.join(f'<p>{t}</p>' for t in story[i])}</div>{end}</body>") for i in range(30)]
+    framed = [(100 + i, f"http://framed.example/{i}", f"<body>{top}<article>{''.join(f'<p>{t}</p>' for t in story[i])}{end}</article><div>{i}</div></body>") for i in range(30)]
+    alone = [(200, "http://alone.example/", f"<body>{top}<div class=k4><p>My own words</p></div></body>")]
+    pages = spark.createDataFrame([(*p, 1, "h") for p in bare + framed + alone], "page_id bigint, url string, html string, gone int, host string").repartition(5)
+    got = {r["page_id"]: r for r in html_extraction.extract(pages).collect()}
+    for i in range(30):
+        assert got[i]["text"] == "\n".join(story[i]) == got[100 + i]["text"]
+        assert got[i]["n_templates"] > 5 and got[100 + i]["n_templates"] > 5
+    assert got[200]["text"] == "Start\nAbout\nTel 12 Mail\nMy own words" and got[200]["n_templates"] == 0
+    assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_counts_match_brute_force(spark):
+    r = random.Random(11)
+    pieces = [f"<div><p>part {i}</p><p>more {i % 3}</p></div>" for i in range(6)]
+    pages = []
+    for i in range(120):
+        host = r.choice("abc")
+        own = [r.choice(pieces) for _ in range(r.randint(0, 3))] + [f"<div><p>own {r.randint(0, 60)}</p></div>"]
+        r.shuffle(own)
+        pages.append((i, f"https://u:p@{host}.example:80/x", f"<body>{'<article>' if r.random() < 0.3 else '<div>'}{''.join(own)}</body>"))
+    texts = defaultdict(dict)
+    for _, url, page in pages:
+        made, marks = html_extraction.blocks(page)
+        host = url.split("@")[1].split(":")[0]
+        old = texts[host].get(tuple(made))
+        new = sorted({m for m, _, _ in marks})
+        texts[host][tuple(made)] = max(old, new) if old else new
+    want = set()
+    for host, by in texts.items():
+        for m, n in Counter(m for marks in by.values() for m in marks).items():
+            if n >= 5 and n >= (0.5 if m % 2 else 0.05) * len(by):
+                want.add((host, m))
+    parsed = html_extraction._parsed(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    hosts = {r["host"]: re.search("@([^:]*)", r["url"]).group(1) for r in parsed.select("host", "url").distinct().collect()}
+    assert {(hosts[r["host"]], r["mark"]) for r in html_extraction.templates(parsed).collect()} == want and len(want) > 6
+    texts = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for i, url, page in pages:
+        made, marks = html_extraction.blocks(page)
+        host = url.split("@")[1].split(":")[0]
+        covered = {k for m, a, b in marks if (host, m) in want for k in range(a, b)}
+        assert texts[i] == "\n".join(t for k, t in enumerate(made) if k not in covered)
+
+
+def test_vague_names_leave_the_decision_to_counts(spark):
+    story = "<article><h1>T{0}</h1><p class='related work'>Related work {0} of others</p><div class=search>What we searched {0}</div><div class=share><a href=x>Post</a> <a href=y>Mail</a></div>{1}</article>"
+    pages = spark.createDataFrame([(i, "http://h.example/", story.format(i, "<div class=related>Our best of the week</div>" if i % 3 == 0 else "")) for i in range(30)], "page_id bigint, url string, html string")
+    for r in html_extraction.extract(pages).collect():
+        i = r["page_id"]
+        assert r["text"].split("\n") == [f"T{i}", f"Related work {i} of others", f"What we searched {i}"]
