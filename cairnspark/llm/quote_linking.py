@@ -5,12 +5,15 @@ normalised passages and their lines are hashed and joined with the hashes of wha
 same conversation say themselves; a passage belongs to the earliest message that says it, if that
 one is earlier than the quoting message. A message replies to the message that most characters of
 its first quote level belong to. Following the replies upwards (pointer doubling) gives the thread
-of each message; sorting by (conv_id, thread_turn, turn) puts every reply behind what it answers.
+of each message; sorting by (conv_id, thread_turn, turn) puts every reply behind what it answers, which is
+the order of ``conversations``.
 
 Defined results: null texts are empty; null ids or turns never link and are their own thread;
 repeated rows are kept and get equal results; rows that share a conversation and turn share one
-thread, that of the smallest turn replied to; quotes without an original are removed as well;
-other columns are ignored.
+thread, that of the smallest turn replied to; of several messages that say the same the earliest is the
+original; a reply whose quotes tie goes to the latest of the originals; quotes without an original are removed
+as well, and originals are looked up in the conversation of the quote only; an empty table gives no rows; a
+message is cut in time that grows with its length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ._util import materialize, table
 
 _MARK = r"^((?:[ \t]{0,3}>)+ ?)"
-#: How mail and chat programs introduce a quote.
-_INTRO = r"^(On .{1,200} wrote|Am .{1,200} schrieb.{0,80}|Le .{1,200} a écrit ?|El .{1,200} escribió|.{1,80} wrote|.{1,80} said):\s*$"
+#: How mail and chat programs introduce a quote, at the end of a line. German ones put the
+#: name last: they begin with "Am " and hold " schrieb".
+_INTRO = r". (wrote|said|a écrit ?|escribió):\s*$"
+_GERMAN = ("Am ", " schrieb", r":\s*$")
 
 
 def normal(text: Column) -> Column:
@@ -33,21 +38,22 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
     def cut(line: Column) -> Column:
         mark = F.regexp_extract(line, _MARK, 1)
-        return F.struct(F.length(F.regexp_replace(mark, "[^>]", "")).alias("level"), F.substring(line, F.length(mark) + 1, F.lit(2**31 - 1)).alias("said"), F.rlike(line, F.lit(_INTRO)).alias("intro"))
-
-    def join(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        longer = F.struct(last["level"].alias("level"), F.concat(last["said"], F.lit("\n"), x["said"]).alias("said"))
-        new = F.struct(x["level"].alias("level"), x["said"].alias("said"))
-        same = (F.size(runs) > 0) & (F.when(F.size(runs) > 0, last["level"]) == x["level"])
-        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(new)))
+        german = F.startswith(line, F.lit(_GERMAN[0])) & F.contains(line, F.lit(_GERMAN[1])) & F.rlike(line, F.lit(_GERMAN[2]))
+        intro = F.rlike(line, F.lit(_INTRO)) | german
+        return F.struct(F.length(F.regexp_replace(mark, "[^>]", "")).alias("level"), F.substring(line, F.length(mark) + 1, F.lit(2**31 - 1)).alias("said"), intro.alias("intro"))
 
     text = F.coalesce("text", F.lit(""))
     out = messages.select("conv_id", "turn", "role", "text").withColumn("lines", F.transform(F.split(text, "\r?\n"), cut))
     intro = lambda x, i: x["intro"] & F.coalesce(F.get("lines", i + 1)["level"] > 0, F.lit(False))
     own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~intro(x, i))
+    # a run begins where the level changes and ends before the next one does
+    level = lambda i: F.get("lines", i - 1)["level"]
+    out = out.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: ~level(i).eqNullSafe(level(i - 1))))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("lines") + 1))
+    quoted = F.filter(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda x: level(x["a"]) > 0)
+    said = lambda x: F.array_join(F.transform(F.slice("lines", x["a"], x["b"] - x["a"]), lambda y: y["said"]), "\n")
     none = F.expr("cast(array() as array<struct<level:int,said:string>>)")
-    runs = F.when(F.contains(text, F.lit(">")), F.filter(F.aggregate("lines", none, join), lambda r: r["level"] > 0)).otherwise(none)
+    runs = F.when(F.contains(text, F.lit(">")), F.transform(quoted, lambda x: F.struct(level(x["a"]).alias("level"), said(x).alias("said")))).otherwise(none)
     return out.select("conv_id", "turn", "role", "text", F.trim(F.array_join(F.transform(own, lambda x: x["said"]), "\n"), F.lit(" \t\n")).alias("own"), runs.alias("runs"))
 
 
@@ -104,7 +110,7 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 
 def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"))
 
 
 _NORMAL = r"trim(lower(regexp_replace({}, '\s+', ' ', 'g')))"
@@ -112,7 +118,7 @@ ORACLE_SQL = rf"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 l0 AS (SELECT id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS k FROM m),
 l1 AS (SELECT id, k, line, regexp_extract(line, '^((?:[ \t]{{0,3}}>)+ ?)', 1) AS mark FROM l0),
-l2 AS (SELECT id, k, length(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(line, length(mark) + 1) AS said, regexp_matches(line, '{_INTRO}') AS intro FROM l1),
+l2 AS (SELECT id, k, length(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(line, length(mark) + 1) AS said, regexp_matches(line, '{_INTRO}') OR (starts_with(line, '{_GERMAN[0]}') AND contains(line, '{_GERMAN[1]}') AND regexp_matches(line, '{_GERMAN[2]}')) AS intro FROM l1),
 l3 AS (SELECT *, lead(level) OVER (PARTITION BY id ORDER BY k) AS next_level, lag(level) OVER (PARTITION BY id ORDER BY k) AS prior FROM l2),
 own AS (SELECT id, trim(coalesce(string_agg(said, chr(10) ORDER BY k) FILTER (level = 0 AND NOT (intro AND coalesce(next_level, 0) > 0)), ''), ' ' || chr(9) || chr(10)) AS own FROM l3 GROUP BY id),
 l4 AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM prior THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS run FROM l3),
@@ -133,7 +139,8 @@ reply AS (SELECT conv_id, turn, min(first_turn) AS up FROM best JOIN m USING (id
 walk AS (SELECT conv_id, turn, up FROM reply UNION ALL SELECT w.conv_id, w.turn, r.up FROM walk w JOIN reply r ON r.conv_id = w.conv_id AND r.turn = w.up),
 top AS (SELECT conv_id, turn, min(up) AS thread_turn FROM walk GROUP BY 1, 2)
 SELECT m.conv_id, m.turn, m.role, (SELECT count(*) FROM runs r WHERE r.id = m.id) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
-       b.first_turn AS reply_to, coalesce(top.thread_turn, m.turn) AS thread_turn, own.own AS text
+       b.first_turn AS reply_to, coalesce(top.thread_turn, m.turn) AS thread_turn, own.own AS text,
+       '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || own.own || chr(10) AS formatted
 FROM m JOIN own USING (id) LEFT JOIN linked USING (id) LEFT JOIN best b ON b.id = m.id AND b.k = 1
 LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
 """
