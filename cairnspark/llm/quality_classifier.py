@@ -10,7 +10,8 @@ text is scored whole.
 
 Defined results: null and empty texts have all-zero statistics and are scored like any other;
 without labels every score is 0; with labels of one class every score is their mean; repeated rows
-get equal scores; other columns are ignored.
+get equal scores; an empty table gives no rows; a text of any length is one row of work; other columns are
+ignored.
 """
 
 from __future__ import annotations

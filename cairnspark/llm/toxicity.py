@@ -14,8 +14,13 @@ Every hit is weighed in its window: whether quotation marks stand around it, and
 hits are near; quoted hits feed other inputs of the final logistic model than plain ones.
 
 Defined results: null and empty texts have no hits and get the score of such texts; without labels
-or with labels of one class every score is the mean label (0 without labels); repeated rows get
-equal scores; other columns are ignored.
+or with labels of one class every score is near the mean label (0 without labels); repeated rows get
+equal scores; an empty table gives no rows; a text of any length is scored whole, as one row of work; other
+columns are ignored.
+
+The model is bounded: stems have ``LONGEST`` letters at most, ``MOST_CANDIDATES`` stems are compared
+and ``MOST_TERMS`` stay, and the summed weights that the last step sees end at ``MOST_HITS``. Texts are
+scored whole whatever these are.
 """
 
 from __future__ import annotations
@@ -32,15 +37,17 @@ from ._labels import held_out, labelled_sample
 from ._util import slices, table
 
 SAMPLE = 20_000
-LONGEST = 12
+#: Bounds of the learned lexicon: letters of a stem, stems that are candidates, stems that stay.
+LONGEST, MOST_CANDIDATES, MOST_TERMS = 12, 200_000, 2_000
 #: Least length of a stem for which one edit is allowed.
 FUZZY_FROM = 4
 #: Share of a term's weight for a word one edit away, and the least share after its loss by false hits.
 FUZZY_SHARE, LEAST_FUZZY_SHARE = 0.9, 0.05
+#: Weights of hits add up to this at most.
+MOST_HITS = 20
 #: Signs that stand for a letter when they are inside a word, as digits do.
 MASKS = "*#@$!%&+_^~|?"
 WINDOW_CHARS, WINDOW_WORDS = 60, 12
-MOST_TERMS = 2_000
 _QUOTES = "\"“”„«»‹›‘’>"
 
 
@@ -214,8 +221,8 @@ def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray, k
     out = np.zeros((n, 6))
     np.maximum.at(out[:, 0], row[~quoted], value[~quoted])
     np.maximum.at(out[:, 1], row[quoted], value[quoted])
-    out[:, 2] = np.minimum(np.bincount(row[~quoted], value[~quoted], n), 20) / 4
-    out[:, 3] = np.minimum(np.bincount(row[quoted], value[quoted], n), 20) / 4
+    out[:, 2] = np.minimum(np.bincount(row[~quoted], value[~quoted], n), MOST_HITS) / 4
+    out[:, 3] = np.minimum(np.bincount(row[quoted], value[quoted], n), MOST_HITS) / 4
     near = np.zeros(len(row))
     if len(row) > 1:
         close = (row[1:] == row[:-1]) & (np.diff(word) <= WINDOW_WORDS)
@@ -279,16 +286,16 @@ def lexicon(sample: DataFrame, toxic: float, other: float) -> list[str]:
     spark = sample.sparkSession
     least = max(3.0, 0.006 * toxic)
     frequent = _counted(sample.where("y = 1"), _stems).where(F.col("n") >= least)
-    held = {r["item"]: r["n"] for r in frequent.collect()}  # at most (stems per text) / 0.006 of them
+    held = {r["item"]: r["n"] for r in frequent.orderBy(F.desc("n"), "item").limit(MOST_CANDIDATES).collect()}
     known = spark.sparkContext.broadcast(frozenset(held))
     clean = {r["item"]: r["n"] for r in _counted(sample.where("y = 0"), lambda texts: (s & known.value for s in _stems(texts))).collect()}
     good = {s: n for s, n in held.items() if (clean.get(s, 0) + 0.5) / (other + 1) * 25 < (n + 0.5) / (toxic + 1)}
-    longest = [s for s, n in good.items() if not any(s != t and t.startswith(s) and m >= 0.9 * n for t, m in good.items())]
-    kept: list[str] = []
-    for s in sorted(longest, key=len):
+    covered = {t[:k] for t, m in good.items() for k in range(1, len(t)) if m >= 0.9 * good.get(t[:k], np.inf)}
+    kept: set[str] = set()
+    for s in sorted(good.keys() - covered, key=len):
         # a stem too short for an edit doesn't stand in for longer ones, which allow it
-        if not any(s.startswith(t) for t in kept if len(t) >= FUZZY_FROM):
-            kept.append(s)
+        if not any(s[:k] in kept for k in range(FUZZY_FROM, len(s))):
+            kept.add(s)
     return sorted(kept, key=lambda s: (-good[s], s))[:MOST_TERMS]
 
 
