@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Query name -> module that holds it; a module's ORACLE_SQL, if any, belongs to its query.
+#: Query name -> module that holds it.
 _QUERIES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op3_ngram_jaccard": "ngram_jaccard",
@@ -22,10 +22,25 @@ _QUERIES = {
 }
 
 
+#: Queries that SQL can express.
+_WITH_SQL = {"op2_quote_linking", "op3_ngram_jaccard", "op5_pivot_topk", "op8_suffix_dedup", "op9_secret_scan", "op10_decontamination"}
+
+
+def _module(query: str):
+    return import_module(f"{__name__}.{_QUERIES[query]}")
+
+
+def _lazily(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(_module(name), name)(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"{__name__}.{module}"), name) for name, module in _QUERIES.items()}
+    """A query's module is imported when it runs: one that can't be imported takes no other along."""
+    return {name: _lazily(name) for name in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__name__}.{module}"), "ORACLE_SQL", None) for name, module in _QUERIES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: _module(name).ORACLE_SQL for name in _QUERIES if name in _WITH_SQL}

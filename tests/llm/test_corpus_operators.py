@@ -124,15 +124,27 @@ def test_repeated_strings(docs, spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in removed} == {i: len(x) for i, x in want.items()}
 
 
-def test_decontamination(docs, spark):
+def test_decontamination(docs, spark, monkeypatch):
     bench = spark.createDataFrame([("i1", "q1 Q2 q3 q4 q5 q6 q7 q8 q9 q10 zz"), ("i2", "Tiny item"), ("i2", "tiny item"), ("i3", None), ("i4", ""), (None, "item here")], "item_id string, text string")
     got = {r["doc_id"]: r for r in decontamination.hit_report(docs, bench).collect()}
     assert (got[12]["n_hit"], got[12]["n_items"], got[12]["contaminated"]) == (10, 1, True)
     assert (got[13]["n_hit"], got[13]["n_items"]) == (3, 1)
     assert got[13]["items_sha256"] == hashlib.sha256(b"i2").hexdigest()
     assert not got[1]["contaminated"] and got[5]["n_words"] == 0
-    sliced = decontamination.scan(docs, bench, slice_bytes=1)
-    assert sorted((r["doc_id"] or 0, [tuple(s) for s in r["spans"]]) for r in sliced.collect()) == sorted((r["doc_id"] or 0, [tuple(s) for s in r["spans"]]) for r in decontamination.scan(docs, bench).collect())
+    def told(df):
+        return sorted((r["doc_id"] or 0, r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in df.collect())
+
+    want = told(decontamination.scan(docs, bench))
+    assert told(decontamination.scan(docs, bench, most_bytes=0)) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 8)
+    assert told(decontamination.scan(docs, bench, most_bytes=0)) == want
+    for most in (None, 0):
+        cut = decontamination.without_passages(docs, bench, most_bytes=most)
+        assert cut.columns == docs.columns
+        said = sorted((r["doc_id"] or 0, r["text"]) for r in cut.where("text is not null").collect())
+        assert said == sorted((i or 0, {12: " q11 tail", 13: ""}.get(i, t)) for i, t in ROWS if t is not None)
+    assert told(decontamination.scan(docs.limit(0), bench)) == told(decontamination.scan(docs.limit(0), bench, most_bytes=0)) == []
     kept = decontamination.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
     assert decontamination.hit_report(docs, bench.limit(0)).where("contaminated").count() == 0
@@ -171,8 +183,9 @@ def test_classifiers_on_odd_labels(docs, labels, module):
         assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     v = [(i, [((i * 7 + k * 3) % 11 - 5) / 7.0 for k in range(4)]) for i in range(0, 130)] + [(130, None), (131, [1.0, None, 2.0, 3.0]), (132, [float("nan")] * 4), (133, [float("inf")] * 4), (None, [0.1] * 4), (50, [0.0] * 4), (134, [1.0])]
+    v += [(135, []), (150, []), (200, []), (201, [])]
     df = spark.createDataFrame(v, "vec_id bigint, embedding array<float>").withColumn("d", pivot_topk.F.lit(1)).withColumn("size", pivot_topk.F.lit("x"))
     got = rows(pivot_topk.top_k(df, pivot_topk.F.col("vec_id") % 50 == 0))
     import numpy as np
@@ -183,11 +196,31 @@ def test_vectors(spark):
             q = np.floor(256 * np.array(x, np.float32).astype(float)).astype(int).tolist()
             clean[i] = min(clean.get(i, q), q)
     want = []
-    for q in (0, 50, 100):
+    for q in (0, 50, 100, 150, 200):
         best = sorted((-sum(a * b for a, b in zip(clean[q], x, strict=True)), i) for i, x in clean.items() if i != q and len(x) == len(clean[q]))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want, key=repr)
     assert pivot_topk.top_k(df.limit(0), pivot_topk.F.col("vec_id") % 50 == 0).count() == 0
+    for name, n in (("ROW_BLOCK", 7), ("QUERY_BLOCK", 2), ("PIVOT_SAMPLE", 3)):
+        monkeypatch.setattr(pivot_topk, name, n)
+    assert rows(pivot_topk.top_k(df, pivot_topk.F.col("vec_id") % 50 == 0)) == sorted(want, key=repr)
+
+
+def test_vectors_in_clusters_are_eliminated_before_the_shuffle(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pivot_topk, "ROW_BLOCK", 16)
+    r = np.random.default_rng(3)
+    x = np.concatenate([c + r.normal(0, 0.05, (60, 8)) for c in r.normal(0, 4, (10, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    sent = []
+    reach = pivot_topk._reachable
+    monkeypatch.setattr(pivot_topk, "_reachable", lambda q, b: sent.append((q.count(), b.count(), reach(q, b))) or sent[-1][2])
+    got = rows(pivot_topk.top_k(df, pivot_topk.F.col("vec_id") % 50 == 0))
+    q = np.floor(256 * x.astype(np.float32).astype(float)).astype(int)
+    want = [(i, k + 1, j, s) for i in range(0, 600, 50) for k, (s, j) in enumerate(sorted(((int(q[i] @ q[j]), j) for j in range(600) if j != i), key=lambda t: (-t[0], t[1]))[:5])]
+    assert got == sorted(want, key=repr)
+    assert sent[0][2].count() < sent[0][0] * sent[0][1] / 3
 
 
 def test_pages(spark):

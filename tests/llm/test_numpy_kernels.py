@@ -114,10 +114,10 @@ def test_html_blocks():
         "<ul><li>a<li>b</ul><div class=ad>Buy</div><form><input>Send</form><section id=comments><p>Reader</p></section></article>"
         "<footer>&copy; us</footer></body></html>"
     )
-    assert [t for t, _ in html_extraction.blocks(page)] == ["Head & more", "One two three", "Four five", "a", "b"]
+    assert html_extraction.blocks(page)[0] == ["Head & more", "One two three", "Four five", "a", "b"]
     for odd in (None, "", "plain", "<", "<p", "<!--", "<script>", "</p></p>", "<p>" * 300 + "x", "<b><i>" * 2000 + "deep"):
         html_extraction.blocks(odd)
-    assert [t for t, _ in html_extraction.blocks("plain <b>text</b>")] == ["plain text"]
+    assert html_extraction.blocks("plain <b>text</b>")[0] == ["plain text"]
 
 
 def test_tokens_match_the_library():

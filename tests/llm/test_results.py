@@ -1,0 +1,248 @@
+"""Whole results against SQL, brute force and held-out labels."""
+
+import hashlib
+import os
+import random
+import re
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from cairnspark.llm import bpe_automaton, quality_classifier, quote_linking, secret_scan, toxicity
+
+DATA = "/root/testdata"
+
+
+def talk(seed, conversations=400, turns=10):
+    """Messages with nested quotes of earlier ones, ties, repeats, long and odd ones."""
+    r = random.Random(seed)
+    said, rows = {}, []
+    for c in range(conversations):
+        for t in range(turns):
+            own = [" ".join(r.choice("red green blue dark light warm cold".split()) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 4))]
+            lines = []
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                if t and said[c, (o := r.randrange(t))]:
+                    kind = r.random()
+                    level = r.choice([">", "> ", ">> ", "> > ", ">>> ", "  > "])
+                    if kind < 0.3:
+                        lines.append(r.choice(["On Monday, Jo wrote:", "Am 3. Mai schrieb Jo:", "Le 3 mai Jo a écrit :", "x said:", "he said: no"]))
+                    part = said[c, o]
+                    a = r.randrange(len(part))
+                    lines += [level + (x.upper() + "  " if r.random() < 0.2 else x) for x in part[a : a + r.randint(1, 3)]]
+                elif r.random() < 0.3:
+                    lines.append("> nobody ever said this")
+                lines += own[:1]
+            text = r.choice(["\n", "\n", "\r\n"]).join(lines + own)
+            said[c, t] = [x for x in lines + own if not x.lstrip().startswith(">")]
+            rows.append((c, t, r.choice(["user", "assistant", None]), None if r.random() < 0.01 else text))
+    rows += [rows[i] for i in range(0, len(rows), 97)]
+    rows += [(None, 1, "user", "> red"), (1, None, "user", "> red\nx"), (2, 3, "user", "> red green\nanother message of the same turn"), (3, 99, "user", "> " * 300 + "deep\n" + "> line\n" * 3000 + "end"), (4, 1, "x", "")]
+    return rows
+
+
+def test_quotes_match_sql(spark, tmp_path):
+    rows = talk(5)
+    df = spark.createDataFrame([(*x, "key", 1) for x in rows], "conv_id bigint, turn bigint, role string, text string, key string, lines int")
+    got = quote_linking.conversations(df)
+    assert quote_linking.conversations(df.limit(0)).count() == 0
+    made = got.collect()
+    assert len(made) == len(rows) and sum(r["n_linked"] for r in made) > 1000 and sum(r["n_quotes"] > r["n_linked"] for r in made) > 100
+    assert max(r["turn"] - r["thread_turn"] for r in made if r["turn"] is not None and r["thread_turn"] is not None) > 5
+    order = [((r["conv_id"] is not None, r["conv_id"] or 0), (r["thread_turn"] is not None, r["thread_turn"] or 0), (r["turn"] is not None, r["turn"] or 0)) for r in made]
+    assert order == sorted(order)
+    df.select("conv_id", "turn", "role", "text").write.parquet(f"{tmp_path}/c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c.parquet/*.parquet')")
+    found = con.execute(quote_linking.ORACLE_SQL)
+    names = [d[0] for d in found.description]
+    want = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
+    assert sorted(repr([r[c] for c in got.columns]) for r in made) == sorted(repr([r[c] for c in got.columns]) for r in want)
+
+
+def test_isotonic_matches_the_min_max_formula():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 7, 40):
+        x, y = r.permutation(n).astype(float), r.integers(0, 2, n).astype(float)
+        at, value = quality_classifier.isotonic(x, y)
+        own = y[np.argsort(x)]
+        best = [max(min(own[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        # knots of the pools, each at the mean of its places, smoothed where it is mixed
+        pools = [(np.mean([i for i in range(n) if best[i] == v]), v, sum(b == v for b in best)) for v in sorted(set(best))]
+        assert np.allclose(at, [p[0] for p in pools])
+        assert np.allclose(value, [(v * k + 0.5) / (k + 1) if 0 < v < 1 else v for _, v, k in pools])
+        assert (np.diff(value) >= 0).all()
+
+
+def _texts(n, seed=1):
+    r = random.Random(seed)
+    good = ["".join(r.choice("abcdefgh ,.") for _ in range(r.randint(200, 600))) for _ in range(n)]
+    bad = [" ".join([r.choice(["BUY", "!!!", "$$", "click"])] * r.randint(20, 90)) for _ in range(n)]
+    return [(i, t, y) for i, (t, y) in enumerate([(t, 1) for t in good] + [(t, 0) for t in bad])]
+
+
+def test_normal_equations_and_kernel(spark):
+    """The partition-summed system is the one of all rows, and the features approximate the kernel."""
+    rows = _texts(150)
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    model = quality_classifier.fit(docs, labels)
+    sample = quality_classifier.labelled_sample(docs, labels, "quality", quality_classifier.SAMPLE)
+    learned = quality_classifier._fold(sample, False).toPandas()
+    x = quality_classifier.statistics(pa.array(learned["text"]))
+    z, y = model.features(x), learned["y"].to_numpy()
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + quality_classifier.RIDGE * np.eye(z.shape[1]), z.T @ y), atol=1e-6)
+    unit = np.clip((x - model.mean) / model.scale, -6, 6)
+    waves = z[:, : len(model.phase)]
+    gap = ((unit[:, None] - unit[None]) ** 2).sum(2)
+    assert np.abs(waves @ waves.T - np.exp(-(0.35**2) * gap / 2)).mean() < 0.06
+    all_x = quality_classifier.statistics(pa.array(sample.toPandas()["text"]))
+    assert np.allclose(model.mean, all_x.mean(0)) and np.allclose(model.scale, all_x.std(0) + 1e-6, atol=1e-5)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.scores(docs, labels).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows]) > 0.97
+    kept = quality_classifier.accepted(docs, labels)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if got[i] >= 0.5)
+
+
+def test_labelled_sample_is_bounded_and_never_held_out(spark):
+    import zlib
+
+    docs = spark.createDataFrame([(i % 500, f"text {i}") for i in range(2000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(i, None) for i in range(9)], "doc_id bigint, quality int")
+    free = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = quality_classifier.labelled_sample(docs, labels, "quality", 10_000).collect()
+    assert sorted(r["text"] for r in got) == sorted(min(f"text {j}" for j in range(i, 2000, 500)) for i in free)
+    assert 40 < quality_classifier.labelled_sample(docs, labels, "quality", 100).count() < 170
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["quality", "toxic"])
+def test_held_out_labels(spark, name):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    query = quality_classifier.op7_quality_rff if name == "quality" else toxicity.op6_toxicity
+    got = query(spark, f"{DATA}/sf0.1").where("held_out").join(labels, "doc_id").where(f"{name} is not null").select("predicted", name).toPandas()
+    assert len(got) > 1000
+    hit = ((got["predicted"] == 1) & (got[name] == 1)).sum()
+    precision, recall = hit / max((got["predicted"] == 1).sum(), 1), hit / (got[name] == 1).sum()
+    assert precision >= 0.95 and recall >= 0.9, (precision, recall)
+    assert docs.count() == query(spark, f"{DATA}/sf0.1").count()
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    """Hits, windows, quotes and the last step, computed word by word."""
+    terms = ["worthless", "idiot", "scum"]
+    r = random.Random(4)
+    plain = "the quiet river ran past houses and people walked there".split()
+    rows = []
+    for i in range(300):
+        words = [r.choice(plain) for _ in range(r.randint(3, 30))]
+        if i % 3 == 0:
+            for _ in range(r.randint(1, 3)):
+                words.insert(r.randrange(len(words)), r.choice([*terms, '"idiot"', "idi0t", "worthles"]))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(model.automaton.terms) >= {"idiot", "scum"}
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        return any(a[:k] + a[k + 1 :] == b or a == b[:k] + b[k + 1 :] or a[:k] + a[k + 1 :] == b[:k] + b[k + 1 :] for k in range(max(len(a), len(b))))
+
+    def expected(text):
+        low = text.lower()
+        hits = []
+        for m in re.finditer(r"[a-z]+(?:\d[a-z]+)*", low):
+            w = m.group()
+            exact = [k for k, t in enumerate(model.automaton.terms) if w.startswith(t)]
+            fuzzy = [k for k, t in enumerate(model.automaton.terms) if any(near(w[:n], t) for n in range(len(w) + 1))]
+            if exact or fuzzy:
+                code = 2 + 2 * max(exact) if exact else 1 + 2 * max(fuzzy)
+                value = model.weight[code]
+                if not exact:
+                    cut = w[: toxicity.LONGEST + 1]
+                    value = model.known.get(cut, model.weight[toxicity._code(code, cut, len(model.automaton.terms))])
+                quoted = low[max(0, m.start() - 60) : m.start()].count('"') % 2 == 1 and '"' in low[m.end() : m.end() + 60]
+                hits.append((len(re.findall(r"[a-z]+", low[: m.start()])), value, quoted))
+        x = np.array([0, 0, 0, 0, 0, 1.0])
+        for own in (0, 1):
+            values = [v for _, v, q in hits if q == bool(own)]
+            x[own], x[2 + own] = max(values, default=0), min(sum(values), 20) / 4
+        for k, (at, v, _) in enumerate(hits):
+            if v > 0:
+                x[4] = max(x[4], sum(0 <= j < len(hits) and abs(hits[j][0] - at) <= toxicity.WINDOW_WORDS for j in (k - 1, k + 1)))
+        return 1 / (1 + np.exp(-np.clip(x @ model.coefficients, -30, 30)))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, labels).collect()}
+    for i, text in rows:
+        assert abs(got[i] - expected(text)) < 1e-9, text
+    assert toxicity.scores(docs.limit(0), labels).count() == 0 == quality_classifier.scores(docs.limit(0), labels.withColumnRenamed("toxic", "quality")).count()
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage's rows and texts, and the result, computed in plain Python."""
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(30, 120)))) for i in range(120)]
+    for i in range(120, 150):
+        words = rows[i - 120][1].split()
+        words[r.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words)))
+    rows += [(150, rows[3][1]), (151, "token = \"abcdefghijkl012345\" " + rows[4][1].upper()[:90] + " own words"), (152, None), (153, ""), (154, "few words")]
+    rows += [(i, rows[i][1] + " q1 q2 q3 q4 q5 q6 q7 q8 q9 q10") for i in (7, 8)]
+    rows = [(i, t) for i, t in dict(rows).items()] + [(9, rows[9][1])]
+    junk = [(i, "!!! BUY " * r.randint(30, 60)) for i in range(200, 260)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + junk], "doc_id bigint, text string, lang string, source string, n_chars int").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, _ in rows + junk], "doc_id bigint, quality int, toxic int").distinct()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i1", "Q1 q2 q3 q4 q5 q6 q7 q8 q9, q10")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    score = {}
+    for x in quality_classifier.scores(docs, labels, ["doc_id", "text"]).collect():
+        score[x["doc_id"], x["text"]] = x["score"]
+    kept = [x for x in rows + junk if score[x] >= 0.5]
+    assert 100 < len(kept) < len(rows + junk)
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept = sorted({*kept}, key=lambda x: x[0])
+    sets = {i: shingles(t) for i, t in kept}
+    group = {i: i for i in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    kept = [(i, t) for i, t in kept if group[i] == i]
+    kept = [(i, t) for i, t in kept if "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10" not in " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))]
+
+    def clean(t):
+        spans = []
+        for rule in secret_scan.RULES:
+            for m in re.finditer(rule.pattern, t):
+                if len(m.group(rule.group)) >= rule.least:
+                    spans.append(m.span())
+        out, at = "", 0
+        for a, b in sorted(spans):
+            if a >= at:
+                out += t[at:a] + "[REDACTED]"
+            at = max(at, b)
+        return out + t[at:]
+
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe_automaton.vocabulary_path())
+    want = []
+    for i, t in kept:
+        said = clean(t or "")
+        ids = library.encode(said, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in out.collect()) == sorted(want)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
