@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on word shingles with adaptive multi-match prefixes.
 
-Texts with equal shingle sets are one node (numbered apart from ids, since an id may come with unlike
-texts). Shingles are ordered from rare to frequent by a sketch
+Texts with equal shingle sets are one node (numbered in the order of their smallest ids, since an id may
+come with unlike texts). Shingles are ordered from rare to frequent by a sketch
 of their document frequencies (any order gives right results; this one gives few candidates). A
 document's prefix is its first n - ceil(t n) + l shingles: two similar documents share at least
 min(l, l') of their prefixes. Each document takes the l that minimises its estimated cost, postings
@@ -157,7 +157,7 @@ def _with_node(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, representative: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(node, doc_id, n, matches, prefix, bitmap) of the representatives."""
+    """(node, n, matches, prefix, bitmap) of the representatives."""
     chosen = representative.select("doc_id", "said", "node")
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     noise = float(np.median(sketch)) + 3 * math.sqrt(float(np.median(sketch)))
@@ -172,7 +172,7 @@ def _prefixes(docs: DataFrame, representative: DataFrame, sketch: np.ndarray, wi
         got = _map_sets(_with_node(keyed, F.broadcast(chosen)), fields, made, width)
     else:  # prefixes are shuffled, texts are not
         got = _with_node(_map_sets(keyed, fields, made, width), chosen)
-    return got.select("node", "doc_id", "n", "matches", "prefix", "bitmap")
+    return got.select("node", "n", "matches", "prefix", "bitmap")
 
 
 def _words_of(maps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -241,10 +241,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, representative: DataFrame, widt
     """The pairs (a, b) of nodes whose texts are similar."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(representative.join(ids, "node", "left_semi").select("doc_id", "said", "node"), "pair_nodes")
+    wanted = materialize(representative.join(ids, "node", "left_semi").select("doc_id", "said", "node", "repeated"), "pair_nodes")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = _with_node(_keyed(docs.where("doc_id is not null")), wanted).select("node", F.col("shingled_text").cast("binary").alias("x"))
-    texts = materialize(texts.dropDuplicates(["node"]), "pair_texts")
+    texts = _with_node(_keyed(docs.where("doc_id is not null")), wanted).select("node", "repeated", F.col("shingled_text").cast("binary").alias("x"))
+    # only texts of rows that are there more than once are shuffled to keep one
+    texts = texts.where("not repeated").unionByName(texts.where("repeated").dropDuplicates(["node"])).select("node", "x")
+    texts = materialize(texts, "pair_texts")
     met = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,16 +324,18 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = materialize(signatures(docs, width), "signatures")
     same = ["n_shingles", "signature"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy(*same).agg(F.min(F.struct("doc_id", "said")).alias("first"))
-    representative = materialize(first.select(*same, "first.*", F.monotonically_increasing_id().alias("node")), "representatives")
+    once = full.groupBy("doc_id", "said").agg(F.count("*").alias("rows"))
+    first = full.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min_by("said", "doc_id").alias("said"))
+    often = once.where("rows > 1").select("doc_id", "said", F.lit(True).alias("repeated"))
+    first = first.join(often, ["doc_id", "said"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    representative = materialize(first.orderBy("doc_id", "said").withColumn("node", F.monotonically_increasing_id()), "representatives")
     nodes = materialize(_prefixes(docs, representative, frequency_sketch(docs, width), width, percent), "nodes")
-    entries = nodes.select(F.explode("prefix").alias("token"), "node", "doc_id", "n", "matches")
+    entries = nodes.select(F.explode("prefix").alias("token"), "node", "n", "matches")
     # near copies resemble their original, which mostly has the smallest id, more than one another
-    first = F.min(F.struct("doc_id", "node", "n", "matches")).alias("first")
-    hubs = entries.groupBy("token").agg(first, F.count("*").alias("size")).where("size > 1")
-    hubs = materialize(hubs.select("token", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.matches").alias("hub_matches")), "hubs")
+    hubs = entries.groupBy("token").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.min_by("matches", "node").alias("hub_matches"), F.count("*").alias("size"))
+    hubs = materialize(hubs.where("size > 1").drop("size"), "hubs")
     release(docs.sparkSession)
-    postings = materialize(entries.drop("doc_id").join(hubs.select("token"), "token", "left_semi"), "postings")
+    postings = materialize(entries.join(hubs.select("token"), "token", "left_semi"), "postings")
     release(docs.sparkSession)
     stars = _verified(_star_pairs(postings, hubs, nodes, percent), docs, representative, width, percent)
     cross = _verified(_cross_pairs(postings, nodes, components(stars), percent), docs, representative, width, percent)
@@ -339,7 +343,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_joined"))
     named = representative.join(components(links), "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select(*same, "doc_id", "component", F.coalesce("n_joined", F.lit(0)).alias("n_joined")), "named_nodes")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # the smallest node of a component is that of its smallest id
+    least = representative.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
     out = full.join(named.drop("doc_id").join(least, "component"), same)
     columns = ["doc_id", "said", "n_shingles", "component", "component_id", "n_joined"]
     rest = signed.where("n_shingles = 0 or doc_id is null").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id"), "n_joined": F.lit(0).cast("bigint")})
