@@ -6,10 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from ..sources.storage import materialize, release, shared_dir, table
 
-__all__ = ["materialize", "release", "shared_dir", "slices", "table", "text_buffers"]
+__all__ = ["materialize", "release", "shared_dir", "slices", "small_batches", "table", "text_buffers"]
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, most: int = 2_000) -> DataFrame:
+    """``df``, in a session that sends no more than ``most`` rows at once to Python: rows with texts are large,
+    and both sides hold a batch whole. A smaller number that the session has is kept."""
+    own = int(df.sparkSession.conf.get(_ROWS))
+    if own <= 0 or own > most:
+        df.sparkSession.conf.set(_ROWS, str(most))
+    return df
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

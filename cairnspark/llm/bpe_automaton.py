@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._util import slices, table
+from ._util import slices, small_batches, table
 
 #: Fixed value: the pattern by which byte-level vocabularies of this family split text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids:
 
     schema = "".join(f"k{i} {named.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
     ddl = schema + "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return named.mapInArrow(run, ddl).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return small_batches(named).mapInArrow(run, ddl).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text
-from ._util import materialize, slices, table, text_buffers
+from ._util import materialize, slices, small_batches, table, text_buffers
 
 N = 10
 MOST_BYTES = 2 << 20
@@ -125,7 +125,7 @@ def _with(named: DataFrame, extra: str, made) -> DataFrame:
                 old = [c for c in names if c not in ("hit_spans", "hit_items")]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in old), *new.values()], names=[*old, *new])
 
-    return named.mapInArrow(run, schema)
+    return small_batches(named).mapInArrow(run, schema)
 
 
 def _scan_broadcast(named: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text
-from ._util import materialize, slices, table
+from ._util import materialize, slices, small_batches, table
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.05
@@ -388,7 +388,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([b for b, _ in made], pa.list_(pa.string())), *map(pa.array, marks, kinds)], names=[*piece.schema.names[:3], "blocks", "marks", "first", "last"])
 
     ids = named.schema["page_id"].dataType.simpleString()
-    made = named.mapInArrow(run, f"page_id {ids}, url string, host bigint, blocks array<string>, marks array<bigint>, first array<int>, last array<int>")
+    made = small_batches(named).mapInArrow(run, f"page_id {ids}, url string, host bigint, blocks array<string>, marks array<bigint>, first array<int>, last array<int>")
     return made.withColumn("content", F.xxhash64("blocks"))
 
 
@@ -459,7 +459,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             text, n_templates = cut(batch, known.value if known is not None else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], text, n_templates], names=["page_id", "url", "text", "n_templates"])
 
-    made = told.mapInArrow(run, f"page_id {parsed.schema['page_id'].dataType.simpleString()}, url string, text string, n_templates bigint")
+    made = small_batches(told).mapInArrow(run, f"page_id {parsed.schema['page_id'].dataType.simpleString()}, url string, text string, n_templates bigint")
     return made.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_templates")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.components import components
 from . import _text
-from ._util import materialize, release, slices, table, text_buffers
+from ._util import materialize, release, slices, small_batches, table, text_buffers
 
 WIDTH = 5
 LEAST_PERCENT = 80
@@ -84,7 +84,7 @@ def _map_sets(keyed: DataFrame, fields: list[tuple[str, pa.DataType]], made, wid
                 columns = made(shingle_sets(piece.column("shingled_text"), width))
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[*names, *(c for c, _ in fields)])
 
-    return keyed.mapInArrow(run, schema)
+    return small_batches(keyed).mapInArrow(run, schema)
 
 
 _SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
@@ -118,7 +118,7 @@ def frequency_sketch(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BIT
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     schema = "part int, counts binary"
-    out = named.mapInArrow(count, schema).withColumn("task", F.spark_partition_id())
+    out = small_batches(named).mapInArrow(count, schema).withColumn("task", F.spark_partition_id())
     tasks = out.rdd.getNumPartitions()
     while True:
         out = out.withColumn("task", F.floor(F.col("task") / 64)).groupBy("part", "task").applyInArrow(lambda key, group: add(key, group).append_column("task", pa.array([key[1].as_py()], pa.int64())), schema + ", task bigint")
@@ -254,7 +254,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, representative: DataFrame, widt
             keep = [similar(x.as_py(), y.as_py(), width, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return materialize(met.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    return materialize(small_batches(met).mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
 def _fits(n: str, m: str, percent: int):
@@ -277,7 +277,7 @@ def _bitmap_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
                     differ[i] = np.bitwise_count(_fold(x, least) ^ _fold(y, least)).sum()
             yield batch.filter(pa.array(may_link(n, m, differ, percent))).select([0, 1])
 
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    return small_batches(met).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _star_pairs(postings: DataFrame, hubs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text
 from ._labels import held_out, labelled_sample
-from ._util import slices, table, text_buffers
+from ._util import slices, small_batches, table, text_buffers
 
 SAMPLE = 20_000
 FEATURES = 384
@@ -193,7 +193,7 @@ def _map_scores(docs: DataFrame, score, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.array(got, pa.float64())], names=[*piece.schema.names[: len(keep)], "score"])
 
     schema = "".join(f"k{i} {named.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
-    return named.mapInArrow(run, schema + "score double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return small_batches(named).mapInArrow(run, schema + "score double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **fit_options) -> DataFrame:

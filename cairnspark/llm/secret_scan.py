@@ -3,10 +3,13 @@
 For every rule a Boolean query over trigrams is derived from its regular expression: what any
 match must contain. The postings of just those trigrams are built from all texts, each rule's
 query is evaluated by intersecting and uniting postings, and its expression runs over the
-candidates alone. Rules without mandatory trigrams run over every text.
+candidates alone. Rules without mandatory trigrams run over every text. Only keys of candidates travel:
+they are few, and are broadcast to the texts up to ``BROADCAST_KEYS``, beyond which they are joined.
 
-Defined results: a null text is empty; repeated rows (also of one doc_id) are each scanned; null
-ids are kept; columns beside those named are passed on or ignored.
+Defined results: a null text is empty; an empty table gives no rows; repeated rows (also of one doc_id) are
+each scanned; null ids are kept; a text of any length is one row of work, in time that grows with its length
+and matches; columns beside those named are passed on or ignored. The added rules bound their own matches
+(a login in an address has up to 64 and 200 characters, the name in a key's header 40); base kinds are unbounded.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._util import table
+from ._util import materialize, table
 
 Clauses = list[frozenset[str]]
 
@@ -47,6 +50,9 @@ RULES = (
 )
 BASE = 3
 _MOST_STRINGS = 64
+BROADCAST_KEYS = 500_000
+#: Matches that are numbered in one go; blocks of them are numbered apart, so that no array is copied for each.
+_BLOCK = 256
 
 
 def _trigrams(s: str) -> frozenset[str]:
@@ -152,30 +158,52 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return held.select("key", named.alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, which a lambda's own variable is, whatever is in the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine, zero: int) -> Column:
+    """For each number of an array what ``combine`` makes of those before it, beginning with ``zero``."""
+    zero_ = F.lit(zero).cast("bigint")
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def scan_(numbers: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), none.alias("out"))
+        step = lambda s, x: F.struct(combine(s["now"], x).cast("bigint").alias("now"), F.array_append(s["out"], s["now"]).alias("out"))
+        return F.aggregate(numbers, start, step, lambda s: s["out"])
+
+    def whole(v: Column) -> Column:
+        block = lambda b: F.slice(v, b * _BLOCK + 1, _BLOCK)
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(v) / _BLOCK).cast("int") - 1)
+        begins = scan_(F.transform(blocks, lambda b: F.aggregate(block(b), zero_, lambda s, x: combine(s, x).cast("bigint"))), zero_)
+        return F.when(F.size(v) > 0, F.flatten(F.transform(begins, lambda first, b: scan_(block(b), first)))).otherwise(none)
+
+    return _let(values, whole)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind): pieces between matches give the places of the matches."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     said = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     empty = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string>>)")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), whole.alias("whole"), said.alias("said"))
+    sized = F.transform(F.filter(zipped, lambda x: x["whole"].isNotNull()), lambda x: F.struct(F.length(x["before"]).cast("bigint").alias("gap"), F.length(x["whole"]).cast("bigint").alias("size"), (F.length(x["said"]) >= rule.least).alias("kept")))
+    place = lambda x: F.struct((x["b"] + x["x"]["gap"]).alias("start"), F.lit(order).alias("ord"), (x["b"] + x["x"]["gap"] + x["x"]["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + F.length(x["before"])
-        b = a + F.length(x["whole"])
-        span = F.struct(a.alias("start"), F.lit(order).alias("ord"), b.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(b.alias("at"), F.when(F.length(x["said"]) >= rule.least, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+    def placed(v: Column) -> Column:
+        ends = running(F.transform(v, lambda x: x["gap"] + x["size"]), lambda a, x: a + x, 0)
+        return F.transform(F.filter(F.arrays_zip(v.alias("x"), ends.alias("b")), lambda x: x["x"]["kept"]), place)
 
-    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), whole.alias("whole"), said.alias("said"))
-    found = F.aggregate(F.filter(zipped, lambda x: x["whole"].isNotNull()), start, step, lambda s: s["out"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(rule.pattern)), _let(sized, placed)).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, text, row, secret_spans) of every row: ``row`` is a struct of all its columns, the
     spans are an array of (start, ord, end, kind), sorted; places in code points, end exclusive."""
     own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = candidates(own, rules).select(F.col("key.id").alias("cand_id"), F.col("key.h").alias("cand_hash"), F.col("rules").alias("cand_rules"))
-    joined = own.join(found, (F.xxhash64("text") == F.col("cand_hash")) & F.col("cand_id").eqNullSafe(F.col("doc_id")), "left")
+    found = materialize(candidates(own, rules).select(F.col("key.id").alias("cand_id"), F.col("key.h").alias("cand_hash"), F.col("rules").alias("cand_rules")), "candidates")
+    joined = own.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, (F.xxhash64("text") == F.col("cand_hash")) & F.col("cand_id").eqNullSafe(F.col("doc_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string>>)")
     each = []
@@ -188,15 +216,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[REDACTED]") -> DataFrame:
     """Documents with every span replaced by ``sign`` (overlapping spans by one) and ``n_chars``
     following; other columns as before."""
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring("text", state["at"] + 1, x["start"] - state["at"])
-        new = F.struct(x["end"].alias("at"), F.concat(state["out"], gap, F.lit(sign)).alias("out"))
-        over = F.struct(F.greatest(state["at"], x["end"]).alias("at"), state["out"].alias("out"))
-        return F.when((x["start"] < state["at"]) & (state["at"] > 0), over).otherwise(new)
-
-    done = F.aggregate("secret_spans", first, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.lit(2**31 - 1))))
+    def cut(chars: Column, spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x), 0)
+        gap = lambda a, b: F.array_join(F.slice(chars, a.cast("int") + 1, F.greatest(b - a, F.lit(0)).cast("int")), "")
+        piece = lambda x: F.when((x["x"]["start"] < x["seen"]) & (x["seen"] > 0), "").otherwise(F.concat(gap(x["seen"], x["x"]["start"]), F.lit(sign)))
+        pieces = F.transform(F.arrays_zip(spans.alias("x"), ends.alias("seen")), piece)
+        return F.concat(F.array_join(pieces, ""), gap(F.array_max(F.transform(spans, lambda x: x["end"])), F.size(chars).cast("bigint")))
+
+    # the text as an array of its characters, of which the gaps between runs of spans are taken
+    done = _let(F.split("text", ""), lambda chars: cut(chars, F.col("secret_spans")))
     hit = F.size("secret_spans") > 0
     out = scan(docs, rules).withColumn("new_text", F.when(hit, done).otherwise(F.col("text")))
     new = {"text": F.col("new_text"), "n_chars": F.when(hit, F.length("new_text").cast("bigint")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text
-from ._util import materialize, release, slices, table, text_buffers
+from ._util import materialize, release, slices, small_batches, table, text_buffers
 
 LENGTH = 100
 GRAM = 32
@@ -90,7 +90,7 @@ def _samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(context), pa.array(twin), piece.column(0).take(pa.array(row)), pa.array(place), pa.array(left, pa.int32()), pa.array(right, pa.int32())], schema=kind)
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").alias("bytes_of"))
-    return named.mapInArrow(run, "name bigint, context bigint, twin bigint, doc bigint, place bigint, left int, right int")
+    return small_batches(named).mapInArrow(run, "name bigint, context bigint, twin bigint, doc bigint, place bigint, left int, right int")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _merged_hot(contexts: DataFrame, length: int) -> DataFrame:
                 got, _ = _suffixes(pa.Table.from_batches([batch.slice(at, 4096)]), length)
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], names=["name", "left", "prefix", "twin", "doc", "place"])
 
-    rows = materialize(contexts.mapInArrow(run, schema), "hot_suffixes")
+    rows = materialize(small_batches(contexts).mapInArrow(run, schema), "hot_suffixes")
     keys = ["name", "left", "prefix", "twin"]
     first = rows.groupBy(*keys).agg(F.min(F.struct("doc", "place")).alias("earliest"))
     later = rows.join(first, keys).where(F.struct("doc", "place") > F.col("earliest"))
@@ -243,7 +243,7 @@ def _apply(docs: DataFrame, length: int, gram: int, schema: str, kind: pa.Schema
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
 
     joined = named.join(lists, "doc", "left").select("doc_id", "bytes_of", "spans")
-    return joined.mapInArrow(run, schema)
+    return small_batches(joined).mapInArrow(run, schema)
 
 
 def _kept(own: bytes, runs: list[list[int]]) -> bytes:

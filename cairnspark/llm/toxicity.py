@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._labels import held_out, labelled_sample
-from ._util import slices, table
+from ._util import slices, small_batches, table
 
 SAMPLE = 20_000
 #: Bounds of the learned lexicon: letters of a stem, stems that are candidates, stems that stay.
@@ -253,7 +253,7 @@ def _map(frame: DataFrame, keep: list[str], schema: str, made) -> DataFrame:
             for piece in slices(batch, "tox_text"):
                 yield from made([t or "" for t in piece.column(len(keep)).to_pylist()], piece.columns[: len(keep)])
 
-    return named.mapInArrow(run, schema)
+    return small_batches(named).mapInArrow(run, schema)
 
 
 def _counted(sample: DataFrame, made) -> DataFrame:
