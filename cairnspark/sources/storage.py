@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a temporary folder is set up.
+    Only where the session has none and all runs in one process (local tests) a temporary folder is set
+    up; on a cluster a folder of one machine would be seen by no other, so that is an error.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not known:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn_ckpt_"))
         known = spark.sparkContext.getCheckpointDir()

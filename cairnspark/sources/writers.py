@@ -30,8 +30,8 @@ def pruned(old: DataFrame, keep: DataFrame, key: list[str]) -> DataFrame:
 
 
 def deleted(tables: dict[str, DataFrame], source_id: str) -> dict[str, DataFrame]:
-    """All tables without the rows of a source."""
-    return {name: df.where(F.col("source_id") != source_id) for name, df in tables.items()}
+    """All tables without the rows of a source; rows of no source stay."""
+    return {name: df.where(~F.col("source_id").eqNullSafe(F.lit(source_id))) for name, df in tables.items()}
 
 
 def rewrite(rows: DataFrame, path: str) -> None:

@@ -15,25 +15,57 @@ def _newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write has ended."""
+    at = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at(path)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at(path))]
+    return [n for n in names if files.exists(at(path, n, "_SUCCESS"))]
+
+
 class LatestTable:
-    """The newest row of every key as a table that grows by versions: each micro-batch writes a new
-    folder from the last one and its own rows, so a batch that is run again after a failure gives
-    the same folder again."""
+    """The newest row of every key, in ``BUCKETS`` buckets of keys. A micro-batch writes the buckets it
+    touches into a folder of its own, then a manifest that tells for each bucket which batch wrote it
+    last. The newest whole manifest is the state, so that a restart goes on from it, and a batch that is
+    run again after a failure gives the same state again."""
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str, schema, key: list[str], order: list[str]):
         self.spark, self.path, self.schema, self.key, self.order = spark, path, schema, key, order
-        self.version = -1
+
+    @property
+    def version(self) -> int:
+        return max((int(n[1:]) for n in _complete(self.spark, f"{self.path}/manifest")), default=-1)
+
+    def _written(self, version: int) -> dict[int, int]:
+        """Bucket -> batch that wrote it last, of ``BUCKETS`` buckets at most."""
+        if version < 0:
+            return {}
+        return {r["bucket"]: r["batch"] for r in self.spark.read.schema("bucket int, batch bigint").parquet(f"{self.path}/manifest/v{version}").collect()}
+
+    def _read(self, written: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/rows/v{batch}/bucket={bucket}" for bucket, batch in sorted(written.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
+        return self._read(self._written(self.version))
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id > self.version:
-            fresh = _newest(batch, self.key, self.order)  # combined before it meets the table
-            _newest(self.read().unionByName(fresh), self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-            self.version = batch_id
+        version = self.version
+        if batch_id <= version:
+            return
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.BUCKETS)).cast("int")
+        fresh = _newest(batch, self.key, self.order)  # combined before it meets the table
+        written = self._written(version)
+        touched = {r["bucket"] for r in fresh.select(bucket.alias("bucket")).distinct().collect()}
+        old = self._read({b: v for b, v in written.items() if b in touched})
+        rows = _newest(old.unionByName(fresh), self.key, self.order).withColumn("bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/v{batch_id}")
+        now = [*(written | dict.fromkeys(touched, batch_id)).items()]
+        self.spark.createDataFrame(now, "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v{batch_id}")
 
 
 def follow(source: DataFrame, key: list[str], order: list[str], path: str, checkpoint: str, once: bool = True, every: str = "1 second"):
