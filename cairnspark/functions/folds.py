@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import materialize
+
 MOST_LINES, MOST_BYTES = 80, 6000
 CHUNKS = "source_id string, chunk_no int, chunk_id string, heading_path array<string>, line_start int, line_end int, text string"
 
@@ -62,27 +64,51 @@ def chunk_markdown(docs: DataFrame, source: Column, text: Column) -> DataFrame:
 
 
 def batch_plan(chunks: DataFrame, group: str, order: str, size: str, most_chunks: int = 40, most_chars: int = 80_000, most_batches: int = 8) -> DataFrame:
-    """(group, batch, n_chunks, n_chars) of the greedy plan; later batches are counted as skipped."""
-
-    def plan(sizes: list) -> list[dict]:
-        out: list[list[int]] = []
-        for n in sizes:
-            if not out or out[-1][0] >= most_chunks or out[-1][1] and out[-1][1] + n > most_chars:
-                out.append([0, 0])
-            out[-1][0] += 1
-            out[-1][1] += n
-        return [{"batch": i, "n_chunks": a, "n_chars": b, "skipped": i >= most_batches} for i, (a, b) in enumerate(out)]
+    """(group, batch, n_chunks, n_chars, skipped) of the greedy plan; later batches are counted as skipped.
+    Rows of a group come sorted in Arrow batches through one fold that holds the open batch alone."""
+    kind = chunks.schema[group].dataType.simpleString()
+    names = [group, "batch", "n_chunks", "n_chars", "skipped"]
 
-    planned = F.udf(plan, "array<struct<batch:int,n_chunks:bigint,n_chars:bigint,skipped:boolean>>")
-    ordered = chunks.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, size))), lambda x: x[size]).alias("sizes"))
-    return ordered.select(group, F.explode(planned("sizes")).alias("b")).select(group, "b.*")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, batch, n, chars = None, -1, 0, 0
 
+        def closed() -> list[tuple]:
+            return [(key, batch, n, chars, batch >= most_batches)] if n else []
 
-def spend_budget(rows: DataFrame, partition: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
+        for frame in frames:
+            out = []
+            for k, more in zip(frame["g"], frame["n"].tolist(), strict=True):
+                if k != key or n >= most_chunks or chars and chars + more > most_chars:
+                    out += closed()
+                    key, batch, n, chars = k, 0 if k != key else batch + 1, 0, 0
+                n, chars = n + 1, chars + more
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(closed(), columns=names)
+
+    ordered = chunks.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(size, F.lit(0)).cast("bigint").alias("n")).where("g is not null")
+    ordered = ordered.repartition("g").sortWithinPartitions("g", "o")
+    return ordered.mapInPandas(run, f"{group} {kind}, batch int, n_chunks bigint, n_chars bigint, skipped boolean")
+
+
+def running_total(rows: DataFrame, group: list[str], order: list[str], size: Column) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``size`` over the rows of their group that come earlier. A
+    group may be of any size: rows are dealt by ranges of (group, order), summed within each range, and
+    each range begins with the sums of those before it."""
+    sized = rows.withColumn("_size", F.coalesce(size, F.lit(0)))
+    placed = materialize(sized.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_part").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).withColumnsRenamed({g: f"_{g}" for g in group}).withColumnRenamed("_part", "_range").drop("_sum")
+    within = placed.withColumn("_within", F.coalesce(F.sum("_size").over(own), F.lit(0)))
+    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col("_part") == F.col("_range")]
+    return within.join(starts, on).select(*rows.columns, (F.col("_start") + F.col("_within")).alias("before"))
+
+
+def spend_budget(rows: DataFrame, partition: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
     """Rows with ``kept``: how much of each still fits when rows are taken in order."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return rows.withColumn("kept", F.least(size, F.greatest(F.lit(budget) - before, F.lit(0))).cast("bigint"))
+    left = F.greatest(F.lit(budget) - F.col("before"), F.lit(0))
+    return running_total(rows, partition, order, size).withColumn("kept", F.least(size, left).cast("bigint")).drop("before")
 
 
 def stable_id(*parts: str) -> str:

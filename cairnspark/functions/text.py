@@ -20,7 +20,7 @@ INTENTS = {
     "image": ["image", "figure", "chart", "diagram", "screenshot", "ocr", "caption", "그림", "이미지", "차트"],
     "summary": ["summary", "summarize", "overview", "요약", "개요"],
     "claim": ["claim", "assertion", "statement", "argument", "주장", "명제"],
-    "relationship": ["relationship", "relation", "link", "graph", "connect", "edge"],
+    "relationship": ["relationship", "relation", "link", "graph", "connect", "edge", "관계", "연결"],
 }
 #: Markers in claims.
 NEGATIONS = ["no", "not", "never", "without"]
@@ -105,10 +105,11 @@ def metadata_score(text: Column, terms: Column) -> Column:
 
 
 def frequency_score(words: Column, terms: Column) -> Column:
-    """Scores of stemmed words against stemmed terms: 8 + 2f for an exact one, 3 for a shared prefix
-    of longer ones, the square of the number of matched terms, 10 more if all are matched."""
+    """Scores of stemmed words against stemmed terms: 8 + 2f for an exact one, 3 for a term of four letters
+    or more that begins a word or is begun by one, the square of the number of matched terms, 10 more if all
+    are matched."""
     count = lambda t: F.size(F.filter(words, lambda w: w == t))
-    prefixed = lambda t: F.exists(words, lambda w: (F.length(t) > 3) & (F.length(w) > 3) & (w.startswith(t) | t.startswith(w)))
+    prefixed = lambda t: F.exists(words, lambda w: (F.length(t) > 3) & (w.startswith(t) | t.startswith(w)))
     each = F.transform(terms, lambda t: F.when(count(t) > 0, count(t) * 2 + 8).when(prefixed(t), F.lit(3)).otherwise(F.lit(0)))
     hit = F.size(F.filter(each, lambda x: x > 0))
     total = F.aggregate(each, F.lit(0), lambda a, x: a + x)
@@ -123,51 +124,86 @@ def best_snippet(text: Column, terms: Column) -> Column:
     return F.trim(F.substring(text, start, F.lit(180)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as a lambda's variable, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space (of Unicode) at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def context_window(text: Column, terms: Column, size: int = 1600) -> Column:
-    """The window of ``size`` characters with the highest score: 1000 for each distinct term, 30 for
-    each of its first eight places, 220 if it isn't at the beginning, 25 for each explaining word,
-    less 900 for a table of contents; the last one wins ties."""
-    low = F.lower(text)
+    """The window of ``size`` characters of the trimmed text with the highest score: 1000 for each distinct
+    term, 30 for each of its first eight places, 220 if it isn't at the beginning, 25 for each explaining
+    word, less 900 for a table of contents; the last one wins ties. Places are counted in characters."""
+    return let(trimmed(F.coalesce(text, F.lit(""))), lambda t: let(F.lower(t), lambda low: _best_window(t, low, terms, size)))
+
+
+def _best_window(text: Column, low: Column, terms: Column, size: int) -> Column:
     # every place of every term: the pieces between the places tell how far each one is
     places = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.call_function("split", low, F.concat(F.lit("\\Q"), t, F.lit("\\E")), F.lit(-1))) - 1, F.lit(1))), lambda k: F.length(F.call_function("substring_index", low, t, k)))
     phrase = F.when(F.size(terms) > 1, F.array(F.array_join(terms, " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    at = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.concat(phrase, terms), places)), lambda p: p < F.length(low))))
+    found = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.concat(phrase, terms), places)), lambda p: p < F.length(low))))
+    return let(found, lambda at: _window_at(text, at, terms, size))
+
 
+def _window_at(text: Column, at: Column, terms: Column, size: int) -> Column:
     def start(p: Column) -> Column:
         head = F.substring(text, F.lit(1), p)
         back = lambda mark: F.length(head) - F.length(F.substring_index(head, mark, -1))
         begin = F.when(F.contains(head, F.lit("\n\n")), back("\n\n")).when(F.contains(head, F.lit("\n")), back("\n")).otherwise(F.lit(0))
         return F.when(p - begin > 240, F.greatest(p - 120, F.lit(0))).otherwise(begin)
 
+    def window(p: Column) -> Column:
+        return F.substring(F.regexp_replace(F.substring(text, start(p) + 1, F.lit(2**31 - 1)), r"(?U)^\s+", ""), 1, size)
+
     def score(p: Column) -> Column:
-        window = F.lower(F.substring(text, start(p) + 1, F.lit(size)))
-        count = lambda t: F.floor((F.length(window) - F.length(F.replace(window, t, F.lit("")))) / F.length(t)).cast("int")
-        hits = F.filter(F.transform(terms, count), lambda n: n > 0)
-        repeats = F.aggregate(hits, F.lit(0), lambda a, n: a + F.least(n, F.lit(8)))
-        contents = (p < 500) & F.contains(window, F.lit("contents")) & F.contains(window, F.lit("8.1")) & F.contains(window, F.lit("8.2")) & F.contains(window, F.lit("8.3"))
-        words = F.size(F.filter(literals(EXPLAINING), lambda w: F.contains(window, w)))
-        return F.size(hits) * 1000 + repeats * 30 + F.when(p > 400, 220).otherwise(0) + words * 25 - F.when(contents, 900).otherwise(0)
+        return let(F.lower(window(p)), lambda said: _window_score(said, p, terms))
 
     ranked = F.transform(at, lambda p: F.struct(score(p).alias("score"), p.alias("at")))
-    return F.when(F.size(at) > 0, F.substring(text, start(F.array_max(ranked)["at"]) + 1, F.lit(size))).otherwise(F.substring(text, F.lit(1), F.lit(size)))
+    best = F.when(F.size(at) > 0, window(F.array_max(ranked)["at"]))
+    return best.otherwise(F.substring(text, 1, size))
 
 
-def wants(query: str) -> set[str]:
-    low = query.lower()
-    return {kind for kind, words in INTENTS.items() if any(w in low for w in words)}
+def _window_score(said: Column, p: Column, terms: Column) -> Column:
+    count = lambda t: F.floor((F.length(said) - F.length(F.replace(said, t, F.lit("")))) / F.length(t)).cast("int")
+    hits = F.filter(F.transform(terms, count), lambda n: n > 0)
+    repeats = F.aggregate(hits, F.lit(0), lambda a, n: a + F.least(n, F.lit(8)))
+    contents = (p < 500) & F.contains(said, F.lit("contents")) & F.contains(said, F.lit("8.1")) & F.contains(said, F.lit("8.2")) & F.contains(said, F.lit("8.3"))
+    words = F.size(F.filter(literals(EXPLAINING), lambda w: F.contains(said, w)))
+    return F.size(hits) * 1000 + repeats * 30 + F.when(p > 400, 220).otherwise(0) + words * 25 - F.when(contents, 900).otherwise(0)
 
 
-def typed_boost(evidence_type: Column, query: str) -> Column:
-    """What a type of evidence is worth for a query: the first intent that fits, and a base."""
-    want = wants(query)
-    intent = F.when(F.lit("table" in want) & (evidence_type == "table"), 0.14)
-    intent = intent.when(F.lit("image" in want) & evidence_type.isin("image_region", "ocr", "caption"), 0.12)
-    intent = intent.when(F.lit("summary" in want) & evidence_type.isin("summary", "wiki"), 0.10)
-    intent = intent.when(F.lit("claim" in want) & (evidence_type == "claim_evidence"), 0.10)
-    intent = intent.when(F.lit("relationship" in want) & (evidence_type == "relationship_evidence"), 0.10)
-    intent = intent.when(F.lit("relationship" in want) & (evidence_type == "claim_evidence"), 0.06)
-    intent = intent.when(F.lit("claim" in want) & (evidence_type == "relationship_evidence"), 0.06).otherwise(0.0)
-    return intent + F.when(evidence_type == "text", 0.05).when(evidence_type.isin("summary", "claim_evidence", "wiki"), 0.02).otherwise(0.0)
+def line_snippet(text: Column, terms: Column) -> Column:
+    """240 characters of the line that holds the first term found; of the beginning if none is."""
+    low = F.lower(text)
+    found = F.get(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0))
+    at = F.instr(low, found)
+    line = F.concat(F.substring_index(F.substring(text, F.lit(1), at - 1), "\n", -1), F.substring_index(F.substring(text, at, F.lit(2**31 - 1)), "\n", 1))
+    return F.substring(trimmed(F.when(found.isNull(), text).otherwise(line)), 1, 240)
+
+
+def wants(query: Column) -> dict[str, Column]:
+    """Whether a query asks for each type of evidence."""
+    low = F.lower(query)
+    return {kind: F.exists(literals(words), lambda w: F.contains(low, w)) for kind, words in INTENTS.items()}
+
+
+def typed_boost(evidence_type: Column, query: Column | str) -> Column:
+    """What a type of evidence (with or without ``_evidence``) is worth for a query, given as a column or
+    as a text: the first intent that fits, and a base."""
+    want = wants(F.lit(query) if isinstance(query, str) else query)
+    kind = F.regexp_replace(evidence_type, "_evidence$", "")
+    intent = F.when(want["table"] & (kind == "table"), 0.14)
+    intent = intent.when(want["image"] & kind.isin("image_region", "ocr", "caption"), 0.12)
+    intent = intent.when(want["summary"] & kind.isin("summary", "wiki"), 0.10)
+    intent = intent.when(want["claim"] & (kind == "claim"), 0.10)
+    intent = intent.when(want["relationship"] & (kind == "relationship"), 0.10)
+    intent = intent.when(want["relationship"] & (kind == "claim"), 0.06)
+    intent = intent.when(want["claim"] & (kind == "relationship"), 0.06).otherwise(0.0)
+    return intent + F.when(kind == "text", 0.05).when(kind.isin("summary", "claim", "wiki"), 0.02).otherwise(0.0)
 
 
 def claim_terms(text: Column) -> Column:

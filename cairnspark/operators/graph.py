@@ -97,26 +97,49 @@ def orphans(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFram
     return nodes.join(linked, "node", "left_anti")
 
 
+def rare_tokens(sets: DataFrame, tokens: str, needed: Column, within: list[str]) -> DataFrame:
+    """The columns of ``sets`` but its tokens, and ``token``: of each set the tokens that it must share one
+    of with any set that has ``needed`` tokens in common with it, from rare to frequent (within groups
+    of the columns ``within``). Tokens that all share lie at the end and seldom come along."""
+    keep = [c for c in sets.columns if c != tokens]
+    each = sets.select(*keep, F.size(tokens).alias("_size"), needed.cast("int").alias("_needed"), F.explode(tokens).alias("token"))
+    often = each.groupBy(*within, "token").agg(F.count("*").alias("_often"))
+    ranked = each.join(often, [*within, "token"]).groupBy(*keep, "_size", "_needed").agg(F.array_sort(F.collect_list(F.struct("_often", "token"))).alias("_sorted"))
+    first = F.slice("_sorted", 1, F.greatest(F.col("_size") - F.col("_needed") + 1, F.lit(0)))
+    return ranked.select(*keep, F.explode(first).alias("_x")).select(*keep, F.col("_x.token").alias("token"))
+
+
 def claim_conflicts(claims: DataFrame, least_shared: int = 3) -> DataFrame:
     """(left_id, right_id, shared) of claims (claim_id, topic, statement) that share a topic, of which
-    exactly one is negated, and that share terms. Pairs arise from common (topic, term) rows of the
-    negated with the others, so claims without common terms never meet."""
-    rows = claims.select("claim_id", "topic", tx.negated(F.col("statement")).alias("no"), F.explode(tx.claim_terms(F.col("statement"))).alias("term")).distinct()
-    a, b = rows.where("no").toDF("x", "topic", "nx", "term"), rows.where("not no").toDF("y", "topic", "ny", "term")
-    met = a.join(b, ["topic", "term"]).where("x <> y").select("x", "y", "term").distinct().groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    exactly one is negated, and that share terms. Claims meet by their rarest terms within a topic
+    and are compared on all of them, so that a term that all claims hold pairs none."""
+    rows = claims.select("claim_id", "topic", tx.negated(F.col("statement")).alias("no"), tx.claim_terms(F.col("statement")).alias("terms")).distinct()
+    rows = materialize(rows.where(F.size("terms") >= least_shared), "claims")
+    rare = rare_tokens(rows, "terms", F.lit(least_shared), ["topic"])
+    a, b = rare.where("no").select("topic", "token", F.col("claim_id").alias("x")), rare.where("not no").select("topic", "token", F.col("claim_id").alias("y"))
+    pairs = a.join(b, ["topic", "token"]).where("x <> y").select("topic", "x", "y").distinct()
+    held = lambda no, c: rows.where(no).select("topic", F.col("claim_id").alias(c), F.col("terms").alias(f"{c}_terms"))
+    met = pairs.join(held("no", "x"), ["topic", "x"]).join(held("not no", "y"), ["topic", "y"])
+    met = met.select("x", "y", F.size(F.array_intersect("x_terms", "y_terms")).cast("bigint").alias("shared")).where(F.col("shared") >= least_shared)
     return met.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "shared").distinct()
 
 
 def link_candidates(left: DataFrame, right: DataFrame, most: int = 32) -> DataFrame:
     """Candidates between two sets of nodes (id, name, terms): 10 000 for an equal normal name, else
-    1 000 for two shared terms; 100 for each shared term up to eight; the best ``most``."""
-    key = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), tx.normal_key(F.col("name")).alias("key"), F.array_distinct("terms").alias(f"{p}_terms"))
-    a, b = key(left, "l"), key(right, "r")
-    direct = a.where("key <> ''").join(b, "key").select("l_id", "r_id", F.lit(True).alias("direct"), F.lit(0).alias("one"))
-    by_term = a.select("l_id", F.explode("l_terms").alias("term")).join(b.select("r_id", F.explode("r_terms").alias("term")), "term").select("l_id", "r_id", F.lit(False).alias("direct"), F.lit(1).alias("one"))
-    met = direct.unionByName(by_term).groupBy("l_id", "r_id").agg(F.max("direct").alias("direct"), F.sum("one").alias("shared")).where("direct or shared >= 2")
+    1 000 for two shared terms; 100 for each shared term up to eight; the best ``most``. Nodes meet by
+    name or by their rarest terms, and are compared on all terms."""
+    key = lambda df, side: df.select(F.lit(side).alias("side"), "id", tx.normal_key(F.col("name")).alias("key"), F.array_distinct("terms").alias("terms"))
+    both = materialize(key(left, 0).unionByName(key(right, 1)), "linked_nodes")
+    of = lambda df, side, p, *keep: df.where(F.col("side") == side).select(F.col("id").alias(f"{p}_id"), *keep)
+    direct = of(both, 0, "l", "key").where("key <> ''").join(of(both, 1, "r", "key"), "key").select("l_id", "r_id")
+    rare = rare_tokens(both.select("side", "id", "terms"), "terms", F.lit(2), [])
+    by_term = of(rare, 0, "l", "token").join(of(rare, 1, "r", "token"), "token").select("l_id", "r_id")
+    pairs = direct.unionByName(by_term).distinct()
+    met = pairs.join(of(both, 0, "l", F.col("key").alias("l_key"), F.col("terms").alias("l_terms")), "l_id").join(of(both, 1, "r", F.col("key").alias("r_key"), F.col("terms").alias("r_terms")), "r_id")
+    met = met.select("l_id", "r_id", ((F.col("l_key") == F.col("r_key")) & (F.col("l_key") != "")).alias("direct"), F.size(F.array_intersect("l_terms", "r_terms")).alias("shared")).where("direct or shared >= 2")
     score = F.when(F.col("direct"), 10_000).otherwise(1_000) + F.least(F.col("shared"), F.lit(8)) * 100
-    return top(met.withColumn("score", score).withColumn("all", F.lit(1)), ["all"], [F.desc("score"), F.col("l_id"), F.col("r_id")], most).drop("all")
+    best = met.withColumn("score", score).orderBy(F.desc("score"), "l_id", "r_id").limit(most)
+    return top(best.withColumn("all", F.lit(1)), ["all"], [F.desc("score"), F.col("l_id"), F.col("r_id")], most).drop("all")
 
 
 def rename_node(nodes: DataFrame, edges: DataFrame, old: str, new_label: str) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +232,13 @@ def memory_matches(new: DataFrame, known: DataFrame) -> DataFrame:
         a.join(b, a["n_title"] == b["k_title"]).select("n", "k", F.lit(900).alias("score")),
         a.select("n", F.explode("n_ev").alias("e")).join(b.select("k", F.explode("k_ev").alias("e")), "e").select("n", "k", F.lit(850).alias("score")),
     ]
-    shared = a.select("n", F.size("n_terms").alias("sa"), F.explode("n_terms").alias("t")).join(b.select("k", F.size("k_terms").alias("sb"), F.explode("k_terms").alias("t")), "t").groupBy("n", "k", "sa", "sb").agg(F.count("*").alias("c"))
+    # sets that share 65 % of the larger one share as much of either, which the rarest 35 % tell
+    sets = lambda df, p, side: df.select(F.lit(side).alias("side"), F.col(p).alias("id"), F.col(f"{p}_terms").alias("terms"))
+    both = materialize(sets(a, "n", 0).unionByName(sets(b, "k", 1)).where(F.size("terms") >= 4), "memory_terms")
+    rare = rare_tokens(both, "terms", F.greatest(F.lit(4), F.ceil(F.size("terms") * 65 / 100)), [])
+    pairs = rare.where("side = 0").select(F.col("id").alias("n"), "token").join(rare.where("side = 1").select(F.col("id").alias("k"), "token"), "token").select("n", "k").distinct()
+    of = lambda side, p: both.where(F.col("side") == side).select(F.col("id").alias(p), F.col("terms").alias(f"{p}_terms"))
+    shared = pairs.join(of(0, "n"), "n").join(of(1, "k"), "k").select("n", "k", F.size("n_terms").alias("sa"), F.size("k_terms").alias("sb"), F.size(F.array_intersect("n_terms", "k_terms")).alias("c"))
     small, large = F.floor(F.col("c") * 100 / F.least("sa", "sb")), F.floor(F.col("c") * 100 / F.greatest("sa", "sb"))
     covered = shared.where((F.col("c") >= 4) & (small >= 80) & (large >= 65)).select("n", "k", (F.lit(700) + large).cast("int").alias("score"))
     out = covered

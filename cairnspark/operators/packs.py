@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.folds import running_total
 from .retrieval import top
 
 SMALL_BUDGET, SMALL_CAPS, LARGE_CAPS = 4000, (8, 5), (15, 12)
@@ -61,8 +62,14 @@ def answer_status(n_citations: Column, n_candidates: Column) -> Column:
     return F.when(n_citations > 0, "grounded").when(n_candidates > 0, "low_confidence").otherwise("blocked")
 
 
-def markdown(pages: DataFrame, source: str, page: str, text: str) -> DataFrame:
-    """Pages of a source as one text with page marks."""
-    part = F.concat(F.lit("## Page "), (F.col("p") + 1).cast("string"), F.lit("\n\n"), F.col("t"))
-    rows = pages.select(source, F.col(page).alias("p"), F.trim(text).alias("t")).select(source, "p", part.alias("part"))
-    return rows.groupBy(source).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda x: x["part"]), "\n\n").alias("markdown"))
+def markdown(pages: DataFrame, source: str, page: str, text: str, most_chars: int = 1 << 24) -> DataFrame:
+    """(source, part, markdown): the pages of a source with page marks, in order. A page goes to the next part
+    when those before it hold ``most_chars``, so that a source of any size is never one row; the parts
+    joined by blank lines are its text."""
+    mark = F.concat(F.lit("## Page "), (F.col("p") + 1).cast("string"), F.lit("\n\n"), F.col("t"))
+    rows = pages.select(source, F.col(page).alias("p"), F.trim(text).alias("t"))
+    sizes = running_total(rows.select(source, "p", F.length("t").alias("size")), [source], ["p"], F.col("size"))
+    parts = sizes.select(F.col(source).alias("of_source"), F.col("p").alias("of_page"), F.floor(F.col("before") / most_chars).cast("int").alias("part")).distinct()
+    placed = rows.join(parts, rows[source].eqNullSafe(F.col("of_source")) & (rows["p"] == F.col("of_page")))
+    held = placed.select(source, "part", "p", mark.alias("said")).groupBy(source, "part")
+    return held.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "said"))), lambda x: x["said"]), "\n\n").alias("markdown"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.storage import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -17,24 +18,33 @@ def postings(docs: DataFrame, key: str, text: str, keep: list[str] | None = None
     return terms.groupBy(*(keep or []), key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.size(tx.tokens(F.col(text))).alias("length"))
+def term_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """(term, n, docs): places of each term, and texts that hold it, in one aggregate by term."""
+    words = docs.select(F.array_sort(tx.tokens(F.col(text))).alias("words"))
+    # of a text's equal terms, which lie side by side, the first one counts for the text
+    first = lambda w, i: F.when((i == 0) | (F.get("words", i - 1) != w), 1).otherwise(0)
+    each = words.select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("term"), first(w, i).alias("first")))).alias("x")).select("x.*")
+    return each.groupBy("term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str) -> DataFrame:
     """(query_key, key, score) of documents holding every term of a query (``queries``: query_key,
     term). Statistics are those of the whole table; higher is better.
 
-    Only postings of asked terms leave the scan (semi-join with the small term list)."""
-    told = docs.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col(text)))).alias("avgdl"))
-    wanted = queries.select("term").distinct()
-    found = postings(docs, key, text).join(wanted, "term", "left_semi")
+    Every text is cut into terms once. Only asked terms (semi-join with the term list) and one row for each
+    text, which carries its length under the empty term, leave the scan; they are written, since
+    counts, lengths and totals are all read off them."""
+    words = docs.select(key, tx.tokens(F.col(text)).alias("words")).select(key, F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    wanted = queries.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    kept = words.join(wanted, "term", "left_semi").groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    kept = materialize(kept, "asked_postings")
+    found, texts = kept.where("term <> ''"), kept.where("term = ''")
+    told = texts.agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = document_lengths(docs, key, text)
     need = queries.groupBy(query_key).agg(F.count("*").alias("need"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = queries.join(found, "term").join(df, "term").join(lengths, key).join(F.broadcast(told))  # one row of totals
+    scored = queries.join(found, "term").join(df, "term").join(F.broadcast(told))  # one row of totals
     sums = scored.groupBy(query_key, key).agg(F.sum(part).alias("score"), F.count("*").alias("held"))
     return sums.join(need, query_key).where("held = need").select(query_key, key, "score")
 
@@ -73,8 +83,10 @@ def chunk_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", tx.normal_key(F.col("text")).alias("phrase"), "identifier", F.slice(F.filter(tx.tokens(F.col("text")), lambda t: F.length(t) >= 3), 1, 8).alias("terms"))
     terms = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), "identifier", "phrase")
     body = chunks.select("*", F.array_distinct(tx.tokens(F.concat_ws(" ", "heading", "text"))).alias("words"), tx.normal_key(F.col("text")).alias("said"))
-    met = terms.join(body.select("chunk_id", "source_id", "line", "heading", "said", F.explode("words").alias("term")), "term")
-    weight = F.when(F.array_contains("identifier", F.col("term")), 5.0).otherwise(1.0)
-    heading = F.max(F.contains(F.lower("heading"), F.col("term")))
-    phrase = F.max(F.contains("said", F.col("phrase")))
-    return met.groupBy("query_id", "chunk_id", "source_id", "line").agg((F.sum(weight) + F.when(phrase, 3.0).otherwise(0.0) + F.when(heading, 0.5).otherwise(0.0)).alias("score"))
+    # ids and terms meet; texts are joined to the pairs that have met
+    met = terms.select("query_id", "term").join(body.select("chunk_id", F.explode("words").alias("term")), "term").groupBy("query_id", "chunk_id").agg(F.collect_set("term").alias("held"))
+    pairs = met.join(body.drop("words", "text"), "chunk_id").join(asked.drop("terms"), "query_id")
+    weight = F.aggregate("held", F.lit(0.0), lambda a, t: a + F.when(F.array_contains("identifier", t), 5.0).otherwise(1.0))
+    phrase = F.when(F.contains("said", "phrase"), 3.0).otherwise(0.0)
+    heading = F.when(F.exists("held", lambda t: F.contains(F.lower("heading"), t)), 0.5).otherwise(0.0)
+    return pairs.select("query_id", "chunk_id", "source_id", "line", (weight + phrase + heading).alias("score"))
