@@ -1,6 +1,7 @@
 """One object with the engine's commands: reads, packs, history, corrections, checks.
 
-Tables are DataFrames given once; every method returns a lazy DataFrame (or several)."""
+Tables are DataFrames given once; every method returns a DataFrame (or several). Retrieval writes the few
+rows of its intermediate steps to the shared folder when it is called; what is returned is lazy."""
 
 from __future__ import annotations
 
@@ -10,11 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import folds, text as tx
 from .operators import documents, evals, graph, history, packs, retrieval
+from .operators.hybrid import HIDDEN, Corpus, HybridSearch
 from .sources import readers, writers
 from .streaming import materialise
 
-#: Sources in these states are never searched.
-HIDDEN = ("failed", "stale", "hash_mismatched", "unapproved")
 
 
 @dataclass
@@ -60,8 +60,8 @@ class KnowledgeEngine:
         found = retrieval.bm25(rows, "evidence_id", "text", asked, "q")
         terms = tx.search_terms(F.lit(query))
         loose = rows.where(F.exists(terms, lambda t: F.contains(F.lower("text"), t))).select(F.lit(0).alias("q"), "evidence_id", F.lit(0.0).alias("score"))
-        none = found.limit(1).count() == 0
-        hits = (loose if none else found).join(rows, "evidence_id")
+        # single terms count only where nothing holds all of them
+        hits = found.unionByName(loose.join(found.select("q").limit(1), "q", "left_anti")).join(rows, "evidence_id")
         cited = self._citing(rows)
         scored = hits.join(cited, "evidence_id", "left").withColumn("score", F.col("score") + tx.typed_boost(F.col("evidence_type"), query) + F.least(F.coalesce("citing", F.lit(1)), F.lit(10)) * 0.01)
         titles = self.table("sources").select("source_id", F.col("title").alias("source_title"))
@@ -75,6 +75,14 @@ class KnowledgeEngine:
         live = nodes.where("valid_to is null") if "valid_to" in nodes.columns else nodes
         return live.select(F.explode("evidence_ids").alias("evidence_id")).groupBy("evidence_id").agg(F.count("*").alias("citing"))
 
+    def hybrid_search(self, corpus: Corpus, queries: DataFrame, limit: int = 24) -> DataFrame:
+        """(query_id, rank, evidence_id, source_id, evidence_type, score, stage) for a table of queries."""
+        return HybridSearch(corpus, queries, limit).ranked()
+
+    def search_everything(self, corpus: Corpus, queries: DataFrame, limit: int = 24) -> DataFrame:
+        """(query_id, rank, kind, id, title, score) over evidence, nodes, relations and wiki pages."""
+        return HybridSearch(corpus, queries, limit).everything()
+
     def context_pack(self, workspace: str, query: str, budget: int = 8000) -> DataFrame:
         """One nested row: ordered evidence with the best window of each text, sources, types, warnings."""
         terms = tx.search_terms(F.lit(query))
