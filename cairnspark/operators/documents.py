@@ -135,3 +135,10 @@ def bad_transitions(steps: DataFrame, key: str, order: list[str]) -> DataFrame:
 def preserved_events(new: DataFrame, old: DataFrame, kinds: list[str]) -> DataFrame:
     """New events, and old ones of kinds that outlive a rebuild whose id is new."""
     return new.unionByName(old.where(F.col("event_type").isin(*kinds)).join(new.select("event_id"), "event_id", "left_anti").select(*new.columns))
+
+
+def replaced_live(current: DataFrame, projection: DataFrame, at: Column) -> DataFrame:
+    """Every live row of ``current`` (valid_from, valid_to) closed, and the rows of a new projection live."""
+    columns = [c for c in current.columns if c not in ("valid_from", "valid_to")]
+    closed = current.withColumn("valid_to", F.coalesce("valid_to", at.cast("bigint")))
+    return closed.unionByName(projection.select(*columns, at.cast("bigint").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to")))
