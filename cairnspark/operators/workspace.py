@@ -98,3 +98,35 @@ def reusable(runs: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame
     """Wanted stages whose fingerprint (all fields, nulls equal) has no finished run."""
     on = [F.col(f"w.{c}").eqNullSafe(F.col(f"r.{c}")) for c in fields]
     return wanted.alias("w").join(runs.alias("r"), on, "left_anti")
+
+
+def next_within(rows: DataFrame, group: str, place: str, reach: int) -> DataFrame:
+    """(place, near): the places of a group that lie 1 to ``reach`` behind. Places meet by ranges of
+    that width, so that a large group is many small ones."""
+    own = rows.select(group, F.col(place).alias("at"), F.floor(F.col(place) / reach).alias("range"))
+    a = own.select(group, "at", F.explode(F.array(F.col("range"), F.col("range") + 1)).alias("range"))
+    b = own.select(group, F.col("at").alias("other"), "range")
+    met = a.join(b, [group, "range"]).where((F.col("other") > F.col("at")) & (F.col("other") <= F.col("at") + reach))
+    return met.groupBy(group, "at").agg(F.array_sort(F.collect_list("other")).alias("near")).select(F.col("at").alias(place), "near")
+
+
+def cloud_hits(rows: DataFrame, sources: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, rank, evidence_id): evidence (evidence_id, source_id, said, at) that contains any word of a query
+    (query_id, text; words of two bytes or more), the oldest first; for queries without any, the first
+    evidence of each source (source_id, body) that contains one. ``queries`` is a stated list."""
+    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: F.octet_length(w) >= 2)
+    asked = queries.select("query_id", words.alias("words")).where(F.size("words") > 0)
+    holds = lambda c: F.exists("words", lambda w: F.contains(c, w))
+    met = rows.withColumn("low", F.lower("said")).join(F.broadcast(asked), holds(F.col("low"))).select("query_id", "evidence_id", "at")
+    best = top(met, ["query_id"], [F.col("at"), F.col("evidence_id")], most)
+    rest = asked.join(best.select("query_id").distinct(), "query_id", "left_anti")
+    named = sources.withColumn("low", F.lower("body")).join(F.broadcast(rest), holds(F.col("low"))).select("query_id", "source_id")
+    first = top(rows, ["source_id"], [F.col("at"), F.col("evidence_id")], 1, "n").select("source_id", "evidence_id", "at")
+    more = top(named.join(first, "source_id"), ["query_id"], [F.col("at"), F.col("evidence_id")], most)
+    return best.unionByName(more.select(*best.columns)).select("query_id", "rank", "evidence_id")
+
+
+def best_snippets(hits: DataFrame, score: str, order: list[str]) -> DataFrame:
+    """(source_id, snippet, score): the hit of each source with the highest score; ties go to the first by ``order``."""
+    w = top(hits, ["source_id"], [F.desc(score), *[F.col(c) for c in order]], 1, "_first")
+    return w.select("source_id", "snippet", F.col(score).alias("score"))

@@ -70,9 +70,9 @@ def _daily_states(t: Tables) -> DataFrame:
 
 @query("""
 SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n, max_by(event_id, (ts, event_id)) AS latest FROM events
-WHERE event_type IN ('click', 'purchase') AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND user_id < 60 GROUP BY 1, 2""".replace("max_by(event_id, (ts, event_id))", "arg_max(event_id, (ts, event_id))"))
+WHERE event_type IN ('click', 'purchase') AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1, 2""".replace("max_by(event_id, (ts, event_id))", "arg_max(event_id, (ts, event_id))"))
 def event_history_filter(t: Tables) -> DataFrame:
-    kept = t.events.where(F.col("event_type").isin("click", "purchase") & F.col("ts").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("user_id") < 60))
+    kept = t.events.where(F.col("event_type").isin("click", "purchase") & F.col("ts").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")))
     return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
 
 
@@ -134,7 +134,7 @@ def import_job_claim(t: Tables) -> DataFrame:
 WITH w AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
 SELECT source, doc_id, CAST(least(n_chars, greatest(40000 - before, 0)) AS BIGINT) AS kept FROM w""")
 def budget_trim(t: Tables) -> DataFrame:
-    return folds.spend_budget(t.documents, ["source"], [F.col("doc_id")], F.col("n_chars"), 40_000).select("source", "doc_id", "kept")
+    return folds.spend_budget(t.documents, ["source"], ["doc_id"], F.col("n_chars"), 40_000).select("source", "doc_id", "kept")
 
 
 @query()

@@ -52,7 +52,7 @@ def answer_citations(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT source, string_agg('## Page ' || (doc_id + 1) || chr(10) || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents GROUP BY source""")
+SELECT source, 0 AS part, string_agg('## Page ' || (doc_id + 1) || chr(10) || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents GROUP BY source""")
 def build_markdown(t: Tables) -> DataFrame:
     return packs.markdown(t.documents, "source", "doc_id", "text")
 
@@ -90,27 +90,29 @@ def bench_baselines(t: Tables) -> DataFrame:
     return wide.select("baseline", F.round("correctness", 6).alias("correctness"), F.round("unsupported_rate", 6).alias("unsupported_rate"), F.round("answer_ms", 4).alias("answer_ms"))
 
 
-@query("SELECT CAST([] AS VARCHAR[]) AS lacks")
-def bench_report_check(t: Tables) -> DataFrame:
-    return evals.report_errors(_runs(t))
-
-
 @query("""
-SELECT c.conv_id, CAST(count(*) AS BIGINT) AS turns, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS asked, arg_min(text, turn) AS opening,
-  CASE WHEN regexp_matches(lower(arg_min(text, turn)), 'compare|difference| vs ') THEN 'compare' WHEN regexp_matches(lower(arg_min(text, turn)), 'summar|overview') THEN 'summary' ELSE 'question' END AS intent
-FROM conversations c GROUP BY 1""")
-def chat_turns(t: Tables) -> DataFrame:
-    opening = F.min_by("text", "turn")
-    low = F.lower(F.col("opening"))
-    intent = F.when(F.rlike(low, F.lit("compare|difference| vs ")), "compare").when(F.rlike(low, F.lit("summar|overview")), "summary").otherwise("question")
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), opening.alias("opening")).withColumn("intent", intent)
+WITH r AS (SELECT o_custkey % 97 AS report, 'd' || (o_orderkey % 3) AS document, 't' || (o_custkey % 11) || (o_orderkey % 4) AS task, o_orderpriority AS baseline, CAST(o_totalprice AS BIGINT) - CASE WHEN o_orderkey % 500 = 0 THEN 1000000 ELSE 0 END AS ms, o_orderkey % 700 // 100 AS conf FROM orders WHERE o_orderkey % 9 = 0),
+t AS (SELECT report, document, task, count(DISTINCT baseline) AS kinds, count(*) AS runs, count(*) FILTER (ms <= 0) AS untimed, count(*) FILTER (conf NOT BETWEEN 1 AND 5) AS odd FROM r GROUP BY 1, 2, 3),
+d AS (SELECT report, document, count(*) AS tasks, min(kinds) AS kinds, sum(runs) AS runs, sum(untimed) AS untimed, sum(odd) AS odd FROM t GROUP BY 1, 2),
+a AS (SELECT report, count(*) AS documents, min(tasks) AS fewest, min(kinds) AS kinds, sum(runs) AS runs, sum(untimed) AS untimed, sum(odd) AS odd FROM d GROUP BY 1)
+SELECT report, list_filter([CASE WHEN documents < 2 THEN 'documents' END, CASE WHEN fewest < 3 THEN 'tasks' END, CASE WHEN runs < 24 THEN 'runs' END, CASE WHEN kinds < 4 THEN 'baselines' END, CASE WHEN untimed > 0 THEN 'times' END, CASE WHEN odd > 0 THEN 'confidences' END], lambda x: x IS NOT NULL) AS lacks FROM a""")
+def bench_report_check(t: Tables) -> DataFrame:
+    """Many reports, most of which lack something."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    late = F.when(k % 500 == 0, 1_000_000).otherwise(0)
+    runs = t.orders.where("o_orderkey % 9 = 0").select((c % 97).alias("report"), F.concat(F.lit("d"), k % 3).alias("document"), F.concat(F.lit("t"), c % 11, k % 4).alias("task"), F.col("o_orderpriority").alias("baseline"), (F.round("o_totalprice").cast("bigint") - late).alias("answer_ms"), F.floor(k % 700 / 100).alias("confidence"))
+    return evals.report_errors(runs)
 
 
 @query("""
-SELECT source, count(*) AS documents, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (n_chars < 500) AS short, max(doc_id) AS newest, CASE WHEN count(*) FILTER (n_chars < 500) * 10 > count(*) THEN 'stale' ELSE 'ok' END AS health FROM documents GROUP BY source""")
-def source_health(t: Tables) -> DataFrame:
-    short = F.count_if(F.col("n_chars") < 500)
-    return t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.countDistinct("lang").alias("langs"), F.sum("n_chars").alias("chars"), short.alias("short"), F.max("doc_id").alias("newest"), F.when(short * 10 > F.count("*"), "stale").otherwise("ok").alias("health"))
+WITH c AS (SELECT l_orderkey % 400 AS case_id, l_partkey % 60 AS evidence_id, l_suppkey % 7 AS claim_id FROM lineitem WHERE l_returnflag = 'R'), f AS (SELECT DISTINCT l_orderkey % 400 AS case_id, l_partkey % 60 AS evidence_id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45),
+w AS (SELECT DISTINCT case_id, evidence_id FROM c), b AS (SELECT coalesce(w.case_id, f.case_id) AS case_id, count(w.evidence_id) AS w, count(f.evidence_id) AS g, count(*) FILTER (w.evidence_id IS NOT NULL AND f.evidence_id IS NOT NULL) AS hit FROM w FULL JOIN f ON w.case_id = f.case_id AND w.evidence_id = f.evidence_id GROUP BY 1),
+h AS (SELECT case_id, avg(CASE WHEN got THEN 1.0 ELSE 0.0 END) AS coverage FROM (SELECT c.case_id, claim_id, bool_or(f.evidence_id IS NOT NULL) AS got FROM c LEFT JOIN f ON c.case_id = f.case_id AND c.evidence_id = f.evidence_id GROUP BY 1, 2) GROUP BY 1)
+SELECT case_id, round(hit / nullif(w, 0), 6) AS recall, round(hit / nullif(g, 0), 6) AS precision, round(coalesce(coverage, 0), 6) AS coverage, g - hit AS unsupported FROM b LEFT JOIN h USING (case_id)""")
+def eval_cases(t: Tables) -> DataFrame:
+    rows = t.lineitem.select((F.col("l_orderkey") % 400).alias("case_id"), (F.col("l_partkey") % 60).alias("evidence_id"), (F.col("l_suppkey") % 7).alias("claim_id"), "l_returnflag", "l_quantity")
+    got = evals.case_scores(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A' and l_quantity > 45"))
+    return got.select("case_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "coverage")], "unsupported")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size IS NULL THEN 'unknown' WHEN p_size / 50.0 >= 0.8 THEN 'high' WHEN p_size / 50.0 >= 0.5 THEN 'medium' ELSE 'low' END AS bucket FROM part""")
@@ -125,15 +127,6 @@ def path_redaction(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.redact_paths(said).alias("safe"), tx.safe_path(path).alias("relative"))
 
 
-@query("""
-WITH o AS (SELECT 'p' || o_orderkey AS id, length(o_orderpriority) * 200 AS body, CASE o_orderstatus WHEN 'O' THEN 'wiki_page' WHEN 'F' THEN 'memory' ELSE 'graph_change' END AS kind FROM orders)
-SELECT kind, (kind <> 'memory' AND body > 2000) AS approval, count(*) AS n FROM o GROUP BY 1, 2""")
-def write_proposals(t: Tables) -> DataFrame:
-    kind = F.when(F.col("o_orderstatus") == "O", "wiki_page").when(F.col("o_orderstatus") == "F", "memory").otherwise("graph_change")
-    rows = t.orders.select(kind.alias("kind"), (F.length("o_orderpriority") * 200).alias("body"))
-    return rows.groupBy("kind", (F.col("kind").isin("wiki_page", "graph_change") & (F.col("body") > 2000)).alias("approval")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT n_name, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)""")
 def ext_rollup(t: Tables) -> DataFrame:
     joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

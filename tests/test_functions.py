@@ -44,16 +44,18 @@ def test_fnv():
 def test_budget(spark):
     pages = spark.createDataFrame([("s", 1, 10), ("s", 2, 20), ("s", 3, 30)], "s string, p int, n bigint")
     for budget, kept in ((0, [0, 0, 0]), (5, [5, 0, 0]), (30, [10, 20, 0]), (99, [10, 20, 30])):
-        assert [r["kept"] for r in folds.spend_budget(pages, ["s"], [F.col("p")], F.col("n"), budget).orderBy("p").collect()] == kept
+        assert [r["kept"] for r in folds.spend_budget(pages, ["s"], ["p"], F.col("n"), budget).orderBy("p").collect()] == kept
 
 
 def test_batches(spark):
     rows = spark.createDataFrame([("s", i, n) for i, n in enumerate([5, 5, 5, 100, 1])], "s string, i int, n bigint")
+    assert folds.batch_plan(rows.limit(0), "s", "i", "n").count() == 0
     got = folds.batch_plan(rows, "s", "i", "n", most_chunks=2, most_chars=12, most_batches=3).orderBy("batch").collect()
     assert [(r["n_chunks"], r["n_chars"], r["skipped"]) for r in got] == [(2, 10, False), (1, 5, False), (1, 100, False), (1, 1, True)]
 
 
 def brute_window(text, terms, size):
+    text = text.strip()
     low = text.lower()
     at = sorted({i for t in ([" ".join(terms)] if len(terms) > 1 else []) + terms for i in range(len(low)) if low.startswith(t, i)})
     best = None
@@ -61,15 +63,16 @@ def brute_window(text, terms, size):
         head = text[:p]
         begin = head.rfind("\n\n") + 2 if "\n\n" in head else head.rfind("\n") + 1
         begin = max(p - 120, 0) if p - begin > 240 else begin
-        window = text[begin : begin + size].lower()
-        hits = [n for n in (window.count(t) for t in terms) if n]
-        score = 1000 * len(hits) + 30 * sum(min(n, 8) for n in hits) + (220 if p > 400 else 0) + 25 * sum(w in window for w in tx.EXPLAINING)
+        window = text[begin:].lstrip()[:size]
+        low_window = window.lower()
+        hits = [n for n in (low_window.count(t) for t in terms) if n]
+        score = 1000 * len(hits) + 30 * sum(min(n, 8) for n in hits) + (220 if p > 400 else 0) + 25 * sum(w in low_window for w in tx.EXPLAINING)
         if best is None or score >= best[0]:
-            best = score, text[begin : begin + size]
+            best = score, window
     return best[1] if best else text[:size]
 
 
-@pytest.mark.parametrize("text", ["no hit here", "alpha " * 3 + "\n\n" + "beta using alpha\n" * 40, "x" * 500 + " beta\nalpha beta split " + "y" * 300 + " alpha", "alpha beta"])
+@pytest.mark.parametrize("text", ["no hit here", "alpha " * 3 + "\n\n" + "beta using alpha\n" * 40, "x" * 500 + " beta\nalpha beta split " + "y" * 300 + " alpha", "alpha beta", " \n\u00a0 alpha" + " z" * 300 + "\n  \n  beta alpha  ", ""])
 def test_context_window(spark, text):
     got = one(spark, tx.context_window(F.col("t"), tx.literals(["alpha", "beta"]), 200), t=text)
     assert got == brute_window(text, ["alpha", "beta"], 200)

@@ -136,3 +136,70 @@ def test_wiki_revision_rules(spark):
     new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "page_id bigint, body string")
     got = rows(dc.revise(new, now, F.lit("e2"), F.lit(7)))
     assert got == sorted([(1, "a", 1, "e1", 1, 7), (1, "a", 2, "e2", 7, None), (2, "B", 3, "e2", 1, None), (3, "c", 1, "e1", 1, 7), (4, "d", 1, "e2", 7, None)], key=repr)
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """A new table object and a new query on the old checkpoint: the state is that of one run."""
+    log = spark.createDataFrame([("k%d" % (i % 40), i * 37 % 100, i) for i in range(200)], "k string, at bigint, v bigint")
+    log.where("v < 120").coalesce(2).write.parquet(f"{tmp_path}/log")
+    source = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    first, table = materialise.follow(source(), ["k"], ["at", "v"], f"{tmp_path}/state", f"{tmp_path}/offsets")
+    first.awaitTermination()
+    assert rows(table.read()) == rows(hs.latest(log.where("v < 120"), ["k"], [F.col("at"), F.col("v")]))
+    version = table.version
+    log.where("v >= 120").coalesce(3).write.mode("append").parquet(f"{tmp_path}/log")
+    second, again = materialise.follow(source(), ["k"], ["at", "v"], f"{tmp_path}/state", f"{tmp_path}/offsets")
+    assert rows(materialise.LatestTable(spark, f"{tmp_path}/state", log.schema, ["k"], ["at", "v"]).read())
+    second.awaitTermination()
+    assert again.version > version
+    want = rows(hs.latest(log, ["k"], [F.col("at"), F.col("v")]))
+    assert rows(again.read()) == want
+    # a batch that comes again changes nothing, one that was cut off before its manifest counts for nothing
+    again.merge(log.where("v < 0"), again.version)
+    log.withColumn("at", F.lit(999)).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{tmp_path}/state/rows/v{again.version + 1}")
+    assert rows(materialise.LatestTable(spark, f"{tmp_path}/state", log.schema, ["k"], ["at", "v"]).read()) == want
+
+
+def test_running_totals_and_markdown_parts(spark):
+    from cairnspark.functions import folds
+
+    data = [("hot" if i % 3 else f"s{i % 5}", i, i % 7 if i % 11 else None) for i in range(300)] + [(None, 1, 4), (None, 2, 5)]
+    df = spark.createDataFrame(data, "g string, o bigint, n bigint").repartition(7)
+    got = {(r["g"], r["o"]): r["before"] for r in folds.running_total(df, ["g"], ["o"], F.col("n")).collect()}
+    assert got == {(g, o): sum(n or 0 for h, p, n in data if h == g and p < o) for g, o, _ in data}
+    pages = spark.createDataFrame([("s", i, "x" * 10) for i in range(9)] + [("t", 0, "y")], "s string, p bigint, t string")
+    parts = {(r["s"], r["part"]): r["markdown"] for r in packs.markdown(pages, "s", "p", "t", most_chars=30).collect()}
+    assert sorted(parts) == [("s", 0), ("s", 1), ("s", 2), ("t", 0)]
+    assert "\n\n".join(parts["s", k] for k in range(3)) == "\n\n".join(f"## Page {i + 1}\n\n" + "x" * 10 for i in range(9))
+
+
+def test_frequent_terms_pair_nothing(spark):
+    """Claims that share frequent terms only; those with a rare one in common are compared."""
+    rows_ = [(i, "t", f"common words everywhere stand{'' if i % 2 else ' not'} alone{i}") for i in range(60)] + [(100, "t", "rare pair here common"), (101, "t", "rare pair here not words")]
+    claims = spark.createDataFrame(rows_, "claim_id bigint, topic string, statement string")
+    from cairnspark.functions import text as tx
+
+    terms = {i: {w for w in s.split() if len(w) >= 4} for i, _, s in rows_}
+    no = {i: " not" in s for i, _, s in rows_}
+    want = sorted((min(a, b), max(a, b), len(terms[a] & terms[b])) for a in terms for b in terms if no[a] and not no[b] and len(terms[a] & terms[b]) >= 3)
+    assert rows(gr.claim_conflicts(claims)) == sorted(want, key=repr)
+    sets = claims.select(F.col("claim_id").alias("id"), tx.claim_terms(F.col("statement")).alias("terms"))
+    rare = gr.rare_tokens(sets, "terms", F.lit(3), [])
+    assert rare.groupBy("token").count().where("token = 'common'").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] <= 2
+
+
+def test_deleted_keeps_rows_of_no_source(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "source_id string, v int")
+    assert rows(writers.deleted({"t": df}, "a")["t"].select("v")) == [(2,), (3,)]
+
+
+def test_iso_time_in_any_zone(spark):
+    from cairnspark.operators import artifacts as ar
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York", "Asia/Seoul"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert spark.range(1).select(ar.iso_time(F.lit(1704067207)).alias("t")).first()["t"] == "2024-01-01T00:00:07Z"
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", old)
