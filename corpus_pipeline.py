@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the docs of the next one.
+
+Defined results: a null text is scored, kept or dropped like an empty one and keeps its null until its tokens, which are
+none; documents without words are duplicates of nothing; rows with a null id stay; of rows with one id and text one
+stays, rows of one id with unlike texts are documents of their own; of a group of near copies the one with the
+smallest id stays (of unlike texts of that id, the one with the smaller hash); an empty table gives no rows; a text of any
+length is one row of work; other columns, whatever their names, are carried on to the last stage.
 """
 
 from __future__ import annotations
