@@ -37,6 +37,8 @@ GRAM = 32
 #: Names with more contexts than this are compared as rows of a table, not in a task's memory.
 HOT = 1_000
 BROADCAST_IDS = 2_000_000
+#: Up to so many spans (16 bytes each) are broadcast to the texts, more are joined.
+BROADCAST_SPANS = 1_000_000
 _BATCH = 10_000
 
 
@@ -223,7 +225,8 @@ def _apply(docs: DataFrame, length: int, gram: int, schema: str, kind: pa.Schema
     """``made(doc_id, bytes, merged spans)`` gives a row for each document."""
     spans = materialize(repeated_spans(docs, length, gram), "spans")
     release(docs.sparkSession)
-    lists = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    lists = materialize(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "span_lists")
+    few = lists.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_SPANS
     named = docs.select(F.col("doc_id"), F.col("doc_id").cast("bigint").alias("doc"), F.col("text").alias("bytes_of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,7 @@ def _apply(docs: DataFrame, length: int, gram: int, schema: str, kind: pa.Schema
                     rows.append(made(doc, own, runs))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
 
-    joined = named.join(lists, "doc", "left").select("doc_id", "bytes_of", "spans")
+    joined = named.join(F.broadcast(lists) if few else lists, "doc", "left").select("doc_id", "bytes_of", "spans")
     return small_batches(joined).mapInArrow(run, schema)
 
 

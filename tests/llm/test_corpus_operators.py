@@ -106,6 +106,7 @@ def test_repeated_strings(docs, spark, monkeypatch):
     for hot, ids in ((20_000, 2_000_000), (1, 2_000_000), (1_000, 0)):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
         monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", ids)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_SPANS", ids)
         got = suffix_dedup.report(docs).collect()
         assert len(got) == len(ROWS)
         for r in got:
