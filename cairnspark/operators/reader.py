@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.folds import running_total
 from ..sources.storage import materialize
 from .answers import search_terms, search_tokens
 from .retrieval import top
 
 _NONE = "cast(array() as array<string>)"
-#: What a record of each kind refers to, by the kind of the reference.
-KINDS = ("source", "node", "entity", "claim", "relation", "memory", "wiki_page", "evidence", "event")
 
 
 def records(kind: str, rows: DataFrame, key: str, title, said, nodes=None, sources=None, evidence=None) -> DataFrame:
@@ -73,8 +71,8 @@ def selection(snapshot: DataFrame, hits: DataFrame, selected: DataFrame | None =
 def protected(evidence: DataFrame, seeds: DataFrame, following: int = 4, pages: int = 2) -> DataFrame:
     """(query_id, evidence_id): seeds (query_id, evidence_id) and what follows them in their source: the next rows in page
     order, and rows of the same and the next pages. ``evidence``: evidence_id, source_id, page."""
-    order = Window.partitionBy("source_id").orderBy("page", "evidence_id")
-    numbered = evidence.withColumn("n", F.row_number().over(order))
+    numbered = running_total(evidence.select("evidence_id", "source_id", "page"), ["source_id"], ["page", "evidence_id"], F.lit(1))
+    numbered = materialize(numbered.withColumnRenamed("before", "n"), "numbered_evidence")
     own = seeds.join(numbered, "evidence_id").select("query_id", "source_id", F.col("page").alias("from_page"), F.col("n").alias("from_n"))
     by_place = own.select("query_id", "source_id", F.explode(F.sequence(F.col("from_n"), F.col("from_n") + following)).alias("n")).join(numbered, ["source_id", "n"])
     by_page = own.where("from_page is not null").select("query_id", "source_id", F.explode(F.sequence(F.col("from_page"), F.col("from_page") + pages)).alias("page")).join(numbered, ["source_id", "page"])
