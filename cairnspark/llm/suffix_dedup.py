@@ -221,11 +221,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.unionByName(_merged_hot(contexts.where(F.col("n") > HOT).drop("n"), length))
 
 
+def _merged_runs(spans: DataFrame) -> DataFrame:
+    """(doc, spans): the spans of each document, in order, with those that overlap or touch made one."""
+    lists = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for own in batch.column(1).to_pylist():
+                runs: list[dict[str, int]] = []
+                for x in own:
+                    if runs and x["first"] <= runs[-1]["last"]:
+                        runs[-1]["last"] = max(runs[-1]["last"], x["last"])
+                    else:
+                        runs.append(x)
+                made.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], names=["doc", "spans"])
+
+    return lists.mapInArrow(run, "doc bigint, spans array<struct<first:bigint,last:bigint>>")
+
+
 def _apply(docs: DataFrame, length: int, gram: int, schema: str, kind: pa.Schema, made) -> DataFrame:
     """``made(doc_id, bytes, merged spans)`` gives a row for each document."""
     spans = materialize(repeated_spans(docs, length, gram), "spans")
     release(docs.sparkSession)
-    lists = materialize(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "span_lists")
+    lists = materialize(_merged_runs(spans), "span_lists")
     few = lists.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_SPANS
     named = docs.select(F.col("doc_id"), F.col("doc_id").cast("bigint").alias("doc"), F.col("text").alias("bytes_of"))
 
