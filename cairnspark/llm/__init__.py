@@ -19,11 +19,14 @@ _QUERIES = {
     "op4_bpe_automaton": "bpe_automaton",
     "op9_secret_scan": "secret_scan",
     "op10_decontamination": "decontamination",
+    "op11_license_scan": "license_scan",
+    "op12_fill_in_middle": "fill_in_middle",
+    "op13_sequenced_changes": "sequenced_changes",
 }
 
 
 #: Queries that SQL can express.
-_WITH_SQL = {"op2_quote_linking", "op3_ngram_jaccard", "op5_pivot_topk", "op8_suffix_dedup", "op9_secret_scan", "op10_decontamination"}
+_WITH_SQL = {"op2_quote_linking", "op3_ngram_jaccard", "op5_pivot_topk", "op8_suffix_dedup", "op9_secret_scan", "op10_decontamination", "op11_license_scan", "op12_fill_in_middle"}
 
 
 def _module(query: str):
