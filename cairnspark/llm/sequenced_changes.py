@@ -25,7 +25,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -50,9 +49,12 @@ APPLIED = "change_id bigint, client_id bigint, n bigint, op string, status strin
 
 _APPLIED_ROW = Row(*[c.split()[0] for c in APPLIED.split(", ")])
 
+#: Many small stores: none sets space aside, and those of an ended start are let go soon.
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
@@ -236,10 +238,10 @@ class Feed:
         if self.started and horizon is not None:
             rows = rows.unionByName(expired(self.spark, self.checkpoint, horizon), allowMissingColumns=True)
         rows = rows.withColumn("batch", F.lit(batch)).withColumn("horizon", F.lit(horizon).cast("int")).withColumn("grp", F.pmod(F.xxhash64("client_id"), F.lit(self.groups)))
-        rows.write.mode("append").parquet(f"{self.path}/feed")
-        fed = self.spark.readStream.schema(FED).parquet(f"{self.path}/feed")
-        done = fed.groupBy("grp").transformWithState(Applier(), APPLIED, "append", "none")
         with _settings(self.spark, _SETTINGS):
+            rows.write.mode("append").parquet(f"{self.path}/feed")
+            fed = self.spark.readStream.schema(FED).parquet(f"{self.path}/feed")
+            done = fed.groupBy("grp").transformWithState(Applier(), APPLIED, "append", "none")
             query = done.writeStream.format("parquet").option("path", f"{self.path}/applied").option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             query.awaitTermination()
         self.started = True
