@@ -49,12 +49,12 @@ APPLIED = "change_id bigint, client_id bigint, n bigint, op string, status strin
 
 _APPLIED_ROW = Row(*[c.split()[0] for c in APPLIED.split(", ")])
 
-#: Many small stores: none sets space aside, and those of an ended start are let go soon.
+#: Many small stores: none sets space aside, and each is closed when its task ends.
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -62,14 +62,15 @@ class Held:
     """The waiting changes of one client: number -> (n, day, change_id, op, city, balance, batch), in blocks. Few of them stay
     with the client's head; blocks that are too many for memory are ``stored`` in the map state ``states``."""
 
-    def __init__(self, states, client: int | None, stored: bool = False):
+    def __init__(self, states, client: int | None, sizes: tuple[int, int, int], stored: bool = False):
         self.states, self.client, self.stored = states, client, stored
+        self.few, self.size, self.most = sizes
         self.open: dict[int, dict[int, tuple]] = {}
 
     def block(self, of: int) -> dict[int, tuple]:
-        at = of // BLOCK
+        at = of // self.size
         if at not in self.open:
-            if len(self.open) >= MOST_BLOCKS:
+            if len(self.open) >= self.most:
                 self.flush()
             kept = self.states.getValue((self.client, at)) if self.stored else None
             self.open[at] = {r[0]: tuple(r) for r in kept[0]} if kept else {}
@@ -88,11 +89,11 @@ class Held:
         """All blocks, by number."""
         at = {k[1] for k in self.states.keys() if k[0] == self.client} if self.stored else set()
         for k in sorted(at | set(self.open)):
-            yield self.block(k * BLOCK)
+            yield self.block(k * self.size)
 
     def inline(self, count: int) -> list[tuple]:
         """What is kept with the head: all of ``count`` changes if they are few and none is stored."""
-        if self.stored or count > FEW:
+        if self.stored or count > self.few:
             self.flush()
             self.stored = count > 0
             return []
@@ -102,9 +103,9 @@ class Held:
 class Client:
     """Head of a client: its next number, values, and what waits."""
 
-    def __init__(self, of: int | None, states, number: int = 1, city: str | None = None, balance: float | None = None, count: int = 0, earliest: int | None = None, stored: bool = False):
+    def __init__(self, of: int | None, states, sizes: tuple[int, int, int], number: int = 1, city: str | None = None, balance: float | None = None, count: int = 0, earliest: int | None = None, stored: bool = False):
         self.of, self.number, self.city, self.balance, self.count, self.earliest = of, number, city, balance, count, earliest
-        self.held = Held(states, of, stored)
+        self.held = Held(states, of, sizes, stored)
         self.seen = False
 
     def _apply(self, change: tuple, batch: int, missed: int) -> Row:
@@ -160,7 +161,10 @@ class Client:
 class Applier(StatefulProcessor):
     """Holds, applies and rejects changes of a group of clients, whose heads are one value of state, so that a group costs
     few calls of the state server. Any row tells its batch and that batch's horizon (the largest day of earlier batches); a
-    clock row has no number."""
+    clock row has no number. ``sizes``: waiting changes kept with a head, numbers of a block, blocks of a client in memory."""
+
+    def __init__(self, sizes: tuple[int, int, int]):
+        self.sizes = sizes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.heads = handle.getValueState("heads", HEADS)
@@ -170,7 +174,7 @@ class Applier(StatefulProcessor):
         state = self.heads.get()
         if not state:
             return {}
-        clients = [Client(of, self.blocks, *head) for of, *head in zip(*state[:7], strict=True)]
+        clients = [Client(of, self.blocks, self.sizes, *head) for of, *head in zip(*state[:7], strict=True)]
         for at, *change in zip(*state[7:], strict=True):
             clients[at].held.block(change[0])[change[0]] = tuple(change)
         return {c.of: c for c in clients}
@@ -187,7 +191,7 @@ class Applier(StatefulProcessor):
             batch = row.batch
             client = clients.get(row.client_id)
             if client is None:
-                client = clients[row.client_id] = Client(row.client_id, self.blocks)
+                client = clients[row.client_id] = Client(row.client_id, self.blocks, self.sizes)
             if not client.seen:
                 client.seen = True
                 yield from client.expire(batch, row.horizon)
@@ -241,7 +245,7 @@ class Feed:
         with _settings(self.spark, _SETTINGS):
             rows.write.mode("append").parquet(f"{self.path}/feed")
             fed = self.spark.readStream.schema(FED).parquet(f"{self.path}/feed")
-            done = fed.groupBy("grp").transformWithState(Applier(), APPLIED, "append", "none")
+            done = fed.groupBy("grp").transformWithState(Applier((FEW, BLOCK, MOST_BLOCKS)), APPLIED, "append", "none")
             query = done.writeStream.format("parquet").option("path", f"{self.path}/applied").option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             query.awaitTermination()
         self.started = True
@@ -270,7 +274,7 @@ def apply_changes(changes: DataFrame, batches: int) -> DataFrame:
 def in_batches(raw: DataFrame, batches: int = 12, first_day: int = 19723, days: int = 160, late: int = 9, lost: int = 11) -> DataFrame:
     """Changes with their dense rank ``n``, arrival ``day`` and ``batch``, as a table partitioned by batch. A change arrives up
     to three times ``late`` days after it was made; one in ``lost`` never does."""
-    own = materialize(raw.distinct(), "changes")
+    own = materialize(raw.distinct().select("change_id", "client_id", "seq", "op", "valid_at", "city", "balance"), "changes")
     ranks = running_total(own.select("client_id", "seq").distinct(), ["client_id"], ["seq"], F.lit(1)).select(F.col("client_id").alias("of"), F.col("seq").alias("place"), (F.col("before") + 1).cast("bigint").alias("n"))
     h = F.crc32(F.col("change_id").cast("string"))
     day = (F.unix_date(F.to_date("valid_at")) + late * (h % 4)).cast("int")
