@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ._util import materialize, table
 
-_MARK = r"^((?:[ \t]{0,3}>)+ ?)"
+#: A quote mark is made of ``>`` with up to three blanks before each, and a space. It's read off the run of blanks and ``>``
+#: at the start of a line, by expressions without repeated groups, which a long line would make too deep for the JVM's stack.
+_RUN, _GAP, _LAST = r"^[ \t>]+", r"[ \t]{4}", r"^.*>"
 #: How mail and chat programs introduce a quote, at the end of a line. German ones put the
 #: name last: they begin with "Am " and hold " schrieb".
 _INTRO = r". (wrote|said|a écrit ?|escribió):\s*$"
@@ -37,7 +39,9 @@ def _parsed(messages: DataFrame) -> DataFrame:
     """Columns ``own`` (text without quotes) and ``runs`` (array of level and text of passages)."""
 
     def cut(line: Column) -> Column:
-        mark = F.regexp_extract(line, _MARK, 1)
+        signs = F.regexp_extract(F.get(F.split(F.regexp_extract(line, _RUN, 0), _GAP, 2), F.lit(0)), _LAST, 0)
+        space = (signs != "") & (F.substring(line, F.length(signs) + 1, F.lit(1)) == " ")
+        mark = F.concat(signs, F.when(space, " ").otherwise(""))
         german = F.startswith(line, F.lit(_GERMAN[0])) & F.contains(line, F.lit(_GERMAN[1])) & F.rlike(line, F.lit(_GERMAN[2]))
         intro = F.rlike(line, F.lit(_INTRO)) | german
         return F.struct(F.length(F.regexp_replace(mark, "[^>]", "")).alias("level"), F.substring(line, F.length(mark) + 1, F.lit(2**31 - 1)).alias("said"), intro.alias("intro"))

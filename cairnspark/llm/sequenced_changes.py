@@ -238,7 +238,7 @@ class Feed:
 
     def tick(self, changes: DataFrame, batch: int, horizon: int | None) -> None:
         """Append the batch's changes and the clock rows that are due, and start the stream on them."""
-        rows = changes.select("client_id", *[c.split()[0] for c in _CHANGE.split(", ")])
+        rows = changes.select("client_id", "n", "day", "change_id", "op", "city", "balance")
         if self.started and horizon is not None:
             rows = rows.unionByName(expired(self.spark, self.checkpoint, horizon), allowMissingColumns=True)
         rows = rows.withColumn("batch", F.lit(batch)).withColumn("horizon", F.lit(horizon).cast("int")).withColumn("grp", F.pmod(F.xxhash64("client_id"), F.lit(self.groups)))

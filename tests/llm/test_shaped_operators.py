@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from cairnspark.llm import fill_in_middle, license_scan, sequenced_changes
+from cairnspark.llm import fill_in_middle, license_scan, quote_linking, sequenced_changes
 
 DOCS = "doc_id bigint, text string, row string, n int, label string"
 TEXTS = [
@@ -179,3 +179,15 @@ def test_ticks_are_aimed(spark, tmp_path):
     fed = spark.read.parquet(str(tmp_path / "feed"))
     assert [r["client_id"] for r in fed.where("n is null").collect()] == [1]
     assert sorted((r["change_id"], r["batch"], r["missed"]) for r in feed.read().collect()) == [(1, 2, 1), (2, 1, 0)]
+
+
+def test_marks_of_any_length(spark):
+    """Lines that a repeated group would take beyond the stack; marks are those of the plain expression."""
+    heads = [">" * 1_000_000, "> " * 100_000, "  >\t>" * 50_000, " " * 100_000, "> " * 9 + "    > ", "   > x >", "    > no", ">    >", "\t\t\t>\t", ">>  >   >    >", "", ">"]
+    lines = [h + "said" for h in heads] + heads
+    rows = [(1, i, "user", line) for i, line in enumerate(lines)]
+    done = quote_linking._parsed(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
+    for r in done:
+        m = re.match(r"(?:[ \t]{0,3}>)+ ?", r["text"])
+        want = [(m[0].count(">"), r["text"][m.end() :])] if m else []
+        assert [(x["level"], x["said"]) for x in r["runs"]] == want, r["text"][:40]
