@@ -141,30 +141,83 @@ def context_window(text: Column, terms: Column, size: int = 1600) -> Column:
     return let(trimmed(F.coalesce(text, F.lit(""))), lambda t: let(F.lower(t), lambda low: _best_window(t, low, terms, size)))
 
 
-def _best_window(text: Column, low: Column, terms: Column, size: int) -> Column:
-    # every place of every term: the pieces between the places tell how far each one is
-    places = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.call_function("split", low, F.concat(F.lit("\\Q"), t, F.lit("\\E")), F.lit(-1))) - 1, F.lit(1))), lambda k: F.length(F.call_function("substring_index", low, t, k)))
-    phrase = F.when(F.size(terms) > 1, F.array(F.array_join(terms, " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    found = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.concat(phrase, terms), places)), lambda p: p < F.length(low))))
-    return let(found, lambda at: _window_at(text, at, terms, size))
+#: Values that ``running`` takes in one go, and characters of a piece of text that windows are cut from.
+_STEP, _PIECE = 256, 1 << 15
+
+
+def running(values: Column, combine, zero: int) -> Column:
+    """For each number of an array what ``combine`` makes of those before it, beginning with ``zero``: in steps, so that no long
+    array is copied for each of its elements."""
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def scan(numbers: Column, first: Column) -> Column:
+        start = F.struct(first.cast("bigint").alias("now"), none.alias("out"))
+        step = lambda s, x: F.struct(combine(s["now"], x).cast("bigint").alias("now"), F.array_append(s["out"], s["now"]).alias("out"))
+        return F.aggregate(numbers, start, step, lambda s: s["out"])
 
+    def whole(v: Column) -> Column:
+        part = lambda k: F.slice(v, k * _STEP + 1, _STEP)
+        parts = F.sequence(F.lit(0), F.ceil(F.size(v) / _STEP).cast("int") - 1)
+        begins = scan(F.transform(parts, lambda k: F.aggregate(part(k), F.lit(zero).cast("bigint"), lambda s, x: combine(s, x).cast("bigint"))), F.lit(zero))
+        return F.when(F.size(v) > 0, F.flatten(F.transform(begins, lambda first, k: scan(part(k), first)))).otherwise(none)
 
-def _window_at(text: Column, at: Column, terms: Column, size: int) -> Column:
-    def start(p: Column) -> Column:
-        head = F.substring(text, F.lit(1), p)
-        back = lambda mark: F.length(head) - F.length(F.substring_index(head, mark, -1))
-        begin = F.when(F.contains(head, F.lit("\n\n")), back("\n\n")).when(F.contains(head, F.lit("\n")), back("\n")).otherwise(F.lit(0))
-        return F.when(p - begin > 240, F.greatest(p - 120, F.lit(0))).otherwise(begin)
+    return let(values, whole)
 
-    def window(p: Column) -> Column:
-        return F.substring(F.regexp_replace(F.substring(text, start(p) + 1, F.lit(2**31 - 1)), r"(?U)^\s+", ""), 1, size)
 
-    def score(p: Column) -> Column:
-        return let(F.lower(window(p)), lambda said: _window_score(said, p, terms))
+def places(low: Column, term: Column) -> Column:
+    """Where ``term`` stands in a text: its characters before each place, by the lengths of the pieces between them."""
+    pieces = F.transform(F.call_function("split", low, F.concat(F.lit("\\Q"), term, F.lit("\\E")), F.lit(-1)), lambda s: F.length(s).cast("bigint"))
 
-    ranked = F.transform(at, lambda p: F.struct(score(p).alias("score"), p.alias("at")))
-    best = F.when(F.size(at) > 0, window(F.array_max(ranked)["at"]))
-    return best.otherwise(F.substring(text, 1, size))
+    def placed(sizes: Column) -> Column:
+        before = running(F.transform(sizes, lambda n: n + F.length(term)), lambda a, n: a + n, 0)
+        return F.slice(F.zip_with(before, sizes, lambda a, n: a + n), 1, F.size(sizes) - 1)
+
+    return let(pieces, placed)
+
+
+def _best_window(text: Column, low: Column, terms: Column, size: int) -> Column:
+    phrase = F.when(F.size(terms) > 1, F.array(F.array_join(terms, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+    asked = F.filter(F.concat(phrase, terms), lambda t: F.contains(low, t))
+    found = F.array_distinct(F.flatten(F.transform(asked, lambda t: places(low, t))))
+    whole = F.sequence(F.lit(0), F.floor(F.length(text) / _PIECE).cast("int"))
+    pieces = F.transform(whole, lambda k: F.substring(text, (k * _PIECE + 1).cast("int"), F.lit(_PIECE + 2 * size)))
+    window = lambda at: let(pieces, lambda cut: _window_at(text, cut, at, terms, size))
+    return F.when(F.size(asked) > 0, let(_starts(text, found), window)).otherwise(F.substring(text, 1, size))
+
+
+def _starts(text: Column, found: Column) -> Column:
+    """Of each window its start and the last place that has it, (start, at): a window begins with the paragraph of its place, or
+    the line if there are no paragraphs before it, or 120 characters before the place if that is far."""
+    ends = places(text, F.lit("\n"))
+    mark = lambda kind: lambda p: F.struct(p.alias("p"), F.lit(kind).alias("kind"))
+
+    def marks(ends: Column) -> Column:
+        paragraphs = F.filter(ends, lambda p, k: (k > 0) & (F.get(ends, k - 1) == p - 1))
+        after = lambda kind: lambda p: mark(kind)(p + 1)
+        return F.array_sort(F.concat(F.transform(found, mark(2)), F.transform(ends, after(1)), F.transform(paragraphs, after(0))))
+
+    def begun(all_: Column) -> Column:
+        last = lambda kind: running(F.transform(all_, lambda x: F.when(x["kind"] == kind, x["p"]).otherwise(0)), F.greatest, 0)
+        begin = lambda x: F.when(x["paragraph"] > 0, x["paragraph"]).otherwise(x["line"])
+        start = lambda x: F.when(x["m"]["p"] - begin(x) > 240, F.greatest(x["m"]["p"] - 120, F.lit(0))).otherwise(begin(x))
+        each = F.filter(F.arrays_zip(all_.alias("m"), last(0).alias("paragraph"), last(1).alias("line")), lambda x: x["m"]["kind"] == 2)
+        return F.transform(each, lambda x: F.struct(start(x).alias("start"), x["m"]["p"].alias("at")))
+
+    # of places that share a start, which come one after the other, the last scores best
+    alone = lambda v: F.filter(v, lambda x, k: ~F.get(v, k + 1)["start"].eqNullSafe(x["start"]))
+    return let(let(let(ends, marks), begun), alone)
+
+
+def _window_at(text: Column, pieces: Column, at: Column, terms: Column, size: int) -> Column:
+    left = lambda s: F.regexp_replace(s, r"(?U)^\s+", "")
+
+    def window(start: Column) -> Column:
+        near = left(F.substring(F.get(pieces, F.floor(start / _PIECE).cast("int")), (start % _PIECE + 1).cast("int"), F.lit(2 * size)))
+        far = left(F.substring(text, (start + 1).cast("int"), F.lit(2**31 - 1)))  # behind much white space
+        return let(near, lambda s: F.substring(F.when((F.length(s) < size) & (start + 2 * size < F.length(text)), far).otherwise(s), 1, size))
+
+    ranked = F.transform(at, lambda x: F.struct(let(F.lower(window(x["start"])), lambda said: _window_score(said, x["at"], terms)).alias("score"), x["at"].alias("at"), x["start"].alias("start")))
+    return window(F.array_max(ranked)["start"])
 
 
 def _window_score(said: Column, p: Column, terms: Column) -> Column:

@@ -91,6 +91,8 @@ class HybridSearch:
         cited = self.visible.drop("text").where("page is not null").withColumn("page_key", key)
         best = rt.top(found.join(cited, "page_key"), ["query_id"], [F.desc("score"), F.col("evidence_id")], self.wide, "at")
         rows = best.join(pages.select("page_key", "text"), "page_key").join(self.queries, "query_id")
+        # few rows with much work each, which would be taken for one partition
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
         rows = self._mark(rows.withColumn("held", F.length(tx.context_window(F.col("text"), F.col("terms")))), hits)
         rows = _accepted(rows, [F.col("at")], F.lit(self.wide) - F.col("n_hits"))
         longer = F.when(F.col("known_held") < F.col("held"), 0.08).otherwise(0.0)
