@@ -34,3 +34,18 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
     own = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return own.union(edges.select(F.col("b"), F.col("b")).distinct())
+
+
+def nearest_anchors(anchors: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
+    """(node, hops, anchor): every node within ``hops`` lines (src, dst, either way) of an anchor (node), with its distance and the
+    smallest of the anchors that are that near. All anchors are followed at once: a front holds each node
+    it reaches once, whatever number of anchors reach it, and a node that was reached before never again."""
+    lines = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).where("node is not null and other is not null").distinct(), "lines")
+    front = anchors.where("node is not null").select("node", F.lit(0).alias("hops"), F.col("node").alias("anchor")).distinct()
+    found = front = materialize(front, "anchors")
+    for hop in range(1, hops + 1):
+        step = front.join(lines, "node").groupBy(F.col("other").alias("node")).agg(F.min("anchor").alias("anchor"))
+        new = step.join(found.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "anchor")
+        front = materialize(new, "front")
+        found = found.union(front)
+    return found

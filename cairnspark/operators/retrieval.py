@@ -40,6 +40,11 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     kept = materialize(kept, "asked_postings")
     found, texts = kept.where("term <> ''"), kept.where("term = ''")
     told = texts.agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return score_postings(found, told, queries, query_key, key)
+
+
+def score_postings(found: DataFrame, told: DataFrame, queries: DataFrame, query_key: str, key: str) -> DataFrame:
+    """Scores from the postings of asked terms (key, term, tf, length) and one row of totals (n, avgdl)."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     need = queries.groupBy(query_key).agg(F.count("*").alias("need"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))

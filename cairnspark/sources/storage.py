@@ -35,6 +35,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def complete(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write has ended."""
+    at = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at(path)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at(path))]
+    return [n for n in names if files.exists(at(path, n, "_SUCCESS"))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.storage import shared_dir
+from ..sources.storage import complete, shared_dir
 
 
 def _newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -15,16 +15,6 @@ def _newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def _complete(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders below ``path`` whose write has ended."""
-    at = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(at(path)):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(at(path))]
-    return [n for n in names if files.exists(at(path, n, "_SUCCESS"))]
-
-
 class LatestTable:
     """The newest row of every key, in ``BUCKETS`` buckets of keys. A micro-batch writes the buckets it
     touches into a folder of its own, then a manifest that tells for each bucket which batch wrote it
@@ -38,7 +28,7 @@ class LatestTable:
 
     @property
     def version(self) -> int:
-        return max((int(n[1:]) for n in _complete(self.spark, f"{self.path}/manifest")), default=-1)
+        return max((int(n[1:]) for n in complete(self.spark, f"{self.path}/manifest")), default=-1)
 
     def _written(self, version: int) -> dict[int, int]:
         """Bucket -> batch that wrote it last, of ``BUCKETS`` buckets at most."""
