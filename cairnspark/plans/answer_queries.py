@@ -55,8 +55,8 @@ def _tables(t: Tables) -> dict[str, DataFrame]:
     d, n = t.documents, F.col("doc_id")
     cat = lambda p, c: F.concat(F.lit(p), F.col(c))
     return {
-        "chunk": d.where(n % 3 == 0).select(cat("k", "doc_id").alias("chunk_id"), F.array("source", "lang").alias("heading_path"), "text", F.col("source").alias("source_id")),
-        "evidence": d.select(cat("e", "doc_id").alias("evidence_id"), cat("Page ", "doc_id").alias("page_label"), F.substring("text", 1, 120).alias("snippet"), F.col("source").alias("source_id")),
+        "chunk": d.select(cat("k", "doc_id").alias("chunk_id"), F.array("source", "lang").alias("heading_path"), "text", F.col("source").alias("source_id")),
+        "evidence": d.select(cat("e", "doc_id").alias("evidence_id"), cat("Page ", "doc_id").alias("page_label"), F.col("text").alias("snippet"), F.col("source").alias("source_id")),
         "claim": t.part.select(cat("c", "p_partkey").alias("claim_id"), F.concat_ws(" ", "p_name", "p_type").alias("statement"), F.array(F.concat(F.lit("n"), F.col("p_partkey") % 25)).alias("topic_refs"), F.array(F.concat(F.lit("src"), F.col("p_partkey") % 20)).alias("source_refs"), F.array(F.concat(F.lit("e"), F.col("p_partkey") % 300), cat("e", "p_partkey")).alias("evidence_refs")),
         "memory": t.supplier.select(cat("m", "s_suppkey").alias("memory_id"), F.col("s_name").alias("title"), F.concat_ws(" ", F.lit("ring widget of"), "s_nationkey").alias("body"), F.expr(an._NONE).alias("source_refs"), F.array(F.concat(F.lit("e"), F.col("s_suppkey") % 90)).alias("evidence_refs")),
         "relation": t.nation.select(cat("r", "n_nationkey").alias("relation_id"), F.col("n_name").alias("label"), F.lit("RelatedTo").alias("kind"), cat("n", "n_nationkey").alias("src"), F.concat(F.lit("n"), (F.col("n_nationkey") * 7 + 1) % 25).alias("dst"), F.array(cat("e", "n_nationkey")).alias("evidence_ids")),
@@ -68,8 +68,8 @@ def _tables(t: Tables) -> dict[str, DataFrame]:
 
 _KINDS = f"""
 cand AS (
-  SELECT 'source chunk' AS kind, 0 AS kind_rank, 'k' || doc_id AS id, source || ' / ' || lang AS title, text AS body, {_EMPTY} AS nodes, {_EMPTY} AS relations, [source] AS sources, {_EMPTY} AS evidence FROM documents WHERE doc_id % 3 = 0
-  UNION ALL SELECT 'evidence', 1, 'e' || doc_id, 'Page ' || doc_id, left(text, 120), {_EMPTY}, {_EMPTY}, [source], ['e' || doc_id] FROM documents
+  SELECT 'source chunk' AS kind, 0 AS kind_rank, 'k' || doc_id AS id, source || ' / ' || lang AS title, text AS body, {_EMPTY} AS nodes, {_EMPTY} AS relations, [source] AS sources, {_EMPTY} AS evidence FROM documents
+  UNION ALL SELECT 'evidence', 1, 'e' || doc_id, 'Page ' || doc_id, text, {_EMPTY}, {_EMPTY}, [source], ['e' || doc_id] FROM documents
   UNION ALL SELECT 'claim', 2, 'c' || p_partkey, p_name || ' ' || p_type, p_name || ' ' || p_type || ' n' || (p_partkey % 25) || ' src' || (p_partkey % 20), ['n' || (p_partkey % 25)], {_EMPTY}, ['src' || (p_partkey % 20)], ['e' || (p_partkey % 300), 'e' || p_partkey] FROM part
   UNION ALL SELECT 'memory', 3, 'm' || s_suppkey, s_name, s_name || ' ring widget of ' || s_nationkey, {_EMPTY}, {_EMPTY}, {_EMPTY}, ['e' || (s_suppkey % 90)] FROM supplier
   UNION ALL SELECT 'relation', 4, 'r' || n_nationkey, n_name, 'RelatedTo: n' || n_nationkey || ' ' || n_name || ' n' || ((n_nationkey * 7 + 1) % 25), ['n' || n_nationkey, 'n' || ((n_nationkey * 7 + 1) % 25)], ['r' || n_nationkey], {_EMPTY}, ['e' || n_nationkey] FROM nation
@@ -217,7 +217,7 @@ def correction_actions(t: Tables) -> DataFrame:
 _GENERIC_HIT = "(" + " OR ".join(f"contains(lower(said), '{w}')" for w in tx.GENERIC) + ")"
 _GENERIC_IN = "(" + ", ".join(f"'{w}'" for w in tx.GENERIC) + ")"
 _TALK_IN = "(" + ", ".join(f"'{w}'" for w in an.SMALL_TALK) + ")"
-_MESSAGES = "(SELECT conv_id, turn, role, CASE WHEN (conv_id * 7 + turn) % 11 = 0 THEN '  Thank   you!! ' WHEN (conv_id + turn) % 5 = 0 THEN 'Summarize the document' WHEN (conv_id + turn) % 7 = 0 THEN '??' ELSE left(text, 40) END AS text FROM conversations)"
+_MESSAGES = "(SELECT conv_id, turn, role, CASE WHEN (conv_id * 7 + turn) % 11 = 0 THEN '  Thank   you!! ' WHEN (conv_id + turn) % 5 = 0 THEN 'Summarize the document' WHEN (conv_id + turn) % 7 = 0 THEN '??' ELSE text END AS text FROM conversations)"
 _PLANS = f"""
 u AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ') AS said FROM {_MESSAGES} WHERE role = 'user'),
 c AS (SELECT *, array_to_string({_distinct_terms('said')}, ' ') AS clean FROM u),
@@ -231,7 +231,7 @@ plans AS (SELECT conv_id, turn, talk AS small_talk, ev AS evidence_question, NOT
 
 def _messages(t: Tables) -> DataFrame:
     n = F.col("conv_id") + F.col("turn")
-    text = F.when((F.col("conv_id") * 7 + F.col("turn")) % 11 == 0, "  Thank   you!! ").when(n % 5 == 0, "Summarize the document").when(n % 7 == 0, "??").otherwise(F.substring("text", 1, 40))
+    text = F.when((F.col("conv_id") * 7 + F.col("turn")) % 11 == 0, "  Thank   you!! ").when(n % 5 == 0, "Summarize the document").when(n % 7 == 0, "??").otherwise(F.col("text"))
     return t.conversations.select("conv_id", "turn", "role", text.alias("text"))
 
 
@@ -255,7 +255,7 @@ def _snapshot(t: Tables) -> DataFrame:
     said = lambda *x: F.concat_ws(" ", *x)
     one = lambda x: F.array(x)
     entity = t.supplier.select(F.concat(F.lit("y"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("e"), F.col("s_suppkey") % 60)).alias("evidence_refs"))
-    event = t.events.where("event_id % 200 = 0").select(F.concat(F.lit("v"), "event_id").alias("event_id"), "event_type", "props")
+    event = t.events.select(F.concat(F.lit("v"), "event_id").alias("event_id"), "event_type", "props")
     return rd.union([
         rd.records("source", own["source"], "source_id", c("source_id"), said("source_id", "path"), sources=one("source_id")),
         rd.records("node", own["node"], "node_id", c("label"), said("node_id", "label", F.array_join("aliases", " ")), nodes=one("node_id"), sources=c("source_ids"), evidence=c("evidence_ids")),
@@ -278,8 +278,8 @@ snap AS (
   UNION ALL SELECT 'relation', 'r' || n_nationkey, n_name, 'r' || n_nationkey || ' ' || n_name || ' n' || n_nationkey || ' n' || ((n_nationkey * 7 + 1) % 25), ['n' || n_nationkey, 'n' || ((n_nationkey * 7 + 1) % 25)], {_EMPTY}, ['e' || n_nationkey] FROM nation
   UNION ALL SELECT 'memory', 'm' || s_suppkey, s_name, s_name || ' ring widget of ' || s_nationkey, {_EMPTY}, {_EMPTY}, ['e' || (s_suppkey % 90)] FROM supplier
   UNION ALL SELECT 'wiki_page', 'w' || r_regionkey, r_name, 'wiki/' || r_name || ' ' || r_name || ' All about the red gear and ' || r_name, ['n' || r_regionkey], {_EMPTY}, ['e2'] FROM region
-  UNION ALL SELECT 'evidence', 'e' || doc_id, 'Page ' || doc_id, 'e' || doc_id || ' ' || left(text, 120), {_EMPTY}, [source], {_EMPTY} FROM documents
-  UNION ALL SELECT 'event', 'v' || event_id, event_type, 'v' || event_id || ' ' || event_type || ' ' || props, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM events WHERE event_id % 200 = 0),
+  UNION ALL SELECT 'evidence', 'e' || doc_id, 'Page ' || doc_id, 'e' || doc_id || ' ' || text, {_EMPTY}, [source], {_EMPTY} FROM documents
+  UNION ALL SELECT 'event', 'v' || event_id, event_type, 'v' || event_id || ' ' || event_type || ' ' || props, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM events),
 rq AS (SELECT query_id, list_sort(list_distinct({_tokens('q')})) AS terms FROM (SELECT * FROM (VALUES (1, 'red gears of asia'), (2, 'small click'), (3, 'supplier europe'), (4, 'in src7')) v(query_id, q))),
 rw AS (SELECT kind, id, title, {_tokens('said')} AS words FROM snap),
 found AS (SELECT query_id, kind, id, title, {_score('words', 'terms')} AS score FROM rw, rq WHERE {_score('words', 'terms')} > 0),

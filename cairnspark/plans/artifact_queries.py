@@ -134,10 +134,10 @@ def pack_persist_and_items(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey % 50 = 0)
+WITH k AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT 'part' AS kind, p_partkey AS id FROM part WHERE p_partkey IN (SELECT p FROM k) UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey IN (SELECT s FROM k)""")
 def pack_row_loads(t: Tables) -> DataFrame:
-    packs = t.lineitem.where("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("suppliers"))
+    packs = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("suppliers"))
     rows = ar.loaded_rows(packs, {"part": t.part.withColumnRenamed("p_partkey", "part_id"), "supplier": t.supplier.withColumnRenamed("s_suppkey", "supplier_id")}, {"part": "parts", "supplier": "suppliers"})
     return rows["part"].select(F.lit("part").alias("kind"), F.col("part_id").alias("id")).unionByName(rows["supplier"].select(F.lit("supplier").alias("kind"), F.col("supplier_id").alias("id")))
 
@@ -287,9 +287,3 @@ def dry_run_metrics(t: Tables) -> DataFrame:
     runs = t.events.select(F.col("user_id").alias("log_id"), done.alias("milestones"))
     reuse = t.events.select(F.col("user_id").alias("log_id"), (F.col("value") > 60).alias("same_set"), (n % 9).alias("day_offset"))
     return jb.trial_gates(runs, reuse)
-
-
-@query("SELECT count(*) AS evidence, count(DISTINCT source_id) AS sources, max(t) AS last FROM (SELECT 'seed-' || s AS source_id, 'Page ' || p || ' of seed-' || s AS t FROM range(3) a(s), range(4) b(p))")
-def seed_workspace(t: Tables) -> DataFrame:
-    seed = jb.seeded(t.spark)
-    return seed["evidence"].join(seed["sources"], ["source_id", "workspace_id"]).agg(F.count("*").alias("evidence"), F.countDistinct("source_id").alias("sources"), F.max("text").alias("last"))

@@ -125,11 +125,13 @@ def lint_dangling(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R') AND p_size > 2""")
+SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_acctbal >= 0
+UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)""")
 def lint_orphans(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    evidence = t.part.where("p_size <= 2").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
-    return gr.orphans(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("node")), edges, evidence)
+    name = lambda kind, c: F.concat(F.lit(kind), c)
+    edges = t.orders.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")).union(t.lineitem.select(name("p", "l_partkey"), name("s", "l_suppkey")))
+    nodes = t.customer.select(name("c", "c_custkey").alias("node")).union(t.part.select(name("p", "p_partkey")))
+    return gr.orphans(nodes, edges, t.customer.where("c_acctbal < 0").select(name("c", "c_custkey").alias("node")))
 
 
 _CLAIMS = r"""

@@ -275,13 +275,12 @@ def rebuild_gate(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT DISTINCT 'n' || p_partkey AS node_id, lower(split_part(p_name, ' ', 1)) AS name, ['src' || (p_partkey % 20), 'src3'] AS s FROM part WHERE p_partkey % 3 = 0), w AS (SELECT DISTINCT unnest(s) AS source, name FROM n),
+WITH n AS (SELECT DISTINCT 'n' || p_partkey AS node_id, lower(split_part(p_name, ' ', 1)) AS name, ['src' || (p_partkey % 20), 'src3'] AS s FROM part), w AS (SELECT DISTINCT unnest(s) AS source, name FROM n),
 m AS (SELECT doc_id, source, count(*) AS names FROM documents JOIN w USING (source) WHERE contains(lower(text || ' ' || CASE WHEN doc_id % 4 = 0 THEN 'Red hot' ELSE 'small' END), name) GROUP BY 1, 2),
 f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY names DESC, doc_id) <= 4)
 SELECT doc_id AS chunk_id, source AS source_id, names, CAST(row_number() OVER (ORDER BY names DESC, doc_id) AS INT) AS rank FROM f QUALIFY rank <= 24""")
 def linking_chunks(t: Tables) -> DataFrame:
-    rows = t.part.where("p_partkey % 3 = 0")
-    nodes = rows.select(F.concat(F.lit("n"), "p_partkey").alias("node_id"), F.split("p_name", " ")[0].alias("label"), F.array(F.concat(F.lit("src"), F.col("p_partkey") % 20), F.lit("src3")).alias("source_ids"))
+    nodes = t.part.select(F.concat(F.lit("n"), "p_partkey").alias("node_id"), F.split("p_name", " ")[0].alias("label"), F.array(F.concat(F.lit("src"), F.col("p_partkey") % 20), F.lit("src3")).alias("source_ids"))
     chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), F.concat_ws(" ", "text", F.when(F.col("doc_id") % 4 == 0, "Red hot").otherwise("small")).alias("text"))
     return rb.linking_chunks(chunks, nodes, nodes)
 

@@ -13,7 +13,7 @@ _LIMIT = 6
 
 
 def workspace(t: Tables) -> Corpus:
-    """Sources, evidence (the beginnings of documents), pages (whole documents), nodes, edges and wiki pages."""
+    """Sources, evidence and pages (whole documents), nodes, edges and wiki pages."""
     d = t.documents
     n, k = F.col("doc_id"), F.col("doc_id") % 200
     kind = F.when(n % 5 == 0, "text").when(n % 5 == 1, "summary").when(n % 5 == 2, "claim").when(n % 5 == 3, "table").otherwise("relationship")
@@ -34,7 +34,7 @@ def workspace(t: Tables) -> Corpus:
     )
     return Corpus(
         sources=sources,
-        evidence=d.select(ref.alias("evidence_id"), F.col("source").alias("source_id"), F.concat(kind, F.lit("_evidence")).alias("evidence_type"), F.substring("text", 1, 160).alias("text"), F.when(n % 7 != 0, n).alias("page"), (n % 11 != 0).alias("active")),
+        evidence=d.select(ref.alias("evidence_id"), F.col("source").alias("source_id"), F.concat(kind, F.lit("_evidence")).alias("evidence_type"), "text", F.when(n % 7 != 0, n).alias("page"), (n % 11 != 0).alias("active")),
         pages=d.select(F.col("source").alias("source_id"), n.alias("page"), "text"),
         nodes=nodes.select(name(F.col("k")).alias("node_id"), "label", F.expr("cast(array() as array<string>)").alias("aliases"), "source_ids", "evidence_ids", (F.col("k") % 9 != 0).alias("live")),
         edges=edges, wiki=wiki,
@@ -101,7 +101,7 @@ qq AS (SELECT query_id, query, {_distinct_terms('query')} AS terms FROM q),
 qt AS (SELECT query_id, unnest(terms) AS term FROM qq),
 s AS (SELECT source AS source_id, 'Report ' || source || ' ' || left(arg_min(text, doc_id), 60) AS title, max(doc_id) AS updated_at, source = 'src3' AS failed FROM documents GROUP BY source),
 e AS (SELECT 'e' || doc_id AS evidence_id, source AS source_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'summary' WHEN 2 THEN 'claim' WHEN 3 THEN 'table' ELSE 'relationship' END || '_evidence' AS evidence_type,
-  left(text, 160) AS text, CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS page, doc_id % 11 <> 0 AS active FROM documents),
+  text, CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS page, doc_id % 11 <> 0 AS active FROM documents),
 n AS (SELECT doc_id % 200 AS k, 'n' || (doc_id % 200) AS node_id, (string_split(arg_min(text, doc_id), ' '))[1] AS label, list_sort(list(DISTINCT source)) AS source_ids, list('e' || doc_id) AS evidence_ids, (doc_id % 200) % 9 <> 0 AS live FROM documents GROUP BY doc_id % 200),
 ed AS (SELECT 'r' || k AS edge_id, 'n' || k AS src, 'n' || ((k * 7 + 3) % 200) AS dst, 'e' || k AS ref FROM n WHERE k % 8 <> 0),
 w AS (SELECT 'w' || source AS page_id, 'wiki/' || source || '.md' AS path, source AS title, arg_min(text, doc_id) AS text, 'e' || min(doc_id) AS ref FROM documents WHERE source <> 'src5' GROUP BY source),
