@@ -144,11 +144,3 @@ def with_jobs(sources: DataFrame, jobs: DataFrame) -> DataFrame:
     """Sources with the newest job (source_id, job_id, status, at) of each, if there is one."""
     newest = top(jobs, ["source_id"], [F.desc("at"), F.desc("job_id")], 1, "n").select("source_id", "job_id", F.col("status").alias("job_status"))
     return sources.join(newest, "source_id", "left")
-
-
-def seeded(spark: SparkSession, sources: int = 3, evidence: int = 4) -> dict[str, DataFrame]:
-    """A small workspace with several sources, for trials and tests."""
-    ids = spark.range(sources).select(F.concat(F.lit("seed-"), "id").alias("source_id"), F.lit("seed").alias("workspace_id"), F.concat(F.lit("Seed source "), "id").alias("title"), F.lit("ingested").alias("status"))
-    rows = ids.select("source_id", "workspace_id", F.explode(F.sequence(F.lit(0), F.lit(evidence - 1))).alias("page"))
-    told = rows.select(F.concat_ws(":", F.lit("e"), "source_id", "page").alias("evidence_id"), "source_id", "workspace_id", "page", F.lit("text").alias("evidence_type"), F.concat_ws(" ", F.lit("Page"), "page", F.lit("of"), "source_id").alias("text"))
-    return {"sources": ids, "evidence": told}
