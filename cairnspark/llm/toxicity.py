@@ -3,7 +3,8 @@
 The lexicon (word stems whose share of toxic texts is far above their share of others) and all
 weights are learned from at most about ``SAMPLE`` labelled rows that aren't held out. The trie of
 the stems and the Levenshtein automaton of distance one are intersected and made deterministic: one
-table-driven pass over each word tells the best stem it begins with, exactly or with one edit.
+table-driven pass over each word tells the best stem it begins with, exactly or with one edit (a letter
+more, less or another, or two neighbours exchanged).
 A term weighs what its exact hits tell. A word one edit away
 starts from a share of that weight (``FUZZY_SHARE``), so that a spelling never seen counts too; the
 more sampled texts hold the very spelling, the more their labels decide instead, so that a common
@@ -18,9 +19,10 @@ or with labels of one class every score is near the mean label (0 without labels
 equal scores; an empty table gives no rows; a text of any length is scored whole, as one row of work; other
 columns are ignored.
 
-The model is bounded: stems have ``LONGEST`` letters at most, ``MOST_CANDIDATES`` stems are compared
-and ``MOST_TERMS`` stay, and the summed weights that the last step sees end at ``MOST_HITS``. Texts are
-scored whole whatever these are.
+Only the number of labelled rows is bounded. Stems may have any length and all that pass the test stay: up to
+``HEAD`` letters every beginning of a word is a candidate, beyond them the places where words of the sample part
+and the words themselves, which a longer candidate held by the same texts would cover anyway. The last step sees
+the logarithm of summed weights, so that many hits tell more than few, if less and less.
 """
 
 from __future__ import annotations
@@ -28,23 +30,25 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from ._labels import held_out, labelled_sample
 from ._util import slices, small_batches, table
 
 SAMPLE = 20_000
-#: Bounds of the learned lexicon: letters of a stem, stems that are candidates, stems that stay.
-LONGEST, MOST_CANDIDATES, MOST_TERMS = 12, 200_000, 2_000
+#: Letters up to which every beginning of a word is a candidate; longer stems are sought among words with frequent ones.
+HEAD = 12
 #: Least length of a stem for which one edit is allowed.
 FUZZY_FROM = 4
 #: Share of a term's weight for a word one edit away, and the least share after its loss by false hits.
 FUZZY_SHARE, LEAST_FUZZY_SHARE = 0.9, 0.05
-#: Weights of hits add up to this at most.
-MOST_HITS = 20
+#: Summed weight from which on further hits tell clearly less: sums enter as log(1 + sum / BEND).
+BEND = 20
 #: Signs that stand for a letter when they are inside a word, as digits do.
 MASKS = "*#@$!%&+_^~|?"
 WINDOW_CHARS, WINDOW_WORDS = 60, 12
@@ -104,6 +108,7 @@ class LexiconAutomaton:
 
     def __init__(self, terms: list[str], fuzzy_from: int = FUZZY_FROM):
         self.terms = sorted({*terms}, key=lambda t: (len(t), t))
+        self.reach = np.array([len(t) + 1 for t in self.terms], np.int64)
         letters = sorted({c for t in self.terms for c in t})
         self.classes = np.zeros(0x110000, np.int16)
         for i, c in enumerate(letters):
@@ -129,25 +134,32 @@ class LexiconAutomaton:
                     may_edit[n] = True
 
         def closed(states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-            """With deletions of a stem's letter; states implied by fewer edits go."""
+            """With deletions of a stem's letter; states implied by fewer edits go. Besides 0 and 1 edits a
+            state may wait for letter ``c`` as (where the stem goes on, -c): it read the one behind ``c`` first."""
             out = set(states)
             for node, edits in states:
                 if edits == 0 and may_edit[node]:
                     out |= {(n, 1) for n in children[node].values() if may_edit[n]}
-            return frozenset(s for s in out if s[1] == 0 or (s[0], 0) not in out)
+            return frozenset(s for s in out if s[1] <= 0 or (s[0], 0) not in out)
 
         def step(states: frozenset[tuple[int, int]], c: int) -> frozenset[tuple[int, int]]:
             out = set()
             for node, edits in states:
+                if edits < 0:
+                    out |= {(node, 1)} if c == -edits else set()
+                    continue
                 if (n := children[node].get(c)) is not None:
                     out.add((n, edits))
                 if edits == 0 and may_edit[node]:
                     out.add((node, 1))
                     out |= {(n, 1) for n in children[node].values() if may_edit[n]}
+                    swapped = {(children[n].get(c, 0), -skipped) for skipped, n in children[node].items() if skipped != c}
+                    out |= {(n, skipped) for n, skipped in swapped if may_edit[n] and n}
             return closed(out)
 
         def best(states: frozenset[tuple[int, int]]) -> int:
-            return max((1 + 2 * term_at[n] + (e == 0) for n, e in states if term_at[n] >= 0 and (e == 0 or len(self.terms[term_at[n]]) >= fuzzy_from)), default=0)
+            ends = (1 + 2 * term_at[n] + (e == 0) for n, e in states if e >= 0 and term_at[n] >= 0 and (e == 0 or len(self.terms[term_at[n]]) >= fuzzy_from))
+            return max(ends, default=0, key=lambda m: (m % 2 == 0, m))
 
         first = closed({(0, 0)})
         numbers = {frozenset(): 0, first: 1}
@@ -190,7 +202,7 @@ def _code(match: int, spelling: str, n_terms: int) -> int:
 
 def _hits(texts: list[str], automaton: LexiconAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
     """(row, word number, match, quoted, spelling) of every hit: whether quotation marks stand around
-    it as its window shows them, and the beginning of the word if it isn't exact."""
+    it as its window shows them, and, if it isn't exact, the word (of masked ones one letter more than the term has)."""
     points, begin = _code_points(texts)
     start, end = _words(points)
     match = automaton.run(points, start, end)
@@ -201,28 +213,30 @@ def _hits(texts: list[str], automaton: LexiconAutomaton) -> tuple[np.ndarray, np
     whole = automaton.run(points, start[piece], stop[inner])
     longer = (whole > 0) & (match[piece] == 0)
     match[piece[longer]], end[piece[longer]] = whole[longer], stop[inner[longer]]
+    told = end.copy()  # runs of masked words overlap, so they are told by as much as a match can span
+    told[piece[longer]] = np.minimum(stop[inner[longer]], start[piece[longer]] + automaton.reach[whole[longer] - 1 >> 1])
     hit = np.flatnonzero(match)
     row = np.searchsorted(begin[1:], start[hit], side="right")
     marks = np.concatenate([[0], np.cumsum(np.isin(points, np.array([ord(c) for c in _QUOTES], np.uint32)))])
     left = marks[start[hit]] - marks[np.maximum(start[hit] - WINDOW_CHARS, begin[row])]
     right = marks[np.minimum(end[hit] + WINDOW_CHARS, begin[row + 1])] - marks[end[hit]]
     raw = points.tobytes()
-    spelling = [None if m % 2 == 0 else raw[4 * s : 4 * min(e, s + LONGEST + 1)].decode("utf-32-le") for m, s, e in zip(match[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)]
+    spelling = [None if m % 2 == 0 else raw[4 * s : 4 * e].decode("utf-32-le") for m, s, e in zip(match[hit].tolist(), start[hit].tolist(), told[hit].tolist(), strict=True)]
     return row, hit, match[hit], (left % 2 == 1) & (right >= 1), spelling
 
 
-def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray, known: dict[str, float]) -> np.ndarray:
+def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray, known: dict[tuple[int, str], float]) -> np.ndarray:
     """Inputs of the logistic model for each text."""
     row, word, match, quoted, spelling = _hits(texts, automaton)
     n = len(texts)
     value = weight[match]
     for i in np.flatnonzero(match % 2).tolist():
-        value[i] = known.get(spelling[i], weight[_code(match[i], spelling[i], len(automaton.terms))])
+        value[i] = known.get((int(match[i]), spelling[i]), weight[_code(match[i], spelling[i], len(automaton.terms))])
     out = np.zeros((n, 6))
     np.maximum.at(out[:, 0], row[~quoted], value[~quoted])
     np.maximum.at(out[:, 1], row[quoted], value[quoted])
-    out[:, 2] = np.minimum(np.bincount(row[~quoted], value[~quoted], n), MOST_HITS) / 4
-    out[:, 3] = np.minimum(np.bincount(row[quoted], value[quoted], n), MOST_HITS) / 4
+    out[:, 2] = np.log1p(np.bincount(row[~quoted], value[~quoted], n) / BEND)
+    out[:, 3] = np.log1p(np.bincount(row[quoted], value[quoted], n) / BEND)
     near = np.zeros(len(row))
     if len(row) > 1:
         close = (row[1:] == row[:-1]) & (np.diff(word) <= WINDOW_WORDS)
@@ -237,7 +251,7 @@ def _inputs(texts: list[str], automaton: LexiconAutomaton, weight: np.ndarray, k
 class Model:
     automaton: LexiconAutomaton
     weight: np.ndarray
-    known: dict[str, float]
+    known: dict[tuple[int, str], float]
     coefficients: np.ndarray
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -269,37 +283,76 @@ def _counted(sample: DataFrame, made) -> DataFrame:
     return _map(sample, ["y"], "item string, y double, n bigint", pieces).groupBy("item", "y").agg(F.sum("n").alias("n"))
 
 
-def _stems(texts: list[str]) -> Iterator[set[str]]:
+def _distinct_words(texts: list[str]) -> Iterator[set[str]]:
     points, begin = _code_points(texts)
     start, end = _words(points)
-    row = np.searchsorted(begin[1:], start, side="right")
+    cut = np.searchsorted(np.searchsorted(begin[1:], start, side="right"), np.arange(len(texts) + 1))
     raw = points.tobytes()
-    cut = np.searchsorted(row, np.arange(len(texts) + 1))
     for i in range(len(texts)):
-        words = {raw[4 * s : 4 * min(e, s + LONGEST)] for s, e in zip(start[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True)}
-        yield {w[: 4 * k].decode("utf-32-le") for w in words for k in range(1, len(w) // 4 + 1)}
+        yield {raw[4 * s : 4 * e].decode("utf-32-le") for s, e in zip(start[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True)}
+
+
+def _beginnings(texts: list[str]) -> Iterator[set[str]]:
+    """Beginnings of words of each text, up to ``HEAD`` letters."""
+    for words in _distinct_words(texts):
+        yield {w[:k] for w in {w[:HEAD] for w in words} for k in range(1, len(w) + 1)}
+
+
+class Stems:
+    """Which of given stems the words of a text begin with; of long ones only the lengths that their heads have are tried."""
+
+    def __init__(self, stems: set[str]):
+        self.stems, self.longer = frozenset(stems), {}
+        for s in stems:
+            if len(s) > HEAD:
+                self.longer.setdefault(s[:HEAD], set()).add(len(s))
+
+    def __call__(self, texts: list[str]) -> Iterator[set[str]]:
+        for short, words in zip(_beginnings(texts), _distinct_words(texts), strict=True):
+            long = {w[:k] for w in words if len(w) > HEAD for k in self.longer.get(w[:HEAD], ()) if k <= len(w)}
+            yield (short | long) & self.stems
+
+
+def _long_stems(sample: DataFrame, heads: set[str]) -> set[str]:
+    """Words of the sample with one of the ``heads``, and the beginnings at which two neighbours of them part."""
+    shared = sample.sparkSession.sparkContext.broadcast(frozenset(heads))
+    words = _counted(sample, lambda texts: ({w for w in words if len(w) > HEAD and w[:HEAD] in shared.value} for words in _distinct_words(texts))).select("item").distinct()
+    near = words.withColumn("prior", F.lag("item").over(Window.partitionBy(F.substring("item", 1, HEAD)).orderBy("item")))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item, prior = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            common = [commonprefix([a, b]) for a, b in zip(item, prior, strict=True) if b is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([*item, *(c for c in common if len(c) > HEAD)], pa.string())], names=["stem"])
+
+    return {r["stem"] for r in near.select("item", "prior").mapInArrow(parted, "stem string").distinct().collect()}  # words of the sample, twice at most
 
 
 def lexicon(sample: DataFrame, toxic: float, other: float) -> list[str]:
     """Stems that a share of the toxic texts holds and hardly any other text; of stems that extend
     one another and are held by about the same texts, the longest."""
     spark = sample.sparkSession
-    least = max(3.0, 0.006 * toxic)
-    frequent = _counted(sample.where("y = 1"), _stems).where(F.col("n") >= least)
-    held = {r["item"]: r["n"] for r in frequent.orderBy(F.desc("n"), "item").limit(MOST_CANDIDATES).collect()}
-    known = spark.sparkContext.broadcast(frozenset(held))
-    clean = {r["item"]: r["n"] for r in _counted(sample.where("y = 0"), lambda texts: (s & known.value for s in _stems(texts))).collect()}
+    bad, least = sample.where("y = 1"), max(3.0, 0.006 * toxic)
+    counts = lambda rows, made: {r["item"]: r["n"] for r in _counted(rows, made).where(F.col("n") >= least).collect()}
+    held = counts(bad, _beginnings)
+    heads = {s for s in held if len(s) == HEAD}
+    if heads and (longer := _long_stems(bad, heads)):
+        stems = spark.sparkContext.broadcast(Stems(longer))
+        held |= counts(bad, lambda texts: stems.value(texts))
+    known = spark.sparkContext.broadcast(Stems({*held}))
+    clean = {r["item"]: r["n"] for r in _counted(sample.where("y = 0"), lambda texts: known.value(texts)).collect()}
     good = {s: n for s, n in held.items() if (clean.get(s, 0) + 0.5) / (other + 1) * 25 < (n + 0.5) / (toxic + 1)}
-    covered = {t[:k] for t, m in good.items() for k in range(1, len(t)) if m >= 0.9 * good.get(t[:k], np.inf)}
+    lengths = sorted({len(s) for s in good})
+    covered = {t[:k] for t, m in good.items() for k in lengths if k < len(t) and m >= 0.9 * good.get(t[:k], np.inf)}
     kept: set[str] = set()
     for s in sorted(good.keys() - covered, key=len):
         # a stem too short for an edit doesn't stand in for longer ones, which allow it
-        if not any(s[:k] in kept for k in range(FUZZY_FROM, len(s))):
+        if not any(s[:k] in kept for k in lengths if FUZZY_FROM <= k < len(s)):
             kept.add(s)
-    return sorted(kept, key=lambda s: (-good[s], s))[:MOST_TERMS]
+    return sorted(kept)
 
 
-def weights(terms: list[str], seen: dict[tuple[int, str], list[float]], toxic: float, other: float) -> tuple[np.ndarray, dict[str, float]]:
+def weights(terms: list[str], seen: dict[tuple[int, str], list[float]], toxic: float, other: float) -> tuple[np.ndarray, dict[tuple[int, str], float]]:
     """Weight of each match, and that of each inexact spelling ``seen`` as (match, spelling) -> [other
     texts, toxic texts]: a mean of what its n texts tell (n parts) and of the term's share (one part)."""
 
@@ -313,7 +366,7 @@ def weights(terms: list[str], seen: dict[tuple[int, str], list[float]], toxic: f
         exact = weight[2 + 2 * k] = told(*seen.get((2 + 2 * k, ""), (0.0, 0.0)))
         for code in (1 + 2 * k, 2 * n + 1 + k):
             weight[code] = max(LEAST_FUZZY_SHARE * exact, FUZZY_SHARE * exact - np.log1p(2 * stray[code]))
-    return weight, {w: float((weight[_code(m, w, n)] + (b + a) * told(b, a)) / (1 + b + a)) for (m, w), (b, a) in seen.items() if m % 2}
+    return weight, {(m, w): float((weight[_code(m, w, n)] + (b + a) * told(b, a)) / (1 + b + a)) for (m, w), (b, a) in seen.items() if m % 2}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

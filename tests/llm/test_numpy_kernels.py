@@ -71,22 +71,23 @@ def test_equal_strings_hold_equal_samples():
 @pytest.mark.parametrize("least", [5, 6])
 def test_lexicon_automaton_matches_edit_distance(least):
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
         for i, x in enumerate(a, 1):
-            prior, row[0] = row[0], i
             for j, y in enumerate(b, 1):
-                prior, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prior + (x != y))
-        return row[-1]
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+                if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
 
     random.seed(least)
-    terms = ["scum", "idiot", "pathetic", "réeux", "worthless"]
+    terms = ["scum", "idiot", "idoit", "pathetic", "réeux", "worthless"]
     automaton = toxicity.LexiconAutomaton(terms, least)
     words = ["".join(random.choice("idotscumrwhe") for _ in range(random.randint(1, 9))) for _ in range(400)]
     for t in terms:
         for _ in range(60):
             w = list(t + random.choice(["", "s", "ung"]))
             i = random.randrange(len(w))
-            words.append("".join(random.choice([w[:i] + w[i + 1 :], [*w[:i], "q", *w[i:]], [*w[:i], "z", *w[i + 1 :]], w])))
+            words.append("".join(random.choice([w[:i] + w[i + 1 :], [*w[:i], "q", *w[i:]], [*w[:i], "z", *w[i + 1 :]], [*w[:i], *w[i : i + 2][::-1], *w[i + 2 :]], w])))
     words = [w for w in words if w]
     points = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
     start, end = toxicity._words(points)

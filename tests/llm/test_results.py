@@ -1,6 +1,7 @@
 """Whole results against SQL, brute force and held-out labels."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -141,17 +142,20 @@ def test_toxicity_scores_match_brute_force(spark):
         words = [r.choice(plain) for _ in range(r.randint(3, 30))]
         if i % 3 == 0:
             for _ in range(r.randint(1, 3)):
-                words.insert(r.randrange(len(words)), r.choice([*terms, '"idiot"', "idi0t", "worthles"]))
+                words.insert(r.randrange(len(words)), r.choice([*terms, '"idiot"', "idi0t", "worthles", "idoit"]))
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
     assert set(model.automaton.terms) >= {"idiot", "scum"}
+    rows += [(300, "you idiot " * 1000), (301, "the idoit " * 400), (302, '"idiot" and scum ' * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
 
     def near(a, b):
         if abs(len(a) - len(b)) > 1:
             return False
-        return any(a[:k] + a[k + 1 :] == b or a == b[:k] + b[k + 1 :] or a[:k] + a[k + 1 :] == b[:k] + b[k + 1 :] for k in range(max(len(a), len(b))))
+        swaps = any(a[:k] + a[k : k + 2][::-1] + a[k + 2 :] == b for k in range(len(a)))
+        return swaps or any(a[:k] + a[k + 1 :] == b or a == b[:k] + b[k + 1 :] or a[:k] + a[k + 1 :] == b[:k] + b[k + 1 :] for k in range(max(len(a), len(b))))
 
     def expected(text):
         low = text.lower()
@@ -164,14 +168,14 @@ def test_toxicity_scores_match_brute_force(spark):
                 code = 2 + 2 * max(exact) if exact else 1 + 2 * max(fuzzy)
                 value = model.weight[code]
                 if not exact:
-                    cut = w[: toxicity.LONGEST + 1]
-                    value = model.known.get(cut, model.weight[toxicity._code(code, cut, len(model.automaton.terms))])
+                    cut = w if w.isalpha() else w[: len(model.automaton.terms[max(fuzzy)]) + 1]
+                    value = model.known.get((code, cut), model.weight[toxicity._code(code, cut, len(model.automaton.terms))])
                 quoted = low[max(0, m.start() - 60) : m.start()].count('"') % 2 == 1 and '"' in low[m.end() : m.end() + 60]
                 hits.append((len(re.findall(r"[a-z]+", low[: m.start()])), value, quoted))
         x = np.array([0, 0, 0, 0, 0, 1.0])
         for own in (0, 1):
             values = [v for _, v, q in hits if q == bool(own)]
-            x[own], x[2 + own] = max(values, default=0), min(sum(values), 20) / 4
+            x[own], x[2 + own] = max(values, default=0), math.log1p(sum(values) / toxicity.BEND)
         for k, (at, v, _) in enumerate(hits):
             if v > 0:
                 x[4] = max(x[4], sum(0 <= j < len(hits) and abs(hits[j][0] - at) <= toxicity.WINDOW_WORDS for j in (k - 1, k + 1)))

@@ -32,7 +32,7 @@ def test_toxicity_counts_spellings_never_seen(toxicity_model):
 def test_toxicity_lets_labels_decide_on_spellings_seen():
     seen = {(2, ""): [0.0, 50.0], (1, "stupor"): [40.0, 0.0], (1, "stupif"): [0.0, 9.0]}
     weight, known = toxicity.weights(["stupid"], seen, 60, 300)
-    assert 0.8 * weight[2] < weight[1] < weight[2] and known["stupor"] < 0.05 * weight[2] < weight[1] / 2 < known["stupif"]
+    assert 0.8 * weight[2] < weight[1] < weight[2] and known[1, "stupor"] < 0.05 * weight[2] < weight[1] / 2 < known[1, "stupif"]
 
 
 def test_toxicity_of_short_and_masked_words(toxicity_model):
@@ -41,6 +41,24 @@ def test_toxicity_of_short_and_masked_words(toxicity_model):
     assert (toxicity_model.score(["st**id", "a1b2c3", "1234 the qu1et r*ver", "the_quiet_river"]) < 0.3).all()
 
 
+def test_toxic_stems_of_any_length(spark):
+    """Stems beyond the letters that are tried one by one: a word of 20 letters, and one that three long words begin with."""
+    ends = ["", "ernde", "erisch", "t"]
+    texts = [(i, f"{PLAIN[i % len(PLAIN)]} {'you volksverhetzerischer' if i % 6 == 0 else ''} {'abgrundtiefhassend' + ends[i // 6 % 4] if i % 6 == 1 else ''}") for i in range(360)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 6 < 2)) for i, _ in texts], "doc_id bigint, toxic int"))
+    assert {"volksverhetzerischer", "abgrundtiefhassend"} <= {*model.automaton.terms}
+    assert (model.score(["volksverhetzerischer", "volksverhetzerischre", "abgrundtiefhassenddd", "abgrundtiefhasend"]) >= 0.7).all()
+    assert (model.score(["volksverein", "abgrundtief", "x" * 1_000_000]) < 0.3).all()
+
+
+def test_no_cap_on_terms_or_hits(toxicity_model):
+    assert not [n for n in vars(toxicity) if n.startswith("MOST_") or n == "LONGEST"]
+    few, many = ("you stupid man " * n for n in (40, 1000))
+    x = [toxicity._inputs([t], toxicity_model.automaton, toxicity_model.weight, toxicity_model.known)[0, 2] for t in (few, many)]
+    assert x[0] < x[1]
+
+
 def test_toxic_terms_of_three_letters(spark):
     texts = [(i, f"{PLAIN[i % len(PLAIN)]} walked {'fyx' if i % 6 == 0 else ''}") for i in range(360)]
     docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
