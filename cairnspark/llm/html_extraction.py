@@ -11,8 +11,10 @@ Counts can't show everything: scripts, forms and the like are dropped while pars
 as furniture for certain (menus, headers, footers, asides, adverts, notices, reader comments, ...) goes on
 pages whose host has too few of them as well; a class or id word never takes the only article along
 (``_settle``), and words that also name ordinary parts of a text (``VAGUE_NAMES``) leave the decision
-to the counts inside an article. All outermost article and main elements and the h1 beside them are the
-main part.
+to the counts inside an article, as do names there that hold other words too (``ad-hoc``; words that only tell
+place or shape, ``BESIDE_WORDS``, are no others). All outermost article and main elements and the h1 beside them are the
+main part; where several articles together hold less than the paragraphs outside them, as teasers do, it is the
+element that holds nearly all of these paragraphs.
 
 Defined results: a null, empty or text-free page gives ''; an empty table gives no rows; a null url has
 the host ''; repeated rows are extracted each, and count once as evidence for a template; broken markup is
@@ -68,6 +70,13 @@ GONE_NAMES = frozenset(
 VAGUE_NAMES = frozenset("related recommended search share sharing social widget widgets toolbar login signup header promotion alert menu".split())
 #: Names of what often outweighs the text it stands in.
 BESIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion comment comments commentlist respond disqus replies".split())
+#: Words of a class that tell the place, shape or content of a box and leave its meaning to the others.
+BESIDE_WORDS = frozenset(
+    "area article articles author bar body bottom box btn button buttons card center column container content desktop fixed float form global grid group "
+    "head header heading hidden icon icons image img inline inner item items label large layout left link links list main message mid middle mobile module "
+    "outer page panel post posts primary reader readers right row section side site slot small space sticky stories story text thread title "
+    "top unit user users view wrap wrapper zone".split()
+)
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr"}
 #: An opening tag ends an open element of the second set, up to the limits of the third.
@@ -108,6 +117,7 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, f
     if tag in FURNITURE or tag == "header" and not inside_article:
         return True, frozenset(), False
     named: set[str] = set()
+    partly = False
     if not attributes or tag in ("body", "html", "article", "main"):
         return False, frozenset(), False
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
@@ -117,13 +127,18 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, f
         if name == "role" and value in GONE_ROLES:
             return True, frozenset(), False
         if name in ("class", "id"):
-            words = {*_NAME.findall(value)}
-            named |= words & GONE_NAMES
-            if not inside_article and "header" in words:
-                named.add("header")
+            for token in value.split():
+                words = {*_NAME.findall(token)}
+                own = words & GONE_NAMES
+                if not inside_article and "header" in words:
+                    own.add("header")
+                if inside_article and own and any(not w[0].isdigit() for w in words - own - BESIDE_WORDS):
+                    partly = True
+                else:
+                    named |= own
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True, frozenset(), False
-    vague = inside_article and bool(named) and named <= VAGUE_NAMES
+    vague = inside_article and (partly or bool(named)) and named <= VAGUE_NAMES
     return False, frozenset() if vague else frozenset(named), vague
 
 
@@ -267,7 +282,8 @@ def _measure(root: Node) -> list[Node]:
 
 
 def _main(root: Node) -> list[Node]:
-    """The outermost article and main elements and the headlines (h1) beside them, else everything."""
+    """The outermost article and main elements and the headlines (h1) beside them, else everything; the element with the
+    paragraphs outside of several articles, if these are more."""
     found, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -277,9 +293,42 @@ def _main(root: Node) -> list[Node]:
             if node.text_size or node.tag == "h1":
                 continue
         stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.gone]
+    articles = [n for n in found if n.tag == "article"]
+    if len(articles) > 1 and all(n.tag != "main" for n in found):
+        story = _story(root, sum(n.text_size for n in articles))
+        if story is not None:
+            return [*_headlines_beside(found, story), story]
     return found if any(n.tag != "h1" for n in found) else [root]
 
 
+def _story(root: Node, least: int) -> Node | None:
+    """The innermost element with nine tenths of the paragraphs outside of articles, if these hold more than ``least``."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if node.tag != "p":
+            stack += [c for c in node.children if isinstance(c, Node) and not c.gone and c.tag != "article"]
+    prose: dict[int, int] = {}
+    for node in reversed(order):
+        prose[id(node)] = node.text_size - node.links if node.tag == "p" else sum(prose.get(id(c), 0) for c in node.children)
+    if prose[id(root)] <= least:
+        return None
+    node = root
+    while inner := [c for c in node.children if isinstance(c, Node) and c.tag != "p" and 10 * prose.get(id(c), 0) >= 9 * prose[id(root)]]:
+        node = inner[0]
+    return node
+
+
+def _headlines_beside(found: list[Node], story: Node) -> list[Node]:
+    inner, stack = set(), [story]
+    while stack:
+        node = stack.pop()
+        inner.add(id(node))
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return [n for n in found if n.tag == "h1" and id(n) not in inner]
+
+
 def _hash(node: Node, digest: dict[int, bytes]) -> bytes:
     made = hashlib.blake2b(node.tag.encode(), digest_size=8)
     for c in node.children:

@@ -84,6 +84,33 @@ def said(page):
     return html_extraction.blocks(page)[0]
 
 
+@pytest.mark.parametrize("name", ["ad-hoc", "notice-of-death", "comments-on-law", "advert-history", "banner-year", "x pager-story-of-1990"])
+def test_names_that_hold_other_words_stay(name):
+    assert said(f"<body><article><p>One</p><p class='{name}'>Two</p><section class='{name}'>Three</section></article></body>") == ["One", "Two", "Three"]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "ad-300x250", "left sidebar-right", "comment-list", "newsletter-signup", "cookie-notice", "ad_box_top", "reader-comments", "Advert"])
+def test_names_of_furniture_inside_an_article_go(name):
+    assert said(f"<body><article><p>One of the story's words</p><div class='{name}'>Two</div></article></body>") == ["One of the story's words"]
+
+
+def test_links_under_a_partial_name_go():
+    assert said("<body><article><p>One</p><div class='related-reading'><a href=x>More</a> <a href=y>of it</a></div></article></body>") == ["One"]
+
+
+def test_teasers_are_not_the_story():
+    story = "".join(f"<p>Paragraph {i} of the long story goes on and on.</p>" for i in range(6))
+    teasers = "<article><p>Teaser one</p></article><article><p>Teaser two</p></article>"
+    whole = [f"Paragraph {i} of the long story goes on and on." for i in range(6)]
+    assert said(f"<body><h1>Head</h1><div id=content><div>{story}</div></div><div>{teasers}</div></body>") == ["Head", *whole]
+    assert said(f"<body><div id=content><h1>Head</h1>{story}</div><div>{teasers}</div></body>") == ["Head", *whole]
+    # several articles that hold most of the text are the text, and so is a single one
+    assert said(f"<body><p>Short</p><article>{story}</article><article><p>Next</p></article></body>") == [*whole, "Next"]
+    assert said(f"<body><div>{story}</div><article><p>Only</p></article></body>") == ["Only"]
+    deep = "<div>" * 20_000 + story + teasers
+    assert said(f"<body>{deep}</body>")[:6] == whole
+
+
 @pytest.mark.parametrize("attribute", ["id='page' class='has-sidebar'", "class=with-menu", "class='no-comments'", "class='page has-header'"])
 def test_names_of_furniture_do_not_cut_the_article(attribute):
     rest = "<div class=sidebar>Links</div><div id=comments><article>Reader</article></div>"
