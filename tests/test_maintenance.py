@@ -2,7 +2,7 @@
 
 import random
 
-from cairnspark.operators import maintenance, output_names
+from cairnspark.operators import maintenance, output_names, overlays
 
 
 def rows(df):
@@ -54,3 +54,20 @@ def test_links_follow_outputs(spark):
     outputs = spark.createDataFrame([("x", "to$1\\x"), (None, "lost"), ("z", None)], "target string, output string")
     want = [(1, "[a](to$1\\x)[b](y) (x) ]( x) [c](to$1\\x)", 3, 2), (2, "", 0, 0), (3, "no links", 0, 0), (4, "[a](x" + "y" * 100_000 + ")", 1, 0), (5, "[$1](to$1\\x)tail", 1, 1)]
     assert rows(output_names.rewrite_links(texts, outputs)) == want
+
+
+def test_overlays_by_kind(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "ref string")
+    known = {"source_refs": ids("s1", "s2"), "evidence_refs": ids("e1", "e2", "e3"), "node_refs": ids("n1", "n2")}
+    sources = spark.createDataFrame([("e1", "s1"), ("e2", "s2"), ("e3", "s1")], "ref string, source string")
+    shape = "id bigint, content string, evidence_refs array<string>, node_refs array<string>"
+    now = spark.createDataFrame([(1, "old", ["gone"], ["n9"]), (2, "old", None, None)], shape)
+    new = [(1, "new", ["e1", "e3"], ["n1", "n2"]), (3, "x", ["e1", "e2", "e2", "gone", None], ["n2", "n1"]), (4, "x", ["e1"], ["n1", "n9"]), (5, "x", ["gone"], ["n1"]), (6, "x", None, ["n1"]), (None, "x", ["e1"], ["n1"]), (7, "a", ["e1"], ["n1", "n1"]), (7, "b", ["e2"], ["n2"])]
+    got = lambda linking: rows(overlays.overlay("relations", now, spark.createDataFrame(new, shape), known, sources, linking).select("id", "content", "evidence_refs", "node_refs"))
+    three = (3, "x", ["e1", "e2"], ["n1", "n2"])
+    assert got(False) == [(1, "new", ["e1", "e3"], ["n1", "n2"]), (2, "old", None, None), three, (7, "b", ["e2"], ["n2"])]
+    assert got(True) == [(1, "old", ["gone"], ["n9"]), (2, "old", None, None), three]
+    assert overlays.overlay("relations", now.limit(0), now.limit(0), known, sources).count() == 0
+    plain = spark.createDataFrame([(1, "a", ["s1"]), (2, "b", ["s9"])], "id bigint, content string, source_refs array<string>")
+    assert rows(overlays.overlay("evidence", plain.limit(0), plain, known).select("id", "source_refs")) == [(1, ["s1"])]
+    assert overlays.overlay("evidence", plain, plain, known, linking=True).count() == 2
