@@ -61,3 +61,19 @@ def test_nothing_outside_llm_imports_it():
             tree = ast.parse(open(os.path.join(folder, name)).read())
             said = [n.module or "" for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)] + [a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names]
             assert not any("llm" in s for s in said), name
+
+
+def against_sql(spark, folder, name, documents, **others):
+    """The query's and the SQL's rows over written tables."""
+    con = duckdb.connect()
+    for t, df in {"documents": documents, **others}.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    got = QUERIES[name](spark, str(folder))
+    found = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})")
+    return sorted(map(plain, map(tuple, got.collect())), key=repr), sorted(map(plain, found.fetchall()), key=repr)
+
+
+def test_markdown_of_a_long_source_comes_in_parts(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "build_markdown", spark.range(450).selectExpr("id AS doc_id", "'s' AS source", "concat(repeat('ab ', 13334), id, ' ') AS text"))
+    assert got == want and [r[1] for r in got] == [0, 1]
