@@ -77,3 +77,12 @@ def against_sql(spark, folder, name, documents, **others):
 def test_markdown_of_a_long_source_comes_in_parts(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "build_markdown", spark.range(450).selectExpr("id AS doc_id", "'s' AS source", "concat(repeat('ab ', 13334), id, ' ') AS text"))
     assert got == want and [r[1] for r in got] == [0, 1]
+
+
+def test_equal_scores_rank_by_id(spark, tmp_path):
+    """Texts of the same words in another order have sums that differ in the last bit only."""
+    words = "'alpha', 'beta', 'gamma', 'delta', 'omega', 'sigma', 'kappa'"
+    text = f"array_join(transform(array_sort(transform(array({words}), w -> struct(md5(concat(w, id % 5)) AS k, w AS w))), x -> x.w), ' ')"
+    docs = spark.range(60).selectExpr("id AS doc_id", f"concat({text}, '. ', repeat(concat('w', id, ' '), 3)) AS text", "'en' AS lang", "concat('src', id % 3) AS source", "100L AS n_chars")
+    got, want = against_sql(spark, tmp_path, "hybrid_topk", docs, benchmark=spark.createDataFrame([(1, "omega beta kappa alpha sigma delta gamma")], "item_id bigint, text string"))
+    assert got == want and len(got) == 8
