@@ -203,3 +203,13 @@ def test_iso_time_in_any_zone(spark):
             assert spark.range(1).select(ar.iso_time(F.lit(1704067207)).alias("t")).first()["t"] == "2024-01-01T00:00:07Z"
         finally:
             spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_sketches_of_equal_values_have_equal_estimates(spark):
+    from cairnspark.operators import sketches
+
+    df = spark.range(4000).select(F.explode(F.array(F.lit("a"), F.when(F.col("id") < 2500, "b"))).alias("g"), (F.col("id") % 7).alias("day"), "id").where("g is not null")
+    estimates = lambda df: {r["g"]: r["n"] for r in df.select("g", sketches.estimate(F.col("sketch")).alias("n")).collect()}
+    once = estimates(sketches.sketched(df.coalesce(1), ["g"], F.col("id")))
+    for rows_ in (df.coalesce(1), df.repartition(5)):
+        assert once == estimates(sketches.united(sketches.sketched(rows_, ["g", "day"], F.col("id")), ["g"])) == estimates(sketches.sketched(rows_, ["g"], F.col("id")))
