@@ -233,3 +233,21 @@ def test_similar_labels_meet_by_rare_tokens_and_copies_once(spark):
     assert rows(ws.similar_labels(spark.createDataFrame(labels, "id bigint, label string"))) == sorted(want, key=repr)
     many = spark.range(20_000).select("id", F.lit("same label of all").alias("label"))
     assert ws.similar_labels(many).count() == 19_999
+
+
+def test_equal_questions_and_candidates_are_scored_once(spark):
+    """10 000 equal questions about one node of 10 000 claims: 10^8 pairs, of which none is formed."""
+    from cairnspark.operators import answers as an
+
+    none = F.expr("cast(array() as array<string>)")
+    n = F.col("id").cast("string")
+    questions = spark.range(10_000).select(F.concat(F.lit("q"), n).alias("question_id"), F.lit("small bolts").alias("question"))
+    claims = spark.range(10_000).select(F.concat(F.lit("c"), F.lpad(n, 5, "0")).alias("claim_id"), F.lit("small bolt").alias("statement"), F.array(F.lit("n1")).alias("topic_refs"), none.alias("source_refs"), F.array(F.concat(F.lit("e"), n)).alias("evidence_refs"))
+    node = spark.createDataFrame([("n1", "Bolt", [], [], ["e0"])], "node_id string, label string, aliases array<string>, source_ids array<string>, evidence_ids array<string>")
+    relation = spark.createDataFrame([], "relation_id string, src string, dst string, evidence_ids array<string>")
+    ids = questions.select("question_id", F.lit("n1").alias("node_id"))
+    got = an.scored(questions, an.all_candidates({"claim": claims}), ids, an.focus_items(ids, node, relation, claims))
+    assert got.count() == 80_000
+    # bolt 8 + 2 x 2 (title and body), small 12, both 4 and 10: 38; node 18, evidence 6, own term 12 at most
+    want = [(k + 1, f"c{k:05}", 38, 36, 3836) for k in range(8)]
+    assert rows(got.where("question_id = 'q77'").select("place", "id", "query_score", "bias", "total")) == want
