@@ -251,3 +251,19 @@ def test_equal_questions_and_candidates_are_scored_once(spark):
     # bolt 8 + 2 x 2 (title and body), small 12, both 4 and 10: 38; node 18, evidence 6, own term 12 at most
     want = [(k + 1, f"c{k:05}", 38, 36, 3836) for k in range(8)]
     assert rows(got.where("question_id = 'q77'").select("place", "id", "query_score", "bias", "total")) == want
+
+
+def test_best_links_of_any_rank_equal_all_pairs(spark):
+    """Early ends, equal names, terms only, and sets in which few share much."""
+    for n, words, names, most in ((60, 9, 3, 5), (60, 9, 60, 5), (40, 3, 1000, 50), (40, 30, 7, 200)):
+        nodes = [(i, f"Name {i * 7 % names}", sorted({f"w{(i * k * 13 + k) % 40}" for k in range(1, 2 + i % words)})) for i in range(n)]
+        left, right = [x for x in nodes if x[0] % 3 == 0], [x for x in nodes if x[0] % 3]
+        want = []
+        for a, x, s in left:
+            for b, y, t in right:
+                c = len({*s} & {*t})
+                if x == y or c >= 2:
+                    want.append((-(10_000 if x == y else 1_000) - 100 * min(c, 8), a, b, x == y, c))
+        df = lambda r: spark.createDataFrame(r, "id bigint, name string, terms array<string>")
+        got = gr.link_candidates(df(left), df(right), most, first=4).orderBy("rank").select("score", "l_id", "r_id", "direct", "shared")
+        assert [(-r[0], *r[1:]) for r in map(tuple, got.collect())] == sorted(want)[:most]
