@@ -267,3 +267,26 @@ def test_best_links_of_any_rank_equal_all_pairs(spark):
         df = lambda r: spark.createDataFrame(r, "id bigint, name string, terms array<string>")
         got = gr.link_candidates(df(left), df(right), most, first=4).orderBy("rank").select("score", "l_id", "r_id", "direct", "shared")
         assert [(-r[0], *r[1:]) for r in map(tuple, got.collect())] == sorted(want)[:most]
+
+
+def test_memories_of_copies_match_the_smallest_other(spark):
+    """Copies on both sides, ids on both sides, and every pair against the rule."""
+    words = lambda i: " ".join(f"word{(i // 4 * 5 + k * (1 + i % 2)) % 23:02}" for k in range(3 + i % 9))
+    data = [(i, f"title {i % 17}" if i % 5 else f"own {i}", "the same body of many copies" if i % 6 == 0 else words(i), [f"e{i % 50}"] if i % 7 == 0 else []) for i in range(80)]
+    df = spark.createDataFrame(data, "id bigint, title string, body string, evidence_ids array<string>")
+    terms = lambda t: {w for w in t.split() if len(w) >= 4}
+
+    def score(a, b):
+        x, y = terms(a[2]), terms(b[2])
+        c, low, high = len(x & y), min(len(x), len(y)), max(len(x), len(y))
+        near = 700 + 100 * c // high if c >= 4 and 100 * c // low >= 80 and 100 * c // high >= 65 else 0
+        return max(950 * (a[2] == b[2]), 900 * (a[1] == b[1]), 850 * bool({*a[3]} & {*b[3]}), near)
+
+    want = []
+    for a in data[:50]:
+        best = min(((-score(a, b), b[0]) for b in data[20:] if a[0] != b[0] and score(a, b)), default=None)
+        if best:
+            want.append((a[0], best[1], -best[0]))
+    assert rows(gr.memory_matches(df.where("id < 50"), df.where("id >= 20"))) == sorted(want, key=repr)
+    many = spark.range(20_000).select("id", F.lit("t").alias("title"), F.lit("one body for every one").alias("body"), F.expr("cast(array() as array<string>)").alias("evidence_ids"))
+    assert gr.memory_matches(many, many).groupBy("memory_id").count().orderBy("memory_id").collect() == [(0, 19_999), (1, 1)]
