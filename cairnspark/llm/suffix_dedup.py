@@ -34,8 +34,10 @@ from ._util import materialize, release, slices, small_batches, table, text_buff
 
 LENGTH = 100
 GRAM = 32
-#: Names with more contexts than this are compared as rows of a table, not in a task's memory.
+#: Names with more contexts than this are cut by ``CUTS`` ranges of offsets, each named by the bytes that its strings share; pieces of
+#: names that still have more are compared as rows of a table, not in a task's memory.
 HOT = 1_000
+CUTS = 4
 BROADCAST_IDS = 2_000_000
 #: Up to so many spans (16 bytes each) are broadcast to the texts, more are joined.
 BROADCAST_SPANS = 1_000_000
@@ -181,6 +183,39 @@ def _merged_suffixes(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc bigint, first bigint, last bigint")
 
 
+def pieces(part: pa.Table, length: int, gram: int) -> pa.RecordBatch:
+    """The contexts (name, doc, place, left, bytes) cut by ranges of offsets before the sample. All strings of a range
+    share the bytes from its first offset to the end of its last string, at least three quarters of
+    ``length`` with the defaults: equal strings meet under the name of these, and each is in one piece of its context."""
+    name, left, said = part.column("name").to_numpy(), part.column("left").to_numpy().astype(np.int64), part.column("bytes").to_pylist()
+    size = np.array([len(x) for x in said], np.int64)
+    data = np.frombuffer(b"".join(said), np.uint8)
+    sample = np.concatenate([[0], np.cumsum(size)])[:-1] + left
+    right, lane, made = size - left, _text.lanes(data), []
+    edges = [k * (length - gram + 1) // CUTS for k in range(CUTS + 1)]
+    for low, high in ((a, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b):
+        row = np.flatnonzero((left >= low) & (right >= length - high) & (size >= length))
+        core = _text.mix(_text.span_hash(data, lane, sample[row] - low, sample[row] + length - high) + name[row].astype(np.uint64) + np.uint64(low))
+        own, end = np.minimum(left[row], high), np.minimum(right[row], length - low)
+        kept = [data[a:b].tobytes() for a, b in zip(sample[row] - own, sample[row] + end, strict=True)]
+        made.append([core.astype(np.int64), part.column("doc").to_numpy()[row], part.column("place").to_numpy()[row], own.astype(np.int32), kept])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    columns = [pa.array(np.concatenate([m[k] for m in made]) if k < 4 else [x for m in made for x in m[4]], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["name", "doc", "place", "left", "bytes"])
+
+
+def _cut(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Pieces of the contexts and how many have their name (``n``), without those of unique names, whose strings can't be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                yield pieces(pa.Table.from_batches([batch.slice(at, 4096)]), length, gram)
+
+    made = materialize(small_batches(contexts).mapInArrow(run, "name bigint, doc bigint, place bigint, left int, bytes binary"), "pieces")
+    return materialize(made.join(made.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "name"), "open_pieces")
+
+
 def _merged_hot(contexts: DataFrame, length: int) -> DataFrame:
     """The same for names with very many contexts: suffixes as rows, the earliest of each prefix by
     an aggregate that starts before the shuffle, and a join that Spark can split."""
@@ -217,8 +252,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     release(spark)
     contexts = materialize(_contexts(docs, wanted).join(several, "name"), "contexts")
     release(spark)
-    spans = spans.unionByName(_merged_suffixes(contexts.where(F.col("n") <= HOT).drop("n"), length))
-    return spans.unionByName(_merged_hot(contexts.where(F.col("n") > HOT).drop("n"), length))
+    cut = _cut(contexts.where(F.col("n") > HOT).drop("n"), length, gram)
+    few = contexts.unionByName(cut).where(F.col("n") <= HOT).drop("n")
+    return spans.unionByName(_merged_suffixes(few, length)).unionByName(_merged_hot(cut.where(F.col("n") > HOT).drop("n"), length))
 
 
 def _merged_runs(spans: DataFrame) -> DataFrame:

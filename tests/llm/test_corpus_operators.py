@@ -4,6 +4,8 @@ columns with clashing names, against brute force."""
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -125,6 +127,23 @@ def test_repeated_strings(docs, spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in removed} == {i: len(x) for i, x in want.items()}
 
 
+def test_suffix_pieces_hold_each_string_once_and_only_shared_cores_stay_hot(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    core = noise(60)
+    texts = [noise(150) + core + noise(150) for _ in range(40)] + ["x" * 30 + noise(90) + "y" * 30] * 2
+    rows = [(1, d, 9, left, text.encode()) for d, (left, text) in enumerate([(0, noise(120)), (40, noise(140)), (68, noise(100)), (68, noise(168))])]
+    part = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["name", "doc", "place", "left", "bytes"])
+    strings = lambda made: sorted((r["doc"], r["left"] - i, r["bytes"][i : i + 100]) for r in made.to_pylist() for i in range(len(r["bytes"]) - 99))
+    assert strings(suffix_dedup.pieces(part, 100, 32)) == [s for s in strings(part) if 0 <= s[1] <= 68]
+    hot, own = [], suffix_dedup._merged_hot
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    monkeypatch.setattr(suffix_dedup, "_merged_hot", lambda rows, length: (hot.append(rows.count()), own(rows, length))[1])
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    # a name of 32 bytes that many unlike texts hold makes no rows of suffixes
+    assert got == {d: 150 if d == 41 else 0 for d in range(42)} and hot == [0]
+
+
 def test_decontamination(docs, spark, monkeypatch):
     bench = spark.createDataFrame([("i1", "q1 Q2 q3 q4 q5 q6 q7 q8 q9 q10 zz"), ("i2", "Tiny item"), ("i2", "tiny item"), ("i3", None), ("i4", ""), (None, "item here")], "item_id string, text string")
     got = {r["doc_id"]: r for r in decontamination.hit_report(docs, bench).collect()}
