@@ -290,3 +290,17 @@ def test_memories_of_copies_match_the_smallest_other(spark):
     assert rows(gr.memory_matches(df.where("id < 50"), df.where("id >= 20"))) == sorted(want, key=repr)
     many = spark.range(20_000).select("id", F.lit("t").alias("title"), F.lit("one body for every one").alias("body"), F.expr("cast(array() as array<string>)").alias("evidence_ids"))
     assert gr.memory_matches(many, many).groupBy("memory_id").count().orderBy("memory_id").collect() == [(0, 19_999), (1, 1)]
+
+
+def test_claims_of_equal_terms_are_compared_once(spark, monkeypatch):
+    """Classes of very many claims meet as one pair; blocks of them, claims of two topics and both kinds of a claim keep every pair once."""
+    rows_ = [(i, "t", f"cache writes block readers{' not' if i % 2 else ''}") for i in range(90)] + [(7, "u", "cache writes block readers not"), (8, "u", "cache writes block readers"), (9, "t", "cache writes block readers"), (5, None, "cache writes block readers"), (6, "t", None)]
+    claims = spark.createDataFrame(rows_, "claim_id bigint, topic string, statement string")
+    own, seen = gr.materialize, {}
+    monkeypatch.setattr(gr, "CLASS_BLOCK", 16)
+    monkeypatch.setattr(gr, "TASK_PAIRS", 100)
+    monkeypatch.setattr(gr, "materialize", lambda df, name: seen.setdefault(name, own(df, name)))
+    got = rows(gr.claim_conflicts(claims))
+    no = {(i, t, " not" in s) for i, t, s in rows_ if s and t}
+    assert got == sorted({(min(a, b), max(a, b), 4) for a, t, x in no for b, u, y in no if t == u and x and not y and a != b}, key=repr)
+    assert seen["conflicting_classes"].count() == 2 and seen["claim_blocks"].agg(F.max(F.size("ids"))).first()[0] < 45
