@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..sources.storage import complete
-from .retrieval import score_postings
+from ..sources.storage import complete, materialize
+from .retrieval import asked_terms, score_postings
 
 BUCKETS = 64
 
@@ -67,17 +67,19 @@ class TextIndex:
         newest = self._union("heads", f"key {self.kind}, live boolean, length bigint").groupBy("key").agg(F.max_by(F.struct("live", "length"), "segment").alias("x"), F.max("segment").alias("segment"))
         return newest.where("x.live").select("key", "segment", "x.length")
 
-    def postings(self) -> DataFrame:
-        """(key, term, tf, length, bucket) of the texts that hold."""
+    def postings(self, terms: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """(key, term, tf, length, bucket) of the texts that hold; of ``terms`` in ``buckets`` only, if given, which are chosen before the heads are met."""
         rows = self._union("postings", f"key {self.kind}, term string, tf bigint, bucket int")
+        if terms is not None:
+            rows = rows.where(F.col("bucket").isin(buckets)).join(terms, "term", "left_semi")
         return rows.join(self.heads(), ["key", "segment"]).select("key", "term", "tf", "length", "bucket")
 
     def bm25(self, queries: DataFrame, query_key: str) -> DataFrame:
         """(query_key, key, score) of texts that hold every term of a query (``queries``: query_key, term)."""
-        asked = queries.select("term").distinct()
+        asked = asked_terms(queries)
         # at most BUCKETS numbers, which choose the folders that are read
         buckets = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        found = self.postings().where(F.col("bucket").isin(buckets)).join(asked, "term", "left_semi")
+        found = materialize(self.postings(asked, buckets), "asked_postings")
         told = self.heads().agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
         return score_postings(found, told, queries, query_key, "key")
 

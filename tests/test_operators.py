@@ -304,3 +304,18 @@ def test_claims_of_equal_terms_are_compared_once(spark, monkeypatch):
     no = {(i, t, " not" in s) for i, t, s in rows_ if s and t}
     assert got == sorted({(min(a, b), max(a, b), 4) for a, t, x in no for b, u, y in no if t == u and x and not y and a != b}, key=repr)
     assert seen["conflicting_classes"].count() == 2 and seen["claim_blocks"].agg(F.max(F.size("ids"))).first()[0] < 45
+
+
+def test_ranked_texts_are_chosen_by_the_rarest_term(spark, monkeypatch):
+    """Terms that aren't asked leave no scan, and of a query only texts with its rarest term are looked at."""
+    docs = spark.createDataFrame([(i, "common words" + (" rare" if i % 10 == 0 else "") + (" pair" if i % 20 == 0 else "")) for i in range(60)], "id bigint, text string")
+    asked = spark.createDataFrame([("a", "common"), ("a", "rare"), ("b", "common"), ("b", "rare"), ("b", "pair"), ("c", "common"), ("c", "nowhere")], "q string, term string")
+    own, seen = rt.materialize, {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rt, "materialize", lambda df, name: seen.setdefault(name, (plan(df), own(df, name)))[1])
+    want = [("a", i) for i in range(0, 60, 10)] + [("b", i) for i in range(0, 60, 20)]
+    assert rows(rt.bm25(docs, "id", "text", asked, "q").select("q", "id")) == want
+    assert "SortMergeJoin" not in seen["asked_postings"][0] and rows(seen["candidates"][1].select("q", "id")) == want
+    seen.clear()
+    monkeypatch.setattr(rt, "BROADCAST_TERMS", 0)
+    assert rows(rt.bm25(docs, "id", "text", asked, "q").select("q", "id")) == want
