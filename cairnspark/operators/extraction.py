@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from .answers import search_tokens
-from .retrieval import top
+from .retrieval import asked_terms, top
 
 #: Most nodes, claims and relations of one source, concepts of one page, and related wiki pages.
 MOST_NODES, MOST_CLAIMS, MOST_RELATIONS, MOST_CONCEPTS, MOST_RELATED = 24, 32, 32, 3, 8
@@ -26,35 +26,48 @@ def page_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def candidate_line(line: Column) -> Column:
-    """A line that may name a concept, without marks of headings, lists and numbers; empty if it can't."""
-    bare = tx.trimmed(line)
-    cut = tx.trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "^#+", ""), "^-+", ""), r"^\*+", ""), r"^[0-9.)]+", ""))
-    skip = (bare == "") | F.rlike(bare, F.lit(r"^(!\[|_AI analysis unavailable|# |## Page )"))
-    return F.when(skip, "").otherwise(F.regexp_replace(cut, "[`*]", ""))
+    """The first clause of a line that may name a concept, without marks of headings, lists and numbers; empty if it can't."""
 
+    def unmarked(bare: Column) -> Column:
+        marks = r"^#*-*\**[0-9.)]*"
+        # no more of a long line is looked at than its marks and its first clause
+        clause = tx.trimmed(F.regexp_replace(F.regexp_extract(bare, marks + r"[^.:;()\[\]]*", 0), marks, ""))
+        skip = (bare == "") | F.rlike(bare, F.lit(r"^(!\[|_AI analysis unavailable|# |## Page )"))
+        return F.when(skip, "").otherwise(F.regexp_extract(F.regexp_replace(clause, "[`*]", ""), r"^[^.:;()\[\]]*", 0))
 
-def concept_label(line: Column) -> Column:
-    """Up to six words of the first clause, without articles and the like in front; null if fewer than two are left or
+    return tx.let(F.regexp_replace(line, r"(?U)^\s+", ""), unmarked)
+
+
+def concept_label(clause: Column) -> Column:
+    """Up to six words of a clause, without articles and the like in front; null if fewer than two are left or
     they are shorter than ten bytes."""
-    clause = F.trim(F.get(F.split(line, r"[.:;()\[\]]"), F.lit(0)))
     strip = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}/-]+|[^\p{L}\p{N}/-]+$", "")
-    words = F.filter(F.transform(F.split(clause, r"\s+"), strip), lambda w: w != "")
-    # the words from the first one on that may begin a label
-    first = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*LEADING)), F.lit(False))
-    kept = F.when(first > 0, F.slice(words, F.greatest(first, F.lit(1)).cast("int"), 6)).otherwise(F.expr(_NONE))
-    rest = F.when(first > 0, F.size(words) - first + 1).otherwise(F.lit(0))
-    label = F.array_join(kept, " ")
-    return F.when((rest >= 2) & (F.octet_length(label) >= 10), label)
+    words = F.filter(F.transform(F.split(F.trim(clause), r"\s+"), strip), lambda w: w != "")
+
+    def from_first(words: Column) -> Column:
+        """The words from the first one on that may begin a label."""
+        first = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*LEADING)), F.lit(False))
+        return tx.let(first, lambda at: F.when(at > 0, F.slice(words, F.greatest(at, F.lit(1)).cast("int"), F.size(words))).otherwise(F.expr(_NONE)))
+
+    label = lambda rest: tx.let(F.array_join(F.slice(rest, 1, 6), " "), lambda said: F.when((F.size(rest) >= 2) & (F.octet_length(said) >= 10), said))
+    return tx.let(tx.let(words, from_first), label)
 
 
 def dashed_key(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def once_told(rows: DataFrame, keep: list[str], told: Column) -> DataFrame:
+    """``keep`` and the fields of the struct ``told``, which is made once for each row: filters and columns that use
+    the fields don't repeat its expression, as they do with a column of a projection."""
+    return rows.select(*keep, F.explode(F.array(told)).alias("told")).select(*keep, "told.*")
+
+
 def concepts(pages: DataFrame, key: list[str], text: str, most: int = MOST_CONCEPTS) -> DataFrame:
     """(key, rank, label, concept): the first unlike concepts that the lines of each text name."""
     lines = pages.select(*key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("line_no", "line"))
-    named = lines.withColumn("label", concept_label(candidate_line(F.col("line")))).where("label is not null").withColumn("concept", dashed_key(F.col("label")))
+    told = tx.let(concept_label(candidate_line(F.col("line"))), lambda label: F.struct(label.alias("label"), dashed_key(label).alias("concept")))
+    named = once_told(lines, [*key, "line_no"], told).where("label is not null")
     once = top(named, [*key, "concept"], [F.col("line_no")], 1, "once")
     return top(once, key, [F.col("line_no")], most).select(*key, "rank", "label", "concept")
 
@@ -67,8 +80,9 @@ def claim_lines(docs: DataFrame, key: str, text: str, most: int = MOST_CLAIMS) -
     body = F.when((F.trim(F.get("lines", F.lit(0))) == "---") & (close > 0), close + 1).otherwise(F.lit(0))
     each = lines.select(key, body.alias("skip"), F.posexplode("lines").alias("line_no", "line")).where("line_no >= skip")
     bare = F.trim(F.regexp_replace(F.trim("line"), r"^([-*+]|[0-9]+[.)])\s+", ""))
-    rows = each.withColumn("statement", bare).where(~F.rlike(F.trim("line"), F.lit(r"^(#|!\[|$)")) & (F.size(F.split("statement", r"\s+")) >= 3))
-    rows = rows.withColumn("claim_key", F.substring(dashed_key(F.col("statement")), 1, 80)).where("claim_key <> ''")
+    # three words or more: two runs of white space with something between them
+    told = tx.let(bare, lambda said: F.when(F.rlike(said, F.lit(r"\s\S+\s")), F.struct(said.alias("statement"), F.substring(dashed_key(said), 1, 80).alias("claim_key"))))
+    rows = once_told(each.where(~F.rlike(F.trim("line"), F.lit(r"^(#|!\[|$)"))), [key, "line_no"], told).where("claim_key <> ''")
     once = top(rows, [key, "claim_key"], [F.col("line_no")], 1, "once")
     kept = top(once, [key], [F.col("line_no")], most)
     return kept.select(key, "rank", (F.col("line_no") + 1).alias("line_no"), "statement", "claim_key", tx.claim_kind(F.col("statement")).alias("kind"))
@@ -78,8 +92,9 @@ def relation_lines(docs: DataFrame, key: str, text: str, names: DataFrame, most:
     """(key, rank, src, dst, kind): relations that sentences with two known names (name) tell, by their cue words, in
     the order of their places; each once for a text."""
     parts = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]")).alias("at", "sentence"))
-    words = parts.withColumn("kind", tx.relation_kind(F.col("sentence"))).where("kind is not null").select(key, "at", "kind", F.posexplode(F.split(F.lower("sentence"), "[^a-z0-9]+")).alias("place", "name"))
-    held = words.join(names.select("name").distinct(), "name").groupBy(key, "at", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("seen"))
+    cued = tx.let(F.lower("sentence"), lambda low: F.struct(tx.relation_kind(low).alias("kind"), low.alias("low")))
+    words = once_told(parts, [key, "at"], cued).where("kind is not null").select(key, "at", "kind", F.posexplode(F.split("low", "[^a-z0-9]+")).alias("place", "name"))
+    held = words.join(asked_terms(names.select(F.col("name").alias("term"))).withColumnRenamed("term", "name"), "name").groupBy(key, "at", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("seen"))
     pairs = held.select(key, "at", "kind", F.col("seen")[0]["name"].alias("src"), F.get("seen", F.lit(1))["name"].alias("dst")).where("dst is not null and src <> dst")
     once = top(pairs, [key, "src", "dst", "kind"], [F.col("at")], 1, "once")
     return top(once, [key], [F.col("at"), F.col("src"), F.col("dst")], most).select(key, "rank", "src", "dst", "kind")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.operators import components as cc, documents as dc, evals, graph as gr, history as hs, packs, retrieval as rt
+from cairnspark.operators import components as cc, documents as dc, evals, extraction as ex, graph as gr, history as hs, packs, retrieval as rt
 from cairnspark.sources import readers, writers
 from cairnspark.streaming import materialise
 
@@ -319,3 +319,19 @@ def test_ranked_texts_are_chosen_by_the_rarest_term(spark, monkeypatch):
     seen.clear()
     monkeypatch.setattr(rt, "BROADCAST_TERMS", 0)
     assert rows(rt.bm25(docs, "id", "text", asked, "q").select("q", "id")) == want
+
+
+def test_extraction_makes_each_expression_once(spark):
+    said = "  ## 1.) The `long` report of some things we read today: more\n![x](y.md) picture of it\n[see] the guide there\n\n- a the of\n12. long report of some things we\n# Heading that goes away\n\talpha beta depends on gamma"
+    docs = spark.createDataFrame([(1, said), (2, None)], "doc_id int, text string")
+    found = ex.concepts(docs, ["doc_id"], "text", 9)
+    assert rows(found) == [(1, 1, "long report of some things we", "long-report-of-some-things-we"), (1, 2, "alpha beta depends on gamma", "alpha-beta-depends-on-gamma")]
+    names = spark.createDataFrame([("alpha",), ("gamma",), ("gamma",), (None,)], "name string")
+    told = ex.relation_lines(docs, "doc_id", "text", names)
+    assert rows(told) == [(1, 1, "alpha", "gamma", "depends_on")]
+    claims = ex.claim_lines(docs, "doc_id", "text")
+    assert [r["line_no"] for r in claims.orderBy("rank").collect()] == [1, 3, 5, 6, 8]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the line's regular expressions stand in the plan once, not again for each filter and column that uses the label
+    assert plan.count("_AI analysis unavailable") == 1 and told._jdf.queryExecution().optimizedPlan().toString().count(" relies on ") == 1
+    assert claims._jdf.queryExecution().optimizedPlan().toString().count("[-*+]|[0-9]+[.)]") == 1
