@@ -181,6 +181,24 @@ def test_ticks_are_aimed(spark, tmp_path):
     assert sorted((r["change_id"], r["batch"], r["missed"]) for r in feed.read().collect()) == [(1, 2, 1), (2, 1, 0)]
 
 
+def test_stores_do_not_follow_other_shuffles(spark, tmp_path, monkeypatch):
+    """A session with many small partitions opens no more stores of state than cores, groups and changes call for."""
+    made = "client_id bigint, n bigint, day int, change_id bigint, op string, city string, balance double"
+    monkeypatch.setattr(sequenced_changes, "STORE_ROWS", 100)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "53")
+    try:
+        feed = sequenced_changes.Feed(spark, str(tmp_path), 500, 1_000)
+        feed.tick(spark.createDataFrame([(1, 2, 10, 1, "I", "A", 1.0), (2, 1, 10, 2, "I", "B", 1.0)], made), 1, None)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "53"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    want = max(2 * spark.sparkContext.defaultParallelism, 10)
+    assert len([x for x in (tmp_path / "checkpoint" / "state" / "0").iterdir() if x.name.isdigit()]) == want
+    assert sequenced_changes.Feed(spark, str(tmp_path), 3, 1_000).stores == 3
+    assert sequenced_changes.Feed(spark, str(tmp_path), 500, 100_000).stores == 1_000 // 2
+
+
 def test_marks_of_any_length(spark):
     """Lines that a repeated group would take beyond the stack; marks are those of the plain expression."""
     heads = [">" * 1_000_000, "> " * 100_000, "  >\t>" * 50_000, " " * 100_000, "> " * 9 + "    > ", "   > x >", "    > no", ">    >", "\t\t\t>\t", ">>  >   >    >", "", ">"]
