@@ -42,6 +42,23 @@ def test_index_follows_its_changes(spark, tmp_path):
     assert say(index.bm25(asked, "query_id")) == say(plain)
 
 
+def test_index_moves_postings_no_more_than_needed(spark, tmp_path):
+    """A change deals its postings within its tasks, and those of a compaction are read without a join, with lengths of their own."""
+    index = TextIndex(spark, str(tmp_path / "index"))
+    texts = spark.createDataFrame([(k, f"word{k % 7} word{k} word{k}") for k in range(50)], "key bigint, text string").repartition(3)
+    index.upsert(texts)
+    # all files of one bucket and more: one task to a bucket would leave one
+    assert any(len(list(b.glob("*.parquet"))) > 1 for b in (tmp_path / "index/postings/v1").glob("bucket=*"))
+    index.upsert(texts.where("key < 5").union(texts.where("key = 3")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = sorted(map(tuple, index.postings().drop("bucket").collect()))
+    assert "Join" in plan(index.postings()) and (3, "word3", 6, 6) in before
+    index.compact()
+    assert "Join" not in plan(index.postings()) and sorted(map(tuple, index.postings().drop("bucket").collect())) == before
+    index.upsert(texts.where("key = 4").selectExpr("key", "'new' as text"))
+    assert "Join" in plan(index.postings()) and sorted(map(tuple, index.postings().where("key = 4").drop("bucket").collect())) == [(4, "new", 1, 1)]
+
+
 def test_keys_keep_their_numbers(spark, tmp_path):
     keys = KeyDictionary(spark, str(tmp_path / "keys"))
     load = lambda *k: dict(rows(keys.intern(spark.createDataFrame([(x,) for x in k], "key string"))))
