@@ -164,3 +164,11 @@ def test_windows_equal_the_rule(spark, monkeypatch):
     terms = ["term", "other"]
     df = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", tx.context_window(F.col("t"), tx.literals(terms), 200).alias("w"))
     assert dict(rows(df)) == {i: _window(t.strip(), terms, 200) for i, t in enumerate(texts)}
+
+
+def test_scores_of_terms_are_made_once(spark):
+    """A sum that refers to the scores of terms several times makes them once."""
+    df = spark.createDataFrame([(["gear", "gears", "red"], ["gear", "red", "blue"]), (["x"], ["red"]), ([], ["red"])], "words array<string>, terms array<string>")
+    scored = df.select(tx.frequency_score(F.col("words"), F.col("terms")).alias("score"))
+    assert [r[0] for r in scored.collect()] == [10 + 10 + 4, 0, 0]
+    assert scored._jdf.queryExecution().analyzed().toString().lower().count("startswith") == 2
