@@ -10,6 +10,7 @@ from cairnspark.operators import names, retrieval as rt, sketches
 from cairnspark.operators.components import nearest_anchors
 from cairnspark.operators.dictionary import KeyDictionary
 from cairnspark.operators.rebuild_driver import Rebuild, content
+from cairnspark.operators.hybrid import Corpus, HybridSearch
 from cairnspark.operators.text_index import TextIndex
 from cairnspark.sources.snapshots import Snapshots
 
@@ -172,3 +173,12 @@ def test_scores_of_terms_are_made_once(spark):
     scored = df.select(tx.frequency_score(F.col("words"), F.col("terms")).alias("score"))
     assert [r[0] for r in scored.collect()] == [10 + 10 + 4, 0, 0]
     assert scored._jdf.queryExecution().analyzed().toString().lower().count("startswith") == 2
+
+
+def test_neighbours_are_cut_to_the_room(spark):
+    """Of a node the first visible evidence is handed on, as much as a query has room for."""
+    e = spark.createDataFrame([(f"e{k:03}", "s", "text_evidence", "t", k, k % 2 == 0) for k in range(100)], "evidence_id string, source_id string, evidence_type string, text string, page int, active boolean")
+    nodes = e.groupBy(F.concat(F.lit("n"), F.col("page") % 4).alias("node_id")).agg(F.collect_list("evidence_id").alias("evidence_ids")).withColumn("live", F.col("node_id") != "n2")
+    sources = spark.createDataFrame([("s", "t", 1, "ok")], "source_id string, title string, updated_at int, status string")
+    search = HybridSearch(Corpus(sources, e, e, nodes, nodes, nodes), spark.createDataFrame([(1, "t")], "query_id int, text string"), 2)
+    assert rows(search.first_evidence()) == [("n0", f"e{k:03}") for k in range(0, 24, 4)]
