@@ -182,3 +182,17 @@ def test_neighbours_are_cut_to_the_room(spark):
     sources = spark.createDataFrame([("s", "t", 1, "ok")], "source_id string, title string, updated_at int, status string")
     search = HybridSearch(Corpus(sources, e, e, nodes, nodes, nodes), spark.createDataFrame([(1, "t")], "query_id int, text string"), 2)
     assert rows(search.first_evidence()) == [("n0", f"e{k:03}") for k in range(0, 24, 4)]
+
+
+def test_equal_parts_of_scores_have_equal_sums(spark):
+    """Texts that hold five equally frequent terms 1 to 5 times, each in another order: their scores are equal to the last bit."""
+    from itertools import permutations
+
+    from cairnspark.operators import retrieval as rt
+
+    terms = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = [(i, " ".join(f"{t} " * n for t, n in zip(terms, order, strict=True))) for i, order in enumerate(permutations(range(1, 6)))]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    asked = spark.createDataFrame([(1, t) for t in terms], "q int, term string")
+    found = rt.bm25(docs, "id", "text", asked, "q")
+    assert found.count() == 120 and found.select("score").distinct().count() == 1
