@@ -366,3 +366,23 @@ def test_shuffles_are_dealt_for_the_rows_they_carry(spark, monkeypatch):
     said = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (None, "a"), (None, "b"), (3, None), (3, "a")], "place int, concept string")
     assert rows(ws.cooccurrence(said)) == [("a", "b", 2, 1), ("a", "c", 1, 2), ("b", "c", 1, 1)]
     assert rows(ws.cooccurrence(said.where("false"))) == [] and spark.conf.get(name) == own
+
+
+def test_trails_of_repeated_rows_equal_all_records(spark):
+    """Index rows and edges come several times; every record of both stages against the rule."""
+    index = [(f"o{k % 7}", kind, rec) for k in range(60) for kind, rec in (("node", f"p{k * 5 % 13}"), ("relation", f"p{k * 5 % 13}-s{k % 4}"))]
+    edges = [(f"p{a}-s{b}", f"p{a}", f"s{b}" if (a, b) != (3, 1) else None) for a in range(13) for b in range(4)]
+    df = lambda rows_, schema: spark.createDataFrame(rows_ * 3, schema)
+    most, want = 4, []
+    for e in sorted({i[0] for i in index} - {"o6"}):
+        direct = sorted({(kind != "node", rec) for o, kind, rec in index if o == e})[:most]
+        own = {rec for _, rec in direct}
+        near = {(0, x) for k, a, b in edges if (True, k) in direct for x in (a, b)} | {(1, x) for k, a, b in edges for x in (k, b if (False, a) in direct else a) if {(False, a), (False, b)} & {*direct}}
+        first = {}
+        for n, x in sorted(near, key=repr):
+            if x and x not in own:
+                first.setdefault(x, n)
+        want += [(e, "direct", rec, k + 1) for k, (_, rec) in enumerate(direct)]
+        want += [(e, "adjacent", x, k + 1) for k, (n, x) in enumerate(sorted((n, x) for x, n in first.items())[:most])]
+    got = gr.trail(df([(f"o{k}",) for k in range(6)], "evidence_id string"), df(index, "evidence_id string, record_kind string, record_id string"), df(edges, "edge_id string, src string, dst string"), most)
+    assert rows(got) == sorted(want, key=repr)
