@@ -70,12 +70,10 @@ def claim_group_merge(t: Tables) -> DataFrame:
 
 @query(r"""
 WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS t FROM part),
-r AS (SELECT min(id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS na, len(b.t) AS nb FROM r a JOIN r b ON a.id < b.id)
-SELECT r.id AS a, s.id AS b, 1.0::DOUBLE AS similarity FROM s JOIN r USING (t) WHERE r.id < s.id
-UNION ALL SELECT a, b, similarity FROM (SELECT a, b, CASE WHEN c = least(na, nb) AND c > 0 THEN 0.86 WHEN c / (na + nb - c) >= 0.72 THEN c / (na + nb - c) END::DOUBLE AS similarity FROM p) WHERE similarity IS NOT NULL""")
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS na, len(b.t) AS nb FROM s a JOIN s b ON a.id < b.id AND len(a.t) > 0)
+SELECT a, b, similarity FROM (SELECT a, b, CASE WHEN c = na + nb - c THEN 1.0 WHEN c = least(na, nb) AND c > 0 THEN 0.86 WHEN c / (na + nb - c) >= 0.72 THEN c / (na + nb - c) END::DOUBLE AS similarity FROM p) WHERE similarity IS NOT NULL""")
 def label_similarity(t: Tables) -> DataFrame:
-    return ws.similar_labels(t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("label")))
+    return ws.all_similar_labels(t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("label")))
 
 
 @query("SELECT lang AS evidence_type, count(*) FILTER (n_chars > 2000) AS selected, count(*) AS available FROM documents GROUP BY 1")

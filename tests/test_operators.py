@@ -386,3 +386,19 @@ def test_trails_of_repeated_rows_equal_all_records(spark):
         want += [(e, "adjacent", x, k + 1) for k, (n, x) in enumerate(sorted((n, x) for x, n in first.items())[:most])]
     got = gr.trail(df([(f"o{k}",) for k in range(6)], "evidence_id string"), df(index, "evidence_id string, record_kind string, record_id string"), df(edges, "edge_id string, src string, dst string"), most)
     assert rows(got) == sorted(want, key=repr)
+
+
+def test_all_similar_labels_equal_all_pairs(spark, monkeypatch):
+    """Copies in several blocks, sets within others, labels without tokens, in small tasks."""
+    monkeypatch.setattr(ws, "CLASS_BLOCK", 4)
+    monkeypatch.setattr(ws, "TASK_PAIRS", 50)
+    words = ["red", "blue", "bolt", "ring", "gear", "nut", "pin"]
+    labels = [(i, " ".join(w for k, w in enumerate(words) if (i * 37 % 128 if i % 3 else 21) >> k & 1)) for i in range(90)] + [(90, ""), (91, "?!")]
+    sets = {i: frozenset(t.split()) for i, t in labels if t.strip("?!")}
+    want = []
+    for a, s in sets.items():
+        for b, t in sets.items():
+            c = len(s & t)
+            if a < b and (c == min(len(s), len(t)) or c / len(s | t) >= 0.72):
+                want.append((a, b, 1.0 if s == t else 0.86 if c == min(len(s), len(t)) else c / len(s | t)))
+    assert rows(ws.all_similar_labels(spark.createDataFrame(labels, "id bigint, label string"))) == sorted(want, key=repr)
