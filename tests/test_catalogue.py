@@ -86,3 +86,12 @@ def test_equal_scores_rank_by_id(spark, tmp_path):
     docs = spark.range(60).selectExpr("id AS doc_id", f"concat({text}, '. ', repeat(concat('w', id, ' '), 3)) AS text", "'en' AS lang", "concat('src', id % 3) AS source", "100L AS n_chars")
     got, want = against_sql(spark, tmp_path, "hybrid_topk", docs, benchmark=spark.createDataFrame([(1, "omega beta kappa alpha sigma delta gamma")], "item_id bigint, text string"))
     assert got == want and len(got) == 8
+
+
+def test_old_sources_are_found_by_their_titles(spark, tmp_path):
+    """260 sources, of which queries name some of the oldest; and some that all titles hold a word of."""
+    text = "CASE WHEN id IN (5, 17, 40) THEN concat('kappa', id, ' stands here alone') ELSE concat('plain words of text', id) END"
+    docs = spark.range(260).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "concat('src', id) AS source", "30L AS n_chars")
+    asked = spark.createDataFrame([(1, "x y kappa5 lambda"), (2, "x y kappa nothing"), (3, "x y plain nowhere")], "item_id bigint, text string")
+    got, want = against_sql(spark, tmp_path, "hybrid_search", docs, benchmark=asked)
+    assert got == want and {r[2] for r in got if r[0] == 1} >= {"e5"} and {r[2] for r in got if r[0] == 2} >= {"e5", "e17", "e40"}
